@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup
+from factloom.llm import _io, exact_dedup, minhash_dedup, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the vocabulary files are: FACTLOOM_TOKENIZERS, or the public_tokenizers package."""
+    if folder := os.environ.get("FACTLOOM_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_output.write_tokens(_documents(spark, sf_dir), _io.new_path(spark, "tokens"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_output.read_tokens(index)
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(_documents(spark, sf_dir), threshold="0.85")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir), keep="max")
 
@@ -25,7 +44,7 @@ FROM d"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {f.__name__: f for f in (op4_token_output, op5_minhash_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

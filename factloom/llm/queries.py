@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import _io, exact_dedup, minhash_dedup, token_output
+from factloom.llm import _io, exact_dedup, fingerprints, minhash_dedup, substring_dedup, token_output
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(_documents(spark, sf_dir), threshold="0.85")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeated_passages(_documents(spark, sf_dir), window=35).drop("kept_text")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir), keep="max")
 
@@ -44,7 +52,7 @@ FROM d"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_output, op5_minhash_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op4_token_output, op5_minhash_dedup, op6_substring_dedup, op8_fingerprints, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,11 +88,11 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the word offset of each row."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     before = np.empty_like(word)
     before[0] = False
     before[1:] = word[:-1]
@@ -107,9 +107,13 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each byte span (ascending, disjoint)."""
-    out = np.empty(len(starts), dtype=np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, heads: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each byte span (ascending, disjoint).
+
+    With ``heads`` there is a further row for each length: the hash of the span's first
+    so many bytes.
+    """
+    out = np.empty((1 + len(heads), len(starts)), dtype=np.uint64)
     table = _BYTE[_FOLD] if fold else _BYTE
     i = 0
     while i < len(starts):
@@ -120,9 +124,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         total[0] = 0
         np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _STEP[0]
+        for row, end in zip(out, (e, *(np.minimum(e, s + h) for h in heads)), strict=True):
+            row[i:j] = (total[end] - total[s]) * down[s] + (end - s).astype(np.uint64) * _STEP[0]
         i = j
-    return mix64(out)
+    out = mix64(out)
+    return out if heads else out[0]
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

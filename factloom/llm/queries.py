@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import _io, exact_dedup, fingerprints, minhash_dedup, substring_dedup, token_output
+from factloom.llm import _io, exact_dedup, fingerprints, minhash_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_documents(spark, sf_dir))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_output.write_tokens(_documents(spark, sf_dir), _io.new_path(spark, "tokens"), tokenizer_path("word_bpe_49k.json"), end_id=1)
     return token_output.read_tokens(index)
@@ -36,6 +44,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeated_passages(_documents(spark, sf_dir), window=35).drop("kept_text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~toxicity.held_out())
+    scored = toxicity.score_toxicity(_documents(spark, sf_dir), labels)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_passages", "p_value")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(_documents(spark, sf_dir))
 
@@ -52,7 +66,7 @@ FROM d"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_output, op5_minhash_dedup, op6_substring_dedup, op8_fingerprints, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op4_token_output, op5_minhash_dedup, op6_substring_dedup, op7_toxicity, op8_fingerprints, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,12 @@ before it) and a table of documents (part, place within it, length) go with the
 
 from __future__ import annotations
 
+import array
+import functools
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from urllib.parse import urlsplit
@@ -27,39 +32,88 @@ from factloom.llm import _io, _order
 LENGTH = 2048
 BATCH_SEQUENCES = 256
 PART_ROWS = 8192
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _MADE = "part int, path string, tokens long, sequences long, doc_id long, place long, n_tokens long"
 
 
+#: What a tokenizers file must say for its texts to be encoded word by word.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Characters whose lower case and class are the same everywhere: printable ASCII, Latin letters and signs.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file whose pieces never cross ASCII white space.
+    """Encodes texts with a tokenizers file.
 
-    The tokenizer drops white space before merging, so a text's ids are those of its
-    white-space separated words in turn; words met before come from a bounded cache.
+    When the file lower-cases, drops white space and merges within the parts of a fixed
+    pattern, a text's ids are those of its white-space separated words in turn.  Words and
+    parts met before come from bounded caches, and new parts go straight to the merging
+    model.  Words with unusual characters, and texts of any other tokenizer, go through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tool.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        cut = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        self.by_word = said["normalizer"] == _NORMAL and said["post_processor"] is None and len(cut) == 2 and cut[0].get("pattern") == {"Regex": _SPLIT} and cut[1].get("type") == "ByteLevel"
+        self.parts_of = regex.compile(_SPLIT).findall
+        self.model = self.tool.model
+        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = lambda x: level.pre_tokenize_str(x)[0][0]
         self.known: dict[bytes, bytes] = {}
-        self._encode = getattr(self.tool, "encode_batch_fast", self.tool.encode_batch)
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @classmethod
+    @functools.lru_cache(maxsize=2)
+    def of(cls, path: str) -> WordEncoder:
+        """This process's encoder: tasks that one worker runs in turn share its cache."""
+        return cls(path)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array.array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not _PLAIN.fullmatch(text) or (not text.isascii() and not unicodedata.is_normalized("NFC", text)) or any(x in text for x in self.special):
+            return self._pack(self.tool.encode(text, add_special_tokens=False).ids)
+        out = []
+        for part in self.parts_of(text.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self._pack([t.id for t in self.model.tokenize(part if part.isascii() else self.as_bytes(part))])
+                if len(self.parts) >= CACHE_WORDS:
+                    self.parts.clear()
+                self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def learn(self, texts: list[bytes]) -> None:
+        """Make every word of the texts known.  A full generation of words becomes the old
+        one; words met again move on to the new one, the others go with the next change."""
+        if not self.by_word:
+            return
+        if len(self.known) >= CACHE_WORDS:
+            self.known, self.old = {}, self.known
         new = set().union(*(t.split() for t in texts)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set().union(*(t.split() for t in texts))
-        words = list(new)
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            for w, e in zip(some, self._encode([x.decode() for x in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=self.kind).tobytes()
+        known = new.intersection(self.old)
+        self.known.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        new -= known
+        self.known.update(zip(new, map(self._word, new), strict=True))
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian integers of ``kind``; every word must be known."""
+        if not self.by_word:
+            return self._pack(self.tool.encode(text.decode(), add_special_tokens=False).ids)
         return b"".join(map(self.known.__getitem__, text.split()))
 
 
@@ -172,7 +226,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     rows = rows.withColumn("part", _order.part_of("doc_id", cuts)).repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "doc_id", "text")
 
     def write(batches):
-        tool = WordEncoder(tokenizer_path)
+        tool = WordEncoder.of(tokenizer_path)
         end = np.array([end_id], dtype=tool.kind).tobytes()
         out: PartWriter | None = None
         for b in batches:

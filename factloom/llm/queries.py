@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from factloom.llm import _io, exact_dedup, fingerprints, minhash_dedup, mixing, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity, url_filters
 
 
+stored = _io.stored
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

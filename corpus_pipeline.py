@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest identifier stays."""
-    return exact_dedup.drop_exact_copies(docs, keep="min")
+    """Of equal texts the document with the largest identifier stays."""
+    return exact_dedup.drop_exact_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

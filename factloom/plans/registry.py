@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import importlib
+
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
+_LIBRARY = ("text_queries", "evidence_queries", "model_queries")
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` is what DuckDB runs to give the same rows."""
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name; ``sql`` is what DuckDB runs to give the same rows."""
 
     def put(f):
-        _QUERIES[name] = f
+        _QUERIES[f.__name__] = f
         if sql:
-            _SQL[name] = sql
+            _SQL[f.__name__] = sql
         return f
 
     return put
 
 
+def _loaded() -> None:
+    for name in _LIBRARY:
+        importlib.import_module(f"factloom.plans.{name}")
+
+
 def queries() -> dict:
+    _loaded()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return _SQL

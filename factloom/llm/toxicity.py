@@ -270,10 +270,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     k = clean.sum() / max(1e-9, (n[clean] * np.exp(-lam * best[clean])).sum()) if clean.any() else 1.0
     k = float(min(max(k, 1e-6), 1.0))
     expected = F.lit(k) * F.greatest("n", F.lit(1)) * F.exp(F.lit(-lam) * F.col("best"))
-    x1 = F.lit(lam) * F.col("best") - F.log(F.lit(k) * F.greatest("n", F.lit(1)))
+    # what the best segment has beyond chance; none for texts without one, however short
+    x1 = F.greatest(F.lit(0.0), F.lit(lam) * F.col("best") - F.log(F.greatest(F.lit(1.0), F.lit(k) * F.col("n"))))
     x2 = F.log1p(F.lit(lam) * F.col("total"))
     if clean.any() and not clean.all():
-        a1, a2 = lam * best - np.log(k * np.maximum(n, 1)), np.log1p(lam * total)
+        a1, a2 = np.maximum(0, lam * best - np.log(np.maximum(1, k * n))), np.log1p(lam * total)
         w1, w2, w0 = (float(v) for v in _logistic(np.column_stack([a1, a2]), toxic))
         score = 1 / (1 + F.exp(-(F.lit(w1) * x1 + F.lit(w2) * x2 + F.lit(w0))))
     else:

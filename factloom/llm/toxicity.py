@@ -13,6 +13,7 @@
 
 Labels are learned from a bounded sample (``SAMPLE`` labelled rows, the smallest by hash of
 the identifier): two thirds give the log-odds, the rest lambda, K and the curve.  Corpus counts and scores cover all documents.
+Of the features in at least ``LEAST`` of the learned texts every one with a bound other than 0 is kept; only the sample bounds their number.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from factloom.llm import _io
 from factloom.llm._text import as_strings, chunks, span_hashes, word_bounds
 
 SAMPLE = 20_000
-FEATURES = 1 << 18
+LEAST = 3
 HEADS = (4, 5, 6, 7, 8)
 SURE = 2.0
 PRIOR = 2.0
 CUT = 0.3
-_SLOTS = 1 << 20
+_SLOTS = 1 << 20  # of a first test; what passes it is compared in full
 _KINDS = np.arange(1, 2 + len(HEADS), dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[128:] = _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = False
@@ -52,26 +53,42 @@ def words_of(column: pa.Array):
 
 @dataclass
 class Scores:
-    """Feature scores in an open table: slot by low bits, checked by high bits."""
+    """Feature scores in an open table of at least four slots a feature; key 0 is an empty slot."""
 
-    check: np.ndarray
+    key: np.ndarray
     weight: np.ndarray
     support: np.ndarray
+    steps: int = 0
     drift: float = 0.0
 
     @classmethod
     def of(cls, features: np.ndarray, weight: np.ndarray, support: np.ndarray) -> Scores:
-        order = np.argsort(np.abs(support))  # of features that meet in a slot the best supported one stays
-        h, w, z = features[order].view(np.uint64), weight[order], support[order]
-        slot = h & np.uint64(_SLOTS - 1)
-        out = cls(np.zeros(_SLOTS, np.uint32), np.zeros(_SLOTS, np.float32), np.zeros(_SLOTS, np.float32))
-        out.check[slot], out.weight[slot], out.support[slot] = (h >> np.uint64(32)).astype(np.uint32), w, z
+        h, size = features.view(np.uint64), 1 << (4 * len(features)).bit_length()
+        out = cls(np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, np.float32))
+        left = np.arange(len(h))
+        while len(left):  # of features that meet in a free slot one takes it, the others try the next slot
+            slot = (h[left] + np.uint64(out.steps)) & np.uint64(size - 1)
+            free = out.key[slot] == 0
+            out.key[slot[free]] = h[left[free]]
+            won = out.key[slot] == h[left]
+            out.weight[slot[won]], out.support[slot[won]] = weight[left[won]], support[left[won]]
+            left = left[~won]
+            out.steps += 1
         return out
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """The score of each word."""
-        slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
-        known = self.check[slot] == (hashes >> np.uint64(32)).astype(np.uint32)
+        h = hashes.reshape(-1)
+        slot = (h & np.uint64(len(self.key) - 1)).astype(np.int64)
+        got = self.key[slot]
+        known = got == h
+        on = np.flatnonzero(~known & (got != 0))
+        for _ in range(1, self.steps):
+            slot[on] = (slot[on] + 1) & (len(self.key) - 1)
+            got = self.key[slot[on]]
+            known[on] = got == h[on]
+            on = on[(got != h[on]) & (got != 0)]
+        slot, known = slot.reshape(hashes.shape), known.reshape(hashes.shape)
         support = np.where(known, np.abs(self.support[slot]), 0)
         best = support.argmax(axis=0)
         column = np.arange(hashes.shape[1])
@@ -150,7 +167,7 @@ def _corpus_counts(texts: DataFrame, features: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["k", "n"])
 
-    got = texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most FEATURES + 1 rows
+    got = texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most one row a feature of the bounded sample, and one
     out = np.zeros(len(table) + 1)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     order = np.argsort(features.view(np.uint64))
@@ -159,25 +176,47 @@ def _corpus_counts(texts: DataFrame, features: np.ndarray) -> np.ndarray:
     return back
 
 
+def _odds(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int, prior_t, prior_c) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of features with given priors of the two classes, and their standard errors."""
+    a, b = t + prior_t, c + prior_c
+    size_t, size_c = n_t + 2 * PRIOR, n_c + 2 * PRIOR * max(1.0, n_c / max(1, n_t))
+    return np.log(a / np.maximum(size_t - a, 0.5)) - np.log(b / np.maximum(size_c - b, 0.5)), np.sqrt(1 / a + 1 / b)
+
+
+def _hopeful(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndarray:
+    """False only for features whose bound is 0 whatever their corpus counts.
+
+    The range of the prior is cut into short intervals; in each, the odds are furthest
+    from zero with the one class at its upper and the other at its lower end.
+    """
+    ratio = max(1.0, n_c / max(1, n_t))
+    out = np.zeros(len(t), dtype=bool)
+    ends = np.linspace(0.125, 1.125, 17) * PRIOR
+    for low, high in zip(ends[:-1], ends[1:], strict=True):
+        up, _ = _odds(t, c, n_t, n_c, high, low * ratio)
+        down, _ = _odds(t, c, n_t, n_c, low, high * ratio)
+        _, error = _odds(t, c, n_t, n_c, high, high * ratio)
+        out |= np.maximum(up, -down) > SURE * error - 1e-9
+    return out
+
+
 def _learned(texts: DataFrame, labelled: DataFrame) -> Scores:
     """Feature scores from the labelled sample and the counts of the whole corpus."""
     seen = _io.stored(_label_counts(labelled), "label-counts")
-    # the best candidates by a crude signal, bounded
-    rate = seen.filter("t + c >= 3 and f <> 0").withColumn("odd", F.abs(F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))) * F.sqrt(F.col("t") + F.col("c")))
-    kept = rate.orderBy(F.desc("odd"), "f").limit(FEATURES).select("f", "t", "c").toArrow()
+    kept = seen.filter(f"t + c >= {LEAST} and f <> 0").toArrow()  # bounded by the sample's texts
     f, t, c = (kept.column(i).to_numpy() for i in range(3))
     if not len(f):
         return Scores.of(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     sums = seen.filter("f = 0").select("t", "c").first()
     n_t, n_c = sums["t"], sums["c"]
+    hopeful = _hopeful(t, c, n_t, n_c)
+    f, t, c = f[hopeful], t[hopeful], c[hopeful]
     corpus, n_docs = _corpus_counts(texts, f), max(1, texts.count())
     prior = PRIOR * (np.minimum(1.0, corpus[:-1] / n_docs) + 0.125)
-    a, b = t + prior, c + prior * max(1.0, n_c / max(1, n_t))
-    size_t, size_c = n_t + 2 * PRIOR, n_c + 2 * PRIOR * max(1.0, n_c / max(1, n_t))
-    odds = np.log(a / np.maximum(size_t - a, 0.5)) - np.log(b / np.maximum(size_c - b, 0.5))
-    error = np.sqrt(1 / a + 1 / b)
+    odds, error = _odds(t, c, n_t, n_c, prior, prior * max(1.0, n_c / max(1, n_t)))
     bound = np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * error)
-    return Scores.of(f, np.clip(bound, -8, 8), odds / error)
+    use = bound != 0
+    return Scores.of(f[use], np.clip(bound, -8, 8)[use], (odds / error)[use])
 
 
 def _word_scores(labelled: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:

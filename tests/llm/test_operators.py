@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,23 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, marks.filter("false")).filter("score <> 0").count() == 0
 
 
+def test_toxicity_keeps_all_features(spark):
+    rng = np.random.default_rng(3)
+    common = [bytes(w).decode() for w in rng.integers(97, 123, (60_000, 10), dtype=np.uint8)]  # about 300,000 features
+    rows = [(" ".join(common), False)] * 12 + [(f"vile x{i}", True) for i in range(8)]
+    labelled = spark.createDataFrame(rows, "text string, toxic boolean")
+    scores = toxicity._learned(labelled.select("text"), labelled)
+    _, h, _ = next(toxicity.words_of(pa.array(["vile " + " ".join(common)])))
+    words = scores.words(h)
+    assert words[0] > 1 and (words[1:] < 0).all()
+
+
+def test_scores_lose_no_feature():
+    h = np.random.default_rng(4).integers(1, 1 << 63, 300_000)
+    scores = toxicity.Scores.of(h, np.full(len(h), 2.0), np.full(len(h), 3.0))
+    assert (scores.words(h.view(np.uint64)[None]) == 2).all() and not scores.words(h.view(np.uint64)[None] + np.uint64(1)).any()
+
+
 def test_fingerprints(spark):
     texts = odd_texts()
     got = by_id(fingerprints.compare_neighbours(table(spark, texts), part_rows=7))

@@ -319,6 +319,22 @@ def test_url_filters(spark):
     assert url_filters.judge_captures(df, entries.filter("false")).filter("verdict <> 'none'").count() == 0
 
 
+def test_url_filters_all_lengths(spark):
+    hosts = ["www.a.b.c.d.e.f.example.com", "x.bad.com", "bad.com", "z.org"]
+    paths = ["", "/", "/A/b", "/a/b/c?q=/d", "/a/bc", "//a", "/a//b", "/a/b/"]
+    listed = ["A.b.c.d.e.f.example.com", "b.c.d.e.f.example.com/a/b/c", "com/a", "WWW.bad.com/A/B", "x.bad.com:80", "http://user@z.org/a/b/", "z.org//a", "/a", ""]
+    clean = ["a.b.c.d.e.f.example.com", "b.c.d.e.f.example.com/a/b/c", "com/a", "bad.com/a/b", "x.bad.com", "z.org/a/b", "z.org//a"]
+    entries = spark.createDataFrame([(p, "block", "2024-01-01") for p in listed], "pattern string, action string, day string").select("pattern", "action", F.to_date("day").alias("listed_on"))
+    urls = [f"http://{h}{p}" for h in hosts for p in paths]
+    df = spark.createDataFrame([(i, u, "2024-01-02") for i, u in enumerate(urls)], "page_id long, url string, fetched_on string")
+    got = {r["page_id"]: r["pattern"] for r in url_filters.judge_captures(df, entries).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u[7:].lower().removeprefix("www.").partition("?")[0].partition("/")
+        split = [(*p.partition("/"), p) for p in clean]
+        hits = [p for h, _, k, p in split if f".{host}".endswith(f".{h}") and (not k or f"{path}/".startswith(f"{k}/"))]
+        assert got[i] == min(hits, key=lambda p: (-len(p), p), default=None), u
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_twin(spark, name):
     duckdb = pytest.importorskip("duckdb")

@@ -28,9 +28,9 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 #: Weak kinds: an account or client identifier, an opaque token, an endpoint.
-_ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,64})", re.ASCII | re.IGNORECASE)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])", re.ASCII)
-_ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s\"'<>]{4,512}", re.ASCII)
+_ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})", re.ASCII | re.IGNORECASE)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", re.ASCII)
+_ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s\"'<>]{4,}", re.ASCII)
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
 _ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "opaque": "secret", "endpoint": "endpoint"}
 _BLANK = re.compile(r"\n[ \t\r]*\n")

@@ -286,6 +286,14 @@ def test_secrets(spark):
     assert got[5]["spans"] == "account:0:9,endpoint:10:35"
 
 
+def test_secrets_of_any_length(spark):
+    token, name, link = "aB3" * 100, "n" * 200, "ssh://" + "h" * 900
+    parts = [f"user: {name}", token, link]
+    got = by_id(secret_scan.scan_secrets(table(spark, [" ".join(parts), f"see {token} alone", f"user: bob {token}"])))
+    assert got[0]["spans"] == "account:0:206,opaque:207:507,endpoint:508:1414" and got[0]["n_linked"] == 3
+    assert got[1]["spans"] == "" and got[2]["spans"] == "account:0:9,opaque:10:310"
+
+
 def test_mixing_budgets(spark):
     leaves = [("a", "x", "s", 100, 1, 1, 1), ("a", "x", "t", 10, 1, 1, 3), ("a", "y", "s", 50, 1, 1, 1), ("b", "x", "s", 30, 3, 1, 1)]
     df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long, w_domain long, w_lang long, w_source long")

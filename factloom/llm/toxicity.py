@@ -248,8 +248,8 @@ def _lambda(scores: np.ndarray, counts: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
-def _scanned(texts: DataFrame, shared, lam: float) -> DataFrame:
-    """Best and summed segment scores of each whole text, and its segments."""
+def _scanned(texts: DataFrame, shared, lam: float, k: float = 0.0) -> DataFrame:
+    """Best and summed segment scores of each whole text, and its significant segments (none without ``k``)."""
 
     def scan(batches):
         for b in batches:
@@ -261,7 +261,7 @@ def _scanned(texts: DataFrame, shared, lam: float) -> DataFrame:
                     n.append(y - x)
                     best.append(max((g[2] for g in found), default=0.0))
                     total.append(sum(g[2] for g in found))
-                    spots.append([{"first": u, "last": v - 1, "score": float(w)} for u, v, w in found if lam * w > 3])
+                    spots.append([{"first": u, "last": v - 1, "score": float(w)} for u, v, w in found if k > 0 and k * max(y - x, 1) * np.exp(-lam * w) < 0.01])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spots, kind)], names=["id", "n", "best", "total", "segments"])
 
@@ -302,12 +302,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scores.drift = drift
     shared = docs.sparkSession.sparkContext.broadcast(scores)
     lam = _lambda(*_word_scores(labelled.filter("not learn"), shared))
-    scan = _io.stored(_scanned(texts, shared, lam), "segments")
-    known = scan.join(F.broadcast(chosen.filter("not learn")), "id").select("n", "best", "total", "toxic").toArrow()  # at most ``sample`` rows and their repeats
+    known = _scanned(labelled.filter("not learn").select(F.col("toxic").cast("long").alias("id"), "text"), shared, lam).select("n", "best", "total", "id").toArrow()  # at most ``sample`` rows and their repeats
     n, best, total, toxic = (known.column(i).to_numpy().astype(float) for i in range(4))
     clean = toxic != 1
     k = clean.sum() / max(1e-9, (n[clean] * np.exp(-lam * best[clean])).sum()) if clean.any() else 1.0
     k = float(min(max(k, 1e-6), 1.0))
+    scan = _io.stored(_scanned(texts, shared, lam, k), "segments")
     expected = F.lit(k) * F.greatest("n", F.lit(1)) * F.exp(F.lit(-lam) * F.col("best"))
     # what the best segment has beyond chance; none for texts without one, however short
     x1 = F.greatest(F.lit(0.0), F.lit(lam) * F.col("best") - F.log(F.greatest(F.lit(1.0), F.lit(k) * F.col("n"))))
@@ -318,8 +318,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         score = 1 / (1 + F.exp(-(F.lit(w1) * x1 + F.lit(w2) * x2 + F.lit(w0))))
     else:
         score = F.lit(float(toxic.mean()) if len(toxic) else 0.0)
-    passages = F.filter("segments", lambda s: F.lit(k) * F.greatest("n", F.lit(1)) * F.exp(F.lit(-lam) * s["score"]) < 0.01)
-    out = scan.select(F.col("id").alias("doc_id"), score.alias("score"), passages.alias("passages"), (1 - F.exp(-expected)).alias("p_value"))
+    out = scan.select(F.col("id").alias("doc_id"), score.alias("score"), F.col("segments").alias("passages"), (1 - F.exp(-expected)).alias("p_value"))
     return out.select("doc_id", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.size("passages").alias("n_passages"), "p_value", "passages")
 
 

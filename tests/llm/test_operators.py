@@ -236,6 +236,16 @@ def test_toxicity_keeps_all_features(spark):
     assert words[0] > 1 and (words[1:] < 0).all()
 
 
+def test_toxic_passages_of_short_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, "vile x" if i % 5 == 0 else " ".join(rng.choice("abcdefgh") * 3 for _ in range(400)), int(i % 5 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(df, df.select("doc_id", "toxic"), drift=4.0).collect()  # segments of about 1
+    sure = [r for r in got if r["p_value"] < 1 - np.exp(-0.01) - 1e-9]  # the best segment meets the stated test
+    assert len(sure) == 40 and all(r["n_passages"] for r in sure)
+    assert not any(r["n_passages"] for r in got if r["doc_id"] % 5)
+
+
 def test_scores_lose_no_feature():
     h = np.random.default_rng(4).integers(1, 1 << 63, 300_000)
     scores = toxicity.Scores.of(h, np.full(len(h), 2.0), np.full(len(h), 3.0))

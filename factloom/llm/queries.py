@@ -32,7 +32,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_documents(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).drop("ids")
+    return sentencepiece_codec.encode_documents(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def source_number(source) -> F.Column:

@@ -174,6 +174,16 @@ def test_sentencepiece_is_the_library(spark):
     assert got[0]["n_tokens"] == 0 and got[2]["round_trip"] and got[2]["ids"] == codec.tool.encode("a b")
 
 
+def test_sentencepiece_query_returns_ids(spark):
+    codec = sentencepiece_codec.Codec.of(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in queries._documents(spark, SF).collect()}
+    got = by_id(queries.op2_sentencepiece(spark, SF))
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        assert r["ids"] == codec.tool.encode(texts[i] or "") and r["n_tokens"] == len(r["ids"])
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+
+
 def test_streaming_window_is_bounded():
     pieces = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aba", "bb"])}
     v = sentencepiece_codec.Vocabulary(pieces, {0: -3.0, 1: -3.1, 2: -2.0, 3: -2.5, 4: -4.0, 5: -2.2}, merges=False)

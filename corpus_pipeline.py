@@ -7,6 +7,7 @@ Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import exact_dedup, minhash_dedup, mixing, queries, sentencepiece_codec, toxicity
 
@@ -31,9 +32,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three quarters of all tokens, by the target weights of domains, languages and sources.
 
     A document is chosen once at most (one epoch); what a leaf lacks goes to its kin.
+    Rows without identifier take part like others.
     """
-    chosen = mixing.mix_sources(docs, queries.mix_weights(docs), queries.mix_domain(), budget_share=(3, 4), max_epochs=1, seed=1)
-    return mixing.mixed_documents(docs, chosen)
+    rows = queries.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    chosen = mixing.mix_sources(rows, queries.mix_weights(rows), queries.mix_domain(), budget_share=(3, 4), max_epochs=1, seed=1, row_col="_row")
+    return mixing.mixed_documents(rows, chosen, row_col="_row")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def leaf_quotas(leaves: DataFrame, budget_share: tuple[int, int], max_epochs: in
     return _filled(caps.join(mid, ["domain", "lang"]), ["domain", "lang"], "source", "w_source").select(*LEVELS, "tokens", "quota")
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame, domain, budget_share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame, domain, budget_share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Chosen documents, a row for each epoch: doc_id, domain, lang, source, epoch, n_tokens, take_tokens.
 
     domain: an expression over the documents' columns.  weights: (domain, lang, source,
@@ -78,43 +78,50 @@ def mix_sources(docs: DataFrame, weights: DataFrame, domain, budget_share: tuple
     source is the empty string; null and wordless texts have no tokens and are not chosen;
     rows that repeat an identifier are different documents; an empty table gives an empty
     result.  Order within a leaf and epoch: md5 of seed:epoch:doc_id, then doc_id.
+    row_col: a column of stored keys, one for each row; it goes along as a last column, so
+    that rows without identifier, or with the same one, can be told apart.
     """
+    row = [row_col] if row_col else []
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(domain, F.lit("")).alias("domain"),
         F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
         count_words(F.col(text_col)).alias("n_tokens"),
+        *row,
     ).filter("n_tokens > 0")
     rows = _io.stored(rows, "token-counts")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).join(weights, list(LEVELS))
     quota = leaf_quotas(leaves, budget_share, max_epochs).select(*LEVELS, F.expr("quota div tokens").alias("whole"), F.expr("quota % tokens").alias("part"))
     near = rows.join(quota, list(LEVELS))
     whole = near.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
-    whole = whole.select("doc_id", *LEVELS, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"))
+    whole = whole.select("doc_id", *LEVELS, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"), *row)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     last = near.filter("part > 0").withColumn("key", key).withColumn("span", F.substring("key", 1, RANGE_HEX))
     sums = last.groupBy(*LEVELS, "span").agg(F.sum("n_tokens").alias("own"), F.max("part").alias("part"))
     up_to = Window.partitionBy(*LEVELS).orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("before", F.sum("own").over(up_to) - F.col("own")).filter("before < part").select(*LEVELS, "span", "own", "before")
     placed = last.join(sums, [*LEVELS, "span"])
-    inside = placed.filter("before + own <= part").select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
-    rank = Window.partitionBy(*LEVELS, "span").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.filter("before + own <= part").select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"), *row)
+    rank = Window.partitionBy(*LEVELS, "span").orderBy("key", "doc_id", "n_tokens", *row).rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.filter("before + own > part").withColumn("ahead", F.col("before") + F.sum("n_tokens").over(rank) - F.col("n_tokens")).filter("ahead < part")
-    edge = edge.select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.least("n_tokens", F.expr("part - ahead")).alias("take_tokens"))
+    edge = edge.select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.least("n_tokens", F.expr("part - ahead")).alias("take_tokens"), *row)
     return whole.unionByName(inside).unionByName(edge)
 
 
-def mixed_documents(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: bool = False, row_col: str | None = None) -> DataFrame:
     """The documents of a mix, with all their columns, cut where the mix cuts them.
 
     A cut text is its first words joined by one space.  Without ``epochs`` a document
     chosen in several epochs is there once, with its longest cut; with it, once for each.
+    Rows are found by row_col, as given to ``mix_sources``, which is not returned; without
+    it by identifier, so rows without one are left out and rows that share one are cut alike.
     """
-    pick = chosen.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "epoch", F.col("take_tokens").alias("_take"), F.col("n_tokens").alias("_all"))
+    key = row_col or "doc_id"
+    pick = chosen.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), "epoch", F.col("take_tokens").alias("_take"), F.col("n_tokens").alias("_all"))
     if not epochs:
         pick = pick.groupBy("_id").agg(F.max("_take").alias("_take"), F.max("_all").alias("_all"))
-    both = docs.join(pick.select("_id", "_take", "_all"), docs[id_col] == F.col("_id"))
+    both = docs.join(pick.select("_id", "_take", "_all"), docs[row_col or id_col] == F.col("_id"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
-    columns = [F.when(F.col("_take") < F.col("_all"), cut).otherwise(F.col(text_col)).alias(c) if c == text_col else docs[c] for c in docs.columns]
+    columns = [F.when(F.col("_take") < F.col("_all"), cut).otherwise(F.col(text_col)).alias(c) if c == text_col else docs[c] for c in docs.columns if c != row_col]
     return both.select(*columns)

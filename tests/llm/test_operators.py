@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from factloom.llm import _io, exact_dedup, fingerprints, minhash_dedup, mixing, queries, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity, url_filters
 from factloom.llm.components import components
 
@@ -338,6 +339,49 @@ def test_mixing_documents(spark):
     assert mixing.mix_sources(docs.filter("false"), queries.mix_weights(docs), queries.mix_domain()).count() == 0
 
 
+def test_pipeline_mix_keeps_rows_without_identifier(spark):
+    rows = [(None if i % 3 else i // 6, f"t{i} " + "w " * (i % 7), "en", f"src{i % 4}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    got = [r["text"] for r in mixed.collect()]
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    assert sum(len(t.split()) for t in got) == total * 3 // 4
+    firsts = Counter(t.split()[0] for t in got)
+    assert max(firsts.values()) == 1 and any(r["doc_id"] is None for r in mixed.collect())
+
+
+def test_pipeline_stages(spark):
+    """Each stage on the rows that the one before it leaves, against brute force."""
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept, all_texts = _io.stored(stage["toxicity"](spark, docs, SF), "test-toxic"), texts(docs)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").filter(~toxicity.held_out())
+    bad = {r["doc_id"] for r in toxicity.score_toxicity(docs, labels).collect() if r["predicted"]}
+    before = texts(kept)
+    assert before == {i: t for i, t in all_texts.items() if i not in bad}
+    kept = _io.stored(stage["exact_dedup"](spark, kept, SF), "test-exact")
+    fold = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
+    last = {(t or "").translate(fold): i for i, t in sorted(before.items())}
+    before = {i: before[i] for i in last.values()}
+    assert texts(kept) == before
+    kept = _io.stored(stage["minhash_near_dedup"](spark, kept, SF), "test-near")
+    ids = sorted(before)
+    groups = brute_groups([before[i] for i in ids], 80)
+    before = {ids[k]: before[ids[k]] for k, (_, first) in enumerate(groups) if first == k}
+    assert texts(kept) == before
+    kept = _io.stored(stage["mixing"](spark, kept, SF), "test-mix")
+    words = lambda t: [w.decode() for w in WORD.findall((t or "").encode())]
+    mixed = texts(kept)
+    assert sum(len(words(t)) for t in mixed.values()) == sum(len(words(t)) for t in before.values()) * 3 // 4
+    assert all(t == before[i] or words(t) == words(before[i])[: len(words(t))] for i, t in mixed.items())
+    codec = sentencepiece_codec.Codec.of(queries.tokenizer_path("piece_bpe_32k.model"))
+    want = {i: codec.tool.encode(t) for i, t in mixed.items()}
+    assert {i: r["ids"] for i, r in by_id(stage["sentencepiece"](spark, kept, SF)).items()} == want
+    assert {i: r["ids"] for i, r in by_id(corpus_pipeline.run(spark, SF)).items()} == want
+
+
 def test_url_filters(spark):
     entries = spark.createDataFrame([("bad.com", "block", "2024-01-10"), ("bad.com", "none", "2024-02-01"), ("ok.bad.com", "allow", "2024-01-15"), ("bad.com/x", "review", "2024-01-01"), (None, "block", "2024-01-01")], "pattern string, action string, listed_on string").withColumn("listed_on", F.to_date("listed_on"))
     rows = [(1, "http://www.bad.com/", "2024-01-09"), (2, "http://a.bad.com:80/y", "2024-01-10"), (3, "http://bad.com/", "2024-02-01"), (4, "http://z.ok.bad.com/", "2024-01-20"), (5, "http://bad.com/x/1", "2024-03-01"), (6, None, "2024-01-10"), (7, "http://bad.com/", None), (8, "http://notbad.com/", "2024-01-11")]

@@ -4,15 +4,16 @@ Base findings stand alone: assigned secrets, access identifiers, long hexadecima
 Weak candidates (account identifiers, opaque tokens, endpoints) mean little alone.  Each
 document is cut into scopes (paragraphs, ended by a blank line); within a scope the parts
 are intervals, and a weak candidate is reported only if a part of a complementary kind
-lies within ``REACH`` code points of it.  The join is a sweep over the sorted intervals of
-one document: for each weak part the nearest part of each other role before and after, so
-no pairs are emitted.
+lies within ``REACH`` code points before or behind it.  The join is a sweep over the sorted
+intervals of one document: for each part the nearest part of each other role that ends
+before it or starts behind it, so no pairs are emitted.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,8 +32,12 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 _ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})", re.ASCII | re.IGNORECASE)
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", re.ASCII)
 _ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s\"'<>]{4,}", re.ASCII)
+#: An address with or without port, as an endpoint; a mail address, as an account.
+_ADDRESS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.]?[0-9])", re.ASCII)
+_MAIL = re.compile(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
 _ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "opaque": "secret", "endpoint": "endpoint"}
+_ROLES = ("secret", "identifier", "endpoint")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 Span = tuple[int, int, str]
 
@@ -53,45 +58,59 @@ def weak_spans(text: str) -> list[Span]:
         token = m[0]
         if any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token):
             out.append((m.start(), m.end(), "opaque"))
+    if "@" in text:
+        out += [(m.start(), m.end(), "account") for m in _MAIL.finditer(text)]
     if "://" in text:
         out += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
+    out += [(m.start(), m.end(), "endpoint") for m in _ADDRESS.finditer(text)]
     return out
 
 
+def role(text: str, span: Span) -> str | None:
+    """What a part is in a credential; a run of digits alone is a number and no part of any."""
+    s, e, kind = span
+    return None if kind == "hex" and text[s:e].isdigit() else _ROLE[kind]
+
+
 def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) -> list[Span]:
     """The weak spans that lie within reach of a complementary part of their scope.
 
-    A weak span that overlaps a base span is part of it and is not reported again.
+    A weak span that overlaps a base span is part of it and is not reported again.  Of weak
+    spans that overlap each other every one is a part of its own, but none is complementary
+    to a part that it overlaps.
     """
     if not weak:
         return []
     held = sorted((s, e) for s, e, _ in base)
-    starts = [s for s, _ in held]
+    starts, reached = [s for s, _ in held], list(itertools.accumulate((e for _, e in held), max))
     free = []
-    for s, e, kind in weak:
-        i = bisect.bisect_left(starts, e) - 1
-        if not any(held[j][1] > s for j in range(max(0, i - 1), i + 1)):
+    for s, e, kind in set(weak):
+        i = bisect.bisect_left(starts, e)  # base spans that start before this one ends
+        if not i or reached[i - 1] <= s:
             free.append((s, e, kind))
-    parts = sorted(base + free)
+    parts = sorted(p for p in base + free if role(text, p))
     if len(parts) < 2:
         return []
     cuts = [m.end() for m in _BLANK.finditer(text)]
     place = [bisect.bisect_right(cuts, s) for s, _, _ in parts]
+    roles = [role(text, p) for p in parts]
     ok = [False] * len(parts)
-    for order in (range(len(parts)), range(len(parts) - 1, -1, -1)):
-        last: dict[str, int] = {}  # role: the nearest part seen so far, by its edge
-        for i in order:
-            s, e, kind = parts[i]
-            role = _ROLE[kind]
-            for other, j in last.items():
-                if other != role and place[j] == place[i]:
-                    gap = s - parts[j][1] if j < i else parts[j][0] - e
-                    if gap <= reach:
-                        ok[i] = True
-            j = last.get(role)
-            if j is None or place[j] != place[i] or order.step < 0 or e > parts[j][1]:
-                last[role] = i
-    return [p for p, k in zip(parts, ok, strict=True) if k and p[2] in ("account", "opaque", "endpoint")]
+    by_end = sorted(range(len(parts)), key=lambda i: parts[i][1])
+    near: dict[tuple[int, str], int] = {}  # scope and role: the last end that is not behind a start
+    k = 0
+    for i, (s, _, _) in enumerate(parts):
+        while k < len(parts) and parts[by_end[k]][1] <= s:
+            near[place[by_end[k]], roles[by_end[k]]] = parts[by_end[k]][1]
+            k += 1
+        ok[i] = any(s - near.get((place[i], r), -reach - 1) <= reach for r in _ROLES if r != roles[i])
+    near, k = {}, len(parts) - 1
+    for i in reversed(by_end):  # the same from the other side: the first start that is not before an end
+        e = parts[i][1]
+        while k >= 0 and parts[k][0] >= e:
+            near[place[k], roles[k]] = parts[k][0]
+            k -= 1
+        ok[i] = ok[i] or any(near.get((place[i], r), e + reach + 1) - e <= reach for r in _ROLES if r != roles[i])
+    return [p for p, good in zip(parts, ok, strict=True) if good and p[2] in ("account", "opaque", "endpoint")]
 
 
 def find(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span]]:

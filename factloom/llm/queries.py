@@ -132,7 +132,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_FILTERS_SQL = r"""
 WITH c AS (
   SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), '(:[0-9]*)$|^www\.', '', 'g') AS host,
-         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)) AS head, DATE '2024-01-01' + (page_id % 366)::INT AS fetched_on
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1)) AS path, DATE '2024-01-01' + (page_id % 366)::INT AS fetched_on
   FROM pages),
 hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::BIGINT AS h FROM c WHERE host <> ''),
 entries AS (
@@ -142,8 +142,9 @@ entries AS (
   UNION ALL VALUES ('example.com', 'allow', DATE '2024-03-01'), ('example.net', 'block', DATE '2024-06-15'), ('example.org', 'review', DATE '2023-12-01')),
 one AS (SELECT pattern, listed_on, max(action) AS action FROM entries GROUP BY pattern, listed_on),
 spans AS (SELECT * FROM (SELECT pattern, action, listed_on AS valid_from, coalesce(lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on), DATE '9999-12-31') AS valid_to FROM one) WHERE action <> 'none'),
-keys AS (SELECT DISTINCT page_id, fetched_on, unnest(list_concat(doms, CASE WHEN head = '' THEN [] ELSE list_transform(doms, lambda x: x || '/' || head) END)) AS pattern
-  FROM (SELECT *, list_transform(range(greatest(1, len(p) - 5), len(p) + 1), lambda i: array_to_string(p[i:], '.')) AS doms FROM (SELECT *, string_split(host, '.') AS p FROM c WHERE host <> ''))),
+split AS (SELECT page_id, fetched_on, string_split(host, '.') AS labels, CASE WHEN path = '' THEN [] ELSE string_split(path, '/') END AS segments FROM c WHERE host <> ''),
+tops AS (SELECT page_id, fetched_on, segments, unnest(list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.'))) AS domain FROM split),
+keys AS (SELECT DISTINCT page_id, fetched_on, unnest(list_concat([domain], list_transform(range(1, len(segments) + 1), lambda k: domain || '/' || array_to_string(segments[:k], '/')))) AS pattern FROM tops),
 best AS (SELECT page_id, pattern, action, valid_from, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern) AS r
   FROM keys JOIN spans USING (pattern) WHERE fetched_on >= valid_from AND fetched_on < valid_to)
 SELECT c.page_id, host, fetched_on, coalesce(action, 'none') AS verdict, pattern, valid_from AS listed_on

@@ -61,6 +61,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_each(rows: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with one row of each of the ``repeated`` keys; only those rows are shuffled whole."""
+    single = rows.join(repeated, keys, "left_anti")
+    return single.unionByName(rows.join(repeated, keys, "left_semi").dropDuplicates(keys))
+
+
 SEGMENTS = 8
 
 

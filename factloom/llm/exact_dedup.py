@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import _io
@@ -165,8 +165,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z only.  keep: "max" or "min",
     the identifier that stays.  Null text counts as empty, empty texts are equal to
     each other, an empty table gives an empty result.  A row without identifier joins
-    its group and is kept only if no row of the group has one.  Rows that repeat an
-    identifier all carry its decision.  Other columns are not read.
+    its group (it counts as -2**63) and is kept only if no row of the group has one.  Rows
+    that repeat an identifier are judged each by its own text; those that repeat text and
+    identifier are all kept or all dropped.  Other columns are not read.
     digest_bytes below 32 only makes collisions likelier; results stay exact.
     """
     if keep not in ("max", "min"):
@@ -175,54 +176,71 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = _io.stored(flushed(docs, id_col, text_col, ranges, digest_bytes, keep, memtable), "digest-runs")
     runs = index.filter("kind = 1").select("range", "digests", "ids", "counts", "filter")
     hits = _io.stored(compacted(runs, digest_bytes, keep), "digest-hits")
-    rows = index.filter("kind = 0").select("doc_id", "sha")
-    if digest_bytes < 32:
-        rows = rows.withColumn("digest", F.substring("sha", 1, digest_bytes))
-    else:
-        rows = rows.withColumn("digest", F.col("sha"))
+    rows = index.filter("kind = 0").select("doc_id", "sha").withColumn("digest", F.col("sha") if digest_bytes == 32 else F.substring("sha", 1, digest_bytes))
     found = rows.join(hits, "digest", "left")
-    member = _io.stored(found.filter("n is not null and doc_id is not null").select("doc_id", "keep_id", "n"), "digest-members")
-    other = _verified(docs, member, id_col, text_col, keep)
-    out = found.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
+    member = found.filter("n is not null").select(_at("doc_id").alias("at"), "sha", "digest", _at("keep_id").alias("keep_at"), "n")
+    other = _verified(docs, _io.stored(member.distinct(), "digest-members"), id_col, text_col, keep, digest_bytes)
+    out = found.select("doc_id", "sha", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
     if other is not None:
-        lost = other.groupBy("was").agg(F.count("*").alias("lost"))
-        out = out.join(other.select("doc_id", F.col("keep_id").alias("own"), F.col("n").alias("own_n")).distinct(), "doc_id", "left")
-        out = out.join(lost, out.keep_id == lost.was, "left").select(
-            "doc_id",
-            F.coalesce("own", "keep_id").alias("keep_id"),
-            F.coalesce("own_n", F.col("group_size") - F.coalesce("lost", F.lit(0))).cast("long").alias("group_size"),
-            "text_sha256",
-        )
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        lost = other.groupBy("digest").agg(F.count("*").alias("lost"))
+        own = other.select("at", "sha", F.when(F.col("keep_at") > _NONE, F.col("keep_at")).alias("own"), F.col("n").alias("own_n")).distinct()
+        out = out.withColumn("at", _at("doc_id")).join(own, ["at", "sha"], "left").join(lost, "digest", "left")
+        mine = F.col("own_n").isNotNull()
+        out = out.select("doc_id", "sha", F.when(mine, F.col("own")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(mine, F.col("own_n")).otherwise(F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def _verified(docs: DataFrame, member: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame | None:
-    """Compare every hit with the text that stays; the rows that differ, regrouped."""
-    near = _io.IdFilter(member, "doc_id")
+def _at(column: str) -> Column:
+    return F.coalesce(column, F.lit(_NONE))
+
+
+def _verified(docs: DataFrame, member: DataFrame, id_col: str, text_col: str, keep: str, width: int) -> DataFrame | None:
+    """Compare every hit with the text that stays; the rows that differ, regrouped.
+
+    member: at, sha, digest, keep_at, n of each identifier and text among the hits.
+    """
+    near = _io.IdFilter(member, "at")
 
     def pick(batches):
         for b in batches:
-            yield b.filter(pa.array(near.test(b.column(2).to_numpy())))
-
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = text.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(pick, "doc_id long, text string, h long").drop("h")
-    salts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    texts = text.join(member.distinct(), "doc_id").withColumn("salts", salts)
-    mine = texts.select("doc_id", "keep_id", "text", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
-    stays = texts.filter("doc_id = keep_id").dropDuplicates(["keep_id"])
-    stays = stays.select("keep_id", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = mine.join(stays, ["keep_id", "salt"])
+            b = b.filter(pa.array(near.test(b.column(2).to_numpy())))
+            sha = [hashlib.sha256(t.as_buffer().to_pybytes().lower()).digest() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sha, pa.binary())], names=["at", "text", "sha"])
+
+    text = docs.select(_at_of(id_col).alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = text.withColumn("h", F.xxhash64("at")).mapInArrow(pick, "at long, text string, sha binary")
+    texts = text.join(member, ["at", "sha"]).withColumn("salts", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
+    mine = texts.select("at", "sha", "digest", "text", F.pmod(F.xxhash64("at", F.monotonically_increasing_id()), F.col("salts")).cast("int").alias("salt"))
+    stays = texts.filter("at = keep_at").groupBy("digest").agg(F.min("text").alias("kept_text"), F.max("salts").alias("salts"))
+    stays = stays.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = mine.join(stays, ["digest", "salt"])
     fold = lambda c: F.translate(c, UPPER, LOWER)
     differ = both.filter((F.col("text") != F.col("kept_text")) & (fold("text") != fold("kept_text")))
-    differ = _io.stored(differ.select("doc_id", F.col("keep_id").alias("was"), fold("text").alias("norm")), "digest-collisions")
+    differ = _io.stored(differ.select("at", "sha", "digest", fold("text").alias("norm")), "digest-collisions")
     if differ.isEmpty():
         return None
-    best = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    own = differ.groupBy("was", "norm").agg(best.alias("keep_id"), F.count("*").alias("n"))
-    return _io.stored(differ.join(own, ["was", "norm"]).select("doc_id", "was", "keep_id", "n"), "digest-regrouped")
+    best = F.max("at") if keep == "max" else F.coalesce(F.min(F.when(F.col("at") > _NONE, F.col("at"))), F.lit(_NONE))
+    own = differ.groupBy("digest", "norm").agg(best.alias("keep_at"), F.count("*").alias("n"))
+    return _io.stored(differ.join(own, ["digest", "norm"]).select("at", "sha", "digest", "keep_at", "n"), "digest-regrouped")
+
+
+def _at_of(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col, keep).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each text, with all its columns: the one with the largest (or smallest) identifier.
+
+    Rows without identifier take part and stay only where no equal text has one.  Of rows
+    that repeat identifier and text one stays.  Null text counts as empty, so one of all
+    empty texts stays.  An empty table gives an empty result.
+    """
+    at, sha = _io.fresh(docs, "_at", "_sha")
+    groups = _io.stored(exact_groups(docs, id_col, text_col, keep).select(_at("doc_id").alias(at), F.col("text_sha256").alias(sha), "kept"), "exact-groups")
+    gone = groups.filter("not kept").select(at, sha).distinct()
+    fold = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
+    out = docs.withColumns({at: _at_of(id_col), sha: F.sha2(fold, 256)}).join(gone, [at, sha], "left_anti")
+    again = _io.stored(groups.filter("kept").groupBy(at, sha).agg(F.count("*").alias("n")).filter("n > 1").select(at, sha), "repeated-rows")
+    if not again.isEmpty():
+        out = _io.one_each(out, again, [at, sha])
+    return out.select(*docs.columns)

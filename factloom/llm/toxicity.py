@@ -13,7 +13,7 @@
 
 Labels are learned from a bounded sample (``SAMPLE`` labelled rows, the smallest by hash of
 the identifier): two thirds give the log-odds, the rest lambda, K and the curve.  Corpus counts and scores cover all documents.
-Of the features in at least ``LEAST`` of the learned texts every one with a bound other than 0 is kept; only the sample bounds their number.
+Every feature with a bound other than 0 is kept; only the sample bounds their number.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from factloom.llm import _io
 from factloom.llm._text import as_strings, chunks, span_hashes, word_bounds
 
 SAMPLE = 20_000
-LEAST = 3
 HEADS = (4, 5, 6, 7, 8)
 SURE = 2.0
 PRIOR = 2.0
@@ -124,9 +123,10 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def _sample(labels: DataFrame, size: int) -> DataFrame:
     """At most ``size`` labelled rows (id, toxic, learn), the smallest by hash.
 
-    Two thirds teach the feature scores, the others (learn false) the calibration.
+    An identifier that is labelled both ways counts as toxic.  Two thirds teach the feature
+    scores, the others (learn false) the calibration.
     """
-    rows = labels.filter("id is not null and toxic is not null").dropDuplicates(["id"])
+    rows = labels.filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     return rows.orderBy(F.xxhash64("id"), "id").limit(size).withColumn("learn", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) > 0)
 
 
@@ -203,14 +203,17 @@ def _hopeful(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndarray:
 def _learned(texts: DataFrame, labelled: DataFrame) -> Scores:
     """Feature scores from the labelled sample and the counts of the whole corpus."""
     seen = _io.stored(_label_counts(labelled), "label-counts")
-    kept = seen.filter(f"t + c >= {LEAST} and f <> 0").toArrow()  # bounded by the sample's texts
+    sums = seen.filter("f = 0").select("t", "c").first()
+    n_t, n_c = (sums["t"], sums["c"]) if sums else (0, 0)
+
+    def hopeful(batches):
+        for b in batches:
+            yield b.filter(pa.array(_hopeful(b.column(1).to_numpy(), b.column(2).to_numpy(), n_t, n_c)))
+
+    kept = seen.filter("f <> 0").mapInArrow(hopeful, "f long, t long, c long").toArrow()  # bounded by the sample's texts
     f, t, c = (kept.column(i).to_numpy() for i in range(3))
     if not len(f):
         return Scores.of(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    sums = seen.filter("f = 0").select("t", "c").first()
-    n_t, n_c = sums["t"], sums["c"]
-    hopeful = _hopeful(t, c, n_t, n_c)
-    f, t, c = f[hopeful], t[hopeful], c[hopeful]
     corpus, n_docs = _corpus_counts(texts, f), max(1, texts.count())
     prior = PRIOR * (np.minimum(1.0, corpus[:-1] / n_docs) + 0.125)
     odds, error = _odds(t, c, n_t, n_c, prior, prior * max(1.0, n_c / max(1, n_t)))
@@ -263,9 +266,9 @@ def _scanned(texts: DataFrame, shared, lam: float, k: float = 0.0) -> DataFrame:
                     total.append(sum(g[2] for g in found))
                     spots.append([{"first": u, "last": v - 1, "score": float(w)} for u, v, w in found if k > 0 and k * max(y - x, 1) * np.exp(-lam * w) < 0.01])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spots, kind)], names=["id", "n", "best", "total", "segments"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spots, kind)], names=["id", "h", "n", "best", "total", "segments"])
 
-    return texts.mapInArrow(scan, "id long, n long, best double, total double, segments array<struct<first:int,last:int,score:double>>")
+    return texts.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(scan, "id long, h long, n long, best double, total double, segments array<struct<first:int,last:int,score:double>>")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -292,8 +295,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     runs of ASCII letters and digits or non-ASCII bytes, case folded.  Null and empty texts
     have no segment and get the base score.  Without labels of both kinds every score is
     the share of label 1 (0 without any).  Rows without identifier are scored too; rows
-    that repeat are scored alike; other columns are not read.
+    that repeat are scored alike; other columns are not read; an empty table gives an empty
+    result.
     """
+    return _scored(docs, labels, id_col, text_col, label_col, sample, drift).drop("h")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", sample: int = SAMPLE, drift: float = 0.5) -> DataFrame:
+    """``score_toxicity`` with h, Spark's hash of the text."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = _io.stored(_sample(labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")), sample), "label-sample")
     # bounded: at most ``sample`` rows of 12 bytes
@@ -318,8 +327,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         score = 1 / (1 + F.exp(-(F.lit(w1) * x1 + F.lit(w2) * x2 + F.lit(w0))))
     else:
         score = F.lit(float(toxic.mean()) if len(toxic) else 0.0)
-    out = scan.select(F.col("id").alias("doc_id"), score.alias("score"), F.col("segments").alias("passages"), (1 - F.exp(-expected)).alias("p_value"))
-    return out.select("doc_id", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.size("passages").alias("n_passages"), "p_value", "passages")
+    out = scan.select(F.col("id").alias("doc_id"), "h", score.alias("score"), F.col("segments").alias("passages"), (1 - F.exp(-expected)).alias("p_value"))
+    return out.select("doc_id", "h", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.size("passages").alias("n_passages"), "p_value", "passages")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -328,6 +337,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` not predicted toxic, with all their columns."""
-    bad = score_toxicity(docs, labels.filter(~held_out(id_col)), id_col, text_col).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_toxic"], "left_anti")
+    """The rows of ``docs`` not predicted toxic, with all their columns.
+
+    Each row is judged by its own text, also where it has no identifier or repeats one.
+    """
+    own, mark = _io.fresh(docs, "_own", "_mark")
+    none = F.lit(-(1 << 63))
+    bad = _scored(docs, labels.filter(~held_out(id_col)), id_col, text_col).filter("predicted = 1")
+    bad = bad.select(F.coalesce("doc_id", none).alias(own), F.col("h").alias(mark)).distinct()
+    rows = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), none), mark: F.xxhash64(F.col(text_col).cast("string"))})
+    return rows.join(bad, [own, mark], "left_anti").select(*docs.columns)

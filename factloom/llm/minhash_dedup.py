@@ -40,7 +40,7 @@ BLOCK_SETS, BLOCK_GRAMS = 2048, 1 << 20
 _COLUMNS = 2048
 _TILE = (32, 512)
 _SPREAD = np.uint32(0xC2B2AE35)
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SIGNED = "doc_id long, h long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def signature(grams: np.ndarray, coordinates: int, seed: int) -> np.ndarray:
@@ -87,7 +87,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
             sizes, digests, keys = [], [], []
             for grams in shingle_sets(as_strings(b.column(1))):
                 sizes.append(len(grams))
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                digests.append(_digest(grams))
                 if len(grams):
                     low = signature(grams, bands * rows, seed).astype(np.uint64).reshape(bands, rows)
                     key = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -99,23 +99,31 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
             pair = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             off = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(off, flat)], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(off, flat)], names=["doc_id", "h", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, _SIGNED)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.withColumn("h", F.xxhash64("text")).mapInArrow(sign, _SIGNED)
+
+
+def _digest(grams: np.ndarray) -> bytes:
+    """128 bits that stand for a set of sorted shingle hashes."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The sorted shingle hashes of the documents in ``wanted`` (rep)."""
-    near = _io.IdFilter(wanted, "rep")
+    """rep and the sorted shingle hashes of the classes in ``wanted`` (rep, low, set_a, set_b)."""
+    near = _io.IdFilter(wanted, "low")
 
     def read(batches):
         for b in batches:
             b = b.filter(pa.array(near.test(b.column(2).to_numpy())))
-            sets = [g.tobytes() for g in shingle_sets(as_strings(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "grams"])
+            sets = list(shingle_sets(as_strings(b.column(1))))
+            pair = np.frombuffer(b"".join(map(_digest, sets)), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([g.tobytes() for g in sets], pa.binary())], names=["low", "set_a", "set_b", "grams"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).filter("rep is not null")
-    return rows.withColumn("h", F.xxhash64("rep")).mapInArrow(read, "rep long, grams binary").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    rows = docs.select(F.col(id_col).cast("long").alias("low"), F.col(text_col).cast("string").alias("text")).filter("low is not null")
+    found = rows.withColumn("h", F.xxhash64("low")).mapInArrow(read, "low long, set_a long, set_b long, grams binary")
+    return found.join(wanted, ["low", "set_a", "set_b"]).select("rep", "grams").dropDuplicates(["rep"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -149,30 +157,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decimal string, compared exactly) are linked; component_id is the smallest
     identifier reachable, and that document is kept.  Null or wordless texts have no
     shingles, link with nothing and are kept.  A row without identifier is linked with
-    nothing: component_id null, kept.  Rows that repeat an identifier carry its decision
-    (their sets are united by it only if their texts are equal).  An empty table gives an
-    empty result; other columns are not read.
+    nothing: component_id null, kept.  Rows that repeat an identifier are judged each by its
+    own text.  An empty table gives an empty result; other columns are not read.
     """
+    return _grouped(docs, id_col, text_col, threshold, seed).drop("h")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: str, seed: int = 7) -> DataFrame:
+    """``near_groups`` with h, Spark's hash of the text."""
     ratio = Fraction(threshold)
     num, den = ratio.numerator, ratio.denominator
     bands, rows = banding(num / den)
     table = _io.stored(signed(docs, id_col, text_col, bands, rows, seed), "signatures")
     live = table.filter("doc_id is not null and n_shingles > 0")
-    classes = live.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = _io.stored(classes, "classes")
+    classes = live.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = _io.stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, as it is stored
     spread = classes.select("rep", "n", "copies", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     step = F.floor(F.log("n") / F.lit(-math.log(num / den) if num < den else 1.0) + 1e-9)
     split = F.when(F.col("m") <= SMALL_BUCKET, F.array("key")).otherwise(F.array(F.xxhash64("key", step), F.xxhash64("key", step + 1)))
     members = spread.join(shared, "key").select("rep", "n", "copies", F.explode(split).alias("key"))
     members = _io.stored(members, "buckets")
-    links = _links(docs, members, id_col, text_col, num, den)
-    low = classes.select("set_a", "set_b", "rep")
+    links = _links(docs, classes, members, id_col, text_col, num, den)
+    low = classes.select("set_a", "set_b", "low")
     if links is not None:
-        low = low.join(links.withColumnRenamed("u", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("label", "rep").alias("rep"))
-    low = low.withColumnRenamed("rep", "low")
-    out = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(low, ["set_a", "set_b"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
+        named = _io.stored(links.unionByName(links.select(F.col("label").alias("u"), "label").distinct()).withColumnRenamed("u", "rep"), "labels")
+        least = named.join(classes.select("rep", "low"), "rep").groupBy("label").agg(F.min("low").alias("least"))
+        moved = named.join(least, "label").select("rep", "least")
+        low = classes.select("set_a", "set_b", "rep", "low").join(moved, "rep", "left").select("set_a", "set_b", F.coalesce("least", "low").alias("low"))
+    out = table.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(low, ["set_a", "set_b"], "left")
+    out = out.select("doc_id", "h", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -274,11 +288,12 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame | None:
-    """Connected documents (u, label), from enough links to connect all linked members of each bucket."""
+def _links(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame | None:
+    """Connected classes (u, label), from enough links to connect all linked members of each bucket."""
     if members.isEmpty():
         return None
-    sets = _io.stored(_sets(docs, members.select("rep").distinct(), id_col, text_col), "sets")
+    wanted = _io.stored(classes.select("rep", "low", "set_a", "set_b").join(members.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    sets = _io.stored(_sets(docs, wanted, id_col, text_col), "sets")
     # a star in each bucket: its leader, the text with most copies, against all others
     lead = members.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("rep"), "n")).alias("top")).select("key", (-F.col("top.rep")).alias("lead"), F.col("top.n").alias("lead_n"))
     met = members.join(lead, "key").filter(f"rep <> lead and {den} * least(n, lead_n) >= {num} * greatest(n, lead_n)")
@@ -296,6 +311,21 @@ def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, num:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "0.8") -> DataFrame:
-    """One row of each group of near-duplicates, with all its columns."""
-    gone = near_groups(docs, id_col, text_col, threshold).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates, with all its columns: the one with the smallest identifier.
+
+    Rows without identifier take part and stay only where nothing near has one; of several
+    one stays, the smallest by hash of the text.  Of rows that repeat identifier and text one
+    stays.  Texts without words are near nothing and all stay.  An empty table gives an empty
+    result.
+    """
+    own, mark = _io.fresh(docs, "_own", "_mark")
+    unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
+    rows = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), unnamed), mark: F.xxhash64(F.col(text_col).cast("string"))})
+    groups = _grouped(rows, own, text_col, threshold).select(F.col("doc_id").alias(own), F.col("h").alias(mark), "n_shingles", "kept")
+    groups = _io.stored(groups, "near-groups")
+    out = rows.join(groups.filter("not kept").select(own, mark).distinct(), [own, mark], "left_anti")
+    again = groups.filter("kept and n_shingles > 0").groupBy(own, mark).agg(F.count("*").alias("n")).filter("n > 1").select(own, mark)
+    again = _io.stored(again, "repeated-rows")
+    if not again.isEmpty():
+        out = _io.one_each(out, again, [own, mark])
+    return out.select(*docs.columns)

@@ -118,10 +118,10 @@ def mixed_documents(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id",
     it by identifier, so rows without one are left out and rows that share one are cut alike.
     """
     key = row_col or "doc_id"
-    pick = chosen.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), "epoch", F.col("take_tokens").alias("_take"), F.col("n_tokens").alias("_all"))
+    own, take, whole = _io.fresh(docs, "_own", "_take", "_whole")
+    pick = chosen.filter(F.col(key).isNotNull()).select(F.col(key).alias(own), "epoch", F.col("take_tokens").alias(take), F.col("n_tokens").alias(whole))
     if not epochs:
-        pick = pick.groupBy("_id").agg(F.max("_take").alias("_take"), F.max("_all").alias("_all"))
-    both = docs.join(pick.select("_id", "_take", "_all"), docs[row_col or id_col] == F.col("_id"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
-    columns = [F.when(F.col("_take") < F.col("_all"), cut).otherwise(F.col(text_col)).alias(c) if c == text_col else docs[c] for c in docs.columns if c != row_col]
-    return both.select(*columns)
+        pick = pick.groupBy(own).agg(F.max(take).alias(take), F.max(whole).alias(whole))
+    both = docs.withColumn(own, F.col(row_col or id_col).cast("long")).join(pick.select(own, take, whole), own)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col(take).cast("int")), " ")
+    return both.select(*[F.when(F.col(take) < F.col(whole), cut).otherwise(F.col(text_col)).alias(c) if c == text_col else c for c in docs.columns if c != row_col])

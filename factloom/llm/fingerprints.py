@@ -24,6 +24,7 @@ K = 128
 PART_ROWS = 4096
 _TOP = np.uint64(1 << 48)
 _WIDTH = 6
+_COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, in_next double, next_id long"
 
 
 def sketch(grams: np.ndarray, k: int = K) -> np.ndarray:
@@ -128,42 +129,53 @@ def edited_texts(text: str, following: str) -> str:
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, part_rows: int = PART_ROWS) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, next_id.  The next document is the next row by ascending
-    identifier (null first), then text; after the last comes the first.  A table of one
-    row is its own next.  Null text is empty.  An empty table gives an empty result.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, n_distinct,
+    near_edited, near_next, in_next, next_id.  The next document is the next row by
+    ascending identifier (null first), then by hash of the text; after the last comes the
+    first.  A table of one row is its own next.  n_distinct is the estimated number of
+    shingles, in_next the estimated share of them that the next document has.  Null text
+    is empty.  An empty table gives an empty result.
 
-    Rows are dealt to parts of contiguous identifiers.  The first row of each part is
-    also sent to the part before it, so each part is read once, row by row.
+    Rows are dealt to parts of contiguous keys, one for each task.  A part's border is the
+    key of its first row, so that row is known as it is read and goes to the part before
+    too: each part is then read once, row by row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = _order.bounds(rows, "doc_id", max(1, -(-rows.count() // part_rows)))
-    rows = rows.withColumn("part", _order.part_of("doc_id", cuts))
-    used = [r["part"] for r in rows.select("part").distinct().orderBy("part").collect()]  # at most one row a part
-    spark = docs.sparkSession
-    back = spark.createDataFrame([(p, used[i - 1]) for i, p in enumerate(used)] or [(0, 0)], "part int, before int")
-    lowest = rows.groupBy("part").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none"))
-    lowest = lowest.join(F.broadcast(back), "part").select("part", "before", F.when(~F.col("none"), F.col("low")).alias("first"))
-    # one row a part, as few as the parts: broadcast, so that texts are not shuffled for it
-    ghosts = rows.join(F.broadcast(lowest), (rows.part == lowest.part) & rows.doc_id.eqNullSafe(lowest["first"])).groupBy("before").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    ghosts = ghosts.select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("ghost"))
-    dealt = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(max(1, len(used)), "part").sortWithinPartitions("part", "ghost", "doc_id", "text")
+    rows = _order.keyed(docs, id_col, text_col)
+    edges, lowest = _order.borders(rows, part_rows), _order.least(rows)
+    last = len(edges.at)
+    shared = docs.sparkSession.sparkContext.broadcast(edges)
+
+    def deal(batches):
+        for b in batches:
+            at, h = b.column(2).to_numpy(), b.column(3).to_numpy()
+            part = shared.value.part(at, h)
+            ends = np.flatnonzero(shared.value.first(part, at, h))
+            start = np.flatnonzero((at == lowest[0]) & (h == lowest[1]))
+            pick = np.concatenate([np.arange(len(at)), ends, start])
+            goal = np.concatenate([part, part[ends] - 1, np.full(len(start), last, np.int32)])
+            ghost = np.arange(len(pick)) >= len(at) + len(ends)
+            turn = np.where(ghost, 2, np.arange(len(pick)) >= len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(goal.astype(np.int32)), pa.array(turn.astype(np.int32)), *(b.column(i).take(pa.array(pick)) for i in (2, 3, 0, 1))], names=["part", "turn", "at", "h", "doc_id", "text"])
+
+    dealt = rows.mapInArrow(deal, "part int, turn int, at long, h long, doc_id long, text string")
+    # turn: 0 the part's own rows, 1 copies of the next part's first row, 2 of the first row of all
+    dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("turn", "at", "h", "text")
 
     def run(batches):
-        held: tuple | None = None  # id, text, part, sketch
+        held: tuple | None = None  # id, text, sketch
+        over = False
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some = b.slice(i, 256)
-                now = list(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), some.column(3).to_pylist(), sketches(some.column(1), k), strict=True))
                 pairs = []
-                for doc, text, part, ghost, own in now:
-                    if held is not None and held[2] == part:
-                        pairs.append((held, (doc, text, part, own)))
-                    held = None if ghost else (doc, text, part, own)
+                for turn, doc, text, own in zip(some.column(1).to_pylist(), some.column(4).to_pylist(), some.column(5).to_pylist(), sketches(some.column(5), k), strict=True):
+                    if held is not None and not over:
+                        pairs.append((held, (doc, text, own)))
+                    held, over = (doc, text, own), over or turn > 0
                 if pairs:
                     yield _compared(pairs, k)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_id long")
+    return dealt.mapInArrow(run, _COMPARED)
 
 
 def _compared(pairs: list[tuple], k: int) -> pa.RecordBatch:
@@ -173,10 +185,12 @@ def _compared(pairs: list[tuple], k: int) -> pa.RecordBatch:
         "doc_id": pa.array([a[0] for a, _ in pairs], pa.int64()),
         "n_chars": pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-        "fingerprint": [pack(a[3]) for a, _ in pairs],
+        "fingerprint": [pack(a[2]) for a, _ in pairs],
         "edited_fingerprint": [pack(m) for m in marks],
-        "near_edited": pa.array([resemblance(a[3], m, k) for (a, _), m in zip(pairs, marks, strict=True)], pa.float64()),
-        "near_next": pa.array([resemblance(a[3], b[3], k) for a, b in pairs], pa.float64()),
+        "near_edited": pa.array([resemblance(a[2], m, k) for (a, _), m in zip(pairs, marks, strict=True)], pa.float64()),
+        "near_next": pa.array([resemblance(a[2], b[2], k) for a, b in pairs], pa.float64()),
+        "n_distinct": pa.array([distinct(a[2], k) for a, _ in pairs], pa.float64()),
+        "in_next": pa.array([containment(a[2], b[2], k) for a, b in pairs], pa.float64()),
         "next_id": pa.array([b[0] for _, b in pairs], pa.int64()),
     }
     return pa.RecordBatch.from_pydict(cols)

@@ -11,9 +11,20 @@ from factloom import lookups
 from factloom.functions import text
 
 
+def suffixes(host: Column) -> Column:
+    """The host and all domains above it, longest first."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def listed(tops: Column, domains: list[str]) -> Column:
+    """Whether one of a host's suffixes is one of the domains (a set of fixed size)."""
+    return F.exists(tops, lambda d: d.isin(*domains))
+
+
 def suffix_of(host: Column, domains: list[str]) -> Column:
     """Whether the host is one of the domains or below one."""
-    return reduce(lambda a, b: a | b, [(host == d) | host.endswith("." + d) for d in domains])
+    return listed(suffixes(host), domains)
 
 
 def first_match(cases: list[tuple[Column, float]], otherwise: float) -> Column:
@@ -23,17 +34,31 @@ def first_match(cases: list[tuple[Column, float]], otherwise: float) -> Column:
     return out.otherwise(F.lit(otherwise))
 
 
+_NAMES = list(dict.fromkeys(d for d, _ in lookups.DOMAIN_TRUST))
+_TRUST = [dict(reversed(lookups.DOMAIN_TRUST))[d] for d in _NAMES]
+
+
+def host_trust(h: Column, tops: Column) -> Column:
+    """Trust in a host with these suffixes: the first listed domain, else rules, else 0.5."""
+    names, values = F.array(*[F.lit(d) for d in _NAMES]), F.array(*[F.lit(float(w)) for w in _TRUST])
+    place = F.array_min(F.filter(F.transform(tops, lambda d: F.array_position(names, d)), lambda i: i > 0))
+    rules = [(h.endswith(".gov") | h.endswith(".gov.br"), 0.95), (h.endswith(".edu") | h.endswith(".edu.br") | h.contains(".ac."), 0.9), (h.rlike(lookups.UNIVERSITY), 0.9)]
+    return F.when(h == "", F.lit(0.5)).otherwise(F.coalesce(F.get(values, place.cast("int") - 1), first_match(rules, 0.5)))
+
+
 def domain_trust(url: Column) -> Column:
     """Trust in a URL's domain; 0.5 when unknown or empty."""
     h = text.host(url)
-    listed = [((h == d) | h.endswith("." + d), w) for d, w in lookups.DOMAIN_TRUST]
-    rules = [(h.endswith(".gov") | h.endswith(".gov.br"), 0.95), (h.endswith(".edu") | h.endswith(".edu.br") | h.contains(".ac."), 0.9), (h.rlike(lookups.UNIVERSITY), 0.9)]
-    return first_match([(h == "", 0.5), *listed, *rules], 0.5)
+    return host_trust(h, suffixes(h))
 
 
-def is_social(url: Column, publisher: Column) -> Column:
+def social_host(tops: Column, publisher: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(F.coalesce(publisher, F.lit(""))), "[^a-z0-9]+", " "), " ")
-    return suffix_of(text.host(url), lookups.SOCIAL_DOMAINS) | F.arrays_overlap(words, F.array(*[F.lit(p) for p in lookups.SOCIAL_PUBLISHERS]))
+    return listed(tops, lookups.SOCIAL_DOMAINS) | F.exists(words, lambda w: w.isin(*lookups.SOCIAL_PUBLISHERS))
+
+
+def is_social(url: Column, publisher: Column) -> Column:
+    return social_host(suffixes(text.host(url)), publisher)
 
 
 def rating_score(rating: Column) -> Column:
@@ -46,22 +71,27 @@ def rating_score(rating: Column) -> Column:
 
 def source_tags(url: Column, publisher: Column, rating: Column) -> Column:
     """Sorted tags of a source."""
-    h, pub = text.host(url), F.lower(text.stripped(F.coalesce(publisher, F.lit(""))))
+    h = text.host(url)
+    return host_tags(h, suffixes(h), url, publisher, rating)
+
+
+def host_tags(h: Column, tops: Column, url: Column, publisher: Column, rating: Column) -> Column:
+    pub = F.lower(text.stripped(F.coalesce(publisher, F.lit(""))))
     low, rate = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(rating, F.lit("")))
     some = h != ""
-    below = lambda domains: some & suffix_of(h, domains)
+    below = lambda domains: some & listed(tops, domains)
     has = lambda c, *words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
     checked = has(low, *lookups.FACT_CHECK_DOMAINS)
     rules = [
         ("fact-check", has(rate, "fact-check") | rate.isin([k for k, _ in lookups.RATINGS]) | checked),
-        ("social", is_social(url, publisher)),
+        ("social", social_host(tops, publisher)),
         ("gov", (some & (h.endswith(".gov") | h.endswith(".gov.br"))) | has(pub, "minist", "prefeitura", "governo") | (pub == "gov")),
         ("academic", (some & (h.endswith(".edu") | h.endswith(".edu.br") | h.contains(".ac."))) | has(pub, "universidade", "universidad", "university")),
         ("wiki", below(lookups.WIKI_DOMAINS)),
         ("video", below(lookups.VIDEO_DOMAINS)),
         ("forum", below(lookups.FORUM_DOMAINS)),
-        ("blog", some & (suffix_of(h, lookups.BLOG_DOMAINS) | text.has_blog_path(url) | pub.contains("blog"))),
-        ("news", (some & (suffix_of(h, lookups.NEWS_DOMAINS) | has(h, "noticias", "news", "globo.com"))) | has(pub, "noticias", "news", "jornal")),
+        ("blog", some & (listed(tops, lookups.BLOG_DOMAINS) | text.has_blog_path(url) | pub.contains("blog"))),
+        ("news", (some & (listed(tops, lookups.NEWS_DOMAINS) | has(h, "noticias", "news", "globo.com"))) | has(pub, "noticias", "news", "jornal")),
         ("press-release", below(lookups.PRESS_DOMAINS)),
     ]
     return F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(tag)) for tag, test in rules])))
@@ -159,9 +189,27 @@ def threshold(raw: Column) -> Column:
     return F.greatest(F.lit(0.5), F.least(F.lit(0.99), t))
 
 
+def margin(w: Column, b: Column, x: Column) -> Column:
+    return text.dot(w, x) + b
+
+
+def sigmoid(m: Column) -> Column:
+    return 1 / (1 + F.exp(-m))
+
+
+def curve(m: Column, bounds: list[float], values: list[float]) -> Column:
+    """A curve through the points (bounds, values), straight between them and level outside."""
+    x, y = (F.array(*[F.lit(float(v)) for v in c]) for c in (bounds, values))
+    i = F.size(F.filter(x, lambda v: v <= m))
+    at = lambda c, k: F.element_at(c, k)
+    low, high = F.greatest(i, F.lit(1)), F.least(i + 1, F.lit(len(bounds)))
+    width = at(x, high) - at(x, low)
+    return F.when(width > 0, at(y, low) + (at(y, high) - at(y, low)) * (F.greatest(m, at(x, low)) - at(x, low)) / F.when(width > 0, width)).otherwise(at(y, low))
+
+
 def probability(w: Column, b: Column, x: Column) -> Column:
     """Logistic P(true) in per cent."""
-    return 100.0 / (1 + F.exp(-(text.dot(w, x) + b)))
+    return 100.0 * sigmoid(margin(w, b, x))
 
 
 def auto_label(p: Column, limit: Column, negative: str) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -35,22 +35,34 @@ def tokens(c: Column) -> Column:
 def claims(c: Column, most: int = 3) -> Column:
     """The first sentences of at least eight words not ending in a colon, else the whole text."""
     text = stripped(F.coalesce(c, F.lit("")))
-    parts = F.transform(F.split(text, r"(?<=[.!?])(?U)\s+"), stripped)
-    good = F.filter(parts, lambda p: (F.size(tokens(p)) >= 8) & ~p.endswith(":"))
+    parts = F.split(text, r"(?<=[.!?])(?U)\s+")  # none has white space at its ends
+    good = F.filter(parts, lambda p: p.rlike(r"(?U)^(?:\S++\s++){7}\S") & ~p.endswith(":"))
     return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(good) > 0, F.slice(good, 1, most)).otherwise(F.array(text))
 
 
+_C = r"[\p{L}\p{N}_À-ÿ]"
+#: A run of at least three word characters that are not all digits; each run is looked at once.
+_CONTENT = rf"(?<!{_C})(?!\p{{Nd}}++(?!{_C})){_C}{{3,}}"
+
+
 def content_tokens(c: Column) -> Column:
     """Lower-case words without stop words, numbers and words under three letters."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_À-ÿ]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in lookups.STOPWORDS])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w) & ~w.rlike(r"^\p{Nd}+$") & (F.length(w) >= 3))
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(_CONTENT), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*lookups.STOPWORDS))
+
+
+def content_set(c: Column) -> Column:
+    return F.array_distinct(content_tokens(c))
+
+
+def overlap_of(a: Column, b: Column) -> Column:
+    """Share of the distinct words a that are in b; 0 without any."""
+    return F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.lit(1), F.size(a))
 
 
 def overlap_ratio(claim: Column, other: Column) -> Column:
     """Share of the claim's distinct content words that the other text has; 0 without any."""
-    a, b = F.array_distinct(content_tokens(claim)), F.array_distinct(content_tokens(other))
-    return F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.lit(1), F.size(a))
+    return overlap_of(content_set(claim), content_set(other))
 
 
 def host(url: Column) -> Column:
@@ -87,30 +99,49 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
-def _count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+_W = r"\p{L}\p{N}_"
+#: Words with a letter; words of three or more characters of which none is lower case.
+_ALPHA = rf"(?<![\p{{N}}_])[\p{{N}}_]*+\p{{L}}[{_W}]*"
+_NO_LOWER = rf"(?<![{_W}])[{_W}&&[^\p{{Ll}}\p{{Lt}}]]{{3,}}+(?![{_W}])"
 
 
-def style_features(c: Column) -> dict[str, Column]:
-    """The eight style numbers of a text, all 0 for null or empty text."""
-    t = F.coalesce(c, F.lit(""))
-    words = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    alpha = F.filter(words, lambda w: w.rlike(r"\p{L}"))
-    caps = F.size(F.filter(alpha, lambda w: (F.length(w) >= 3) & w.rlike(r"\p{Lu}") & ~w.rlike(r"[\p{Ll}\p{Lt}]")))
-    n = F.size(words)
+def with_style(rows: DataFrame, text_col: str = "text", keep: bool = True) -> DataFrame:
+    """Adds the eight style numbers of a text (all 0 for null or empty text), or has only them.
+
+    The text is taken apart once, in a projection of its own that the numbers are read from.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    extract = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    less = lambda mark: F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))
     low = F.lower(t)
     lexicon = reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in lookups.SENSATIONAL])
-    letters = F.aggregate(alpha, F.lit(0), lambda s, w: s + F.length(w))
-    return {
-        "upper_ratio": _ratio(_count(t, r"\p{Lu}"), F.greatest(F.lit(1), _count(t, r"\p{L}"))),
-        "allcaps_ratio": _ratio(caps, F.greatest(F.lit(1), n)),
-        "punct_ratio": _ratio(_count(t, "[!?]"), F.greatest(F.lit(1), F.length(t))),
-        "exclaim": F.least(F.lit(10), _count(t, "!")) / 10.0,
-        "question": F.least(F.lit(10), _count(t, r"\?")) / 10.0,
-        "avg_word_len": F.least(F.lit(20.0), _ratio(letters, F.size(alpha))) / 20.0,
-        "type_token_ratio": _ratio(F.size(F.array_distinct(F.transform(alpha, F.lower))), F.size(alpha)),
-        "lexicon_density": F.least(F.lit(1.0), _ratio(lexicon, F.greatest(F.lit(1), n))),
+    parts = F.struct(
+        extract(_ALPHA).alias("alpha"),
+        F.size(F.filter(extract(_NO_LOWER), lambda w: w.rlike(r"\p{Lu}"))).alias("caps"),
+        F.regexp_count(t, F.lit(rf"(?<![{_W}])[\p{{N}}_]++(?!\p{{L}})")).alias("bare"),
+        F.regexp_count(t, F.lit(r"\p{Lu}")).alias("upper"),
+        F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).alias("letters"),
+        F.length(t).alias("size"),
+        less("!").alias("calls"),
+        less("?").alias("asks"),
+        lexicon.alias("lexicon"),
+    )
+    p = lambda name: F.col(f"_parts.{name}")
+    some = lambda c: F.greatest(F.lit(1), c)
+    n = F.size(p("alpha"))
+    words = n + p("bare")
+    numbers = {
+        "upper_ratio": _ratio(p("upper"), some(p("letters"))),
+        "allcaps_ratio": _ratio(p("caps"), some(words)),
+        "punct_ratio": _ratio(p("calls") + p("asks"), some(p("size"))),
+        "exclaim": F.least(F.lit(10), p("calls")) / 10.0,
+        "question": F.least(F.lit(10), p("asks")) / 10.0,
+        "avg_word_len": F.least(F.lit(20.0), _ratio(F.length(F.array_join(p("alpha"), "")), n)) / 20.0,
+        "type_token_ratio": _ratio(F.size(F.array_distinct(F.transform(p("alpha"), F.lower))), n),
+        "lexicon_density": F.least(F.lit(1.0), _ratio(p("lexicon"), some(words))),
     }
+    kept = [c for c in rows.columns if c not in STYLE] if keep else []
+    return rows.withColumn("_parts", parts).select(*kept, *[v.alias(k) for k, v in numbers.items()])
 
 
 def preview(c: Column, n: int = 300) -> Column:
@@ -145,11 +176,12 @@ def _bin(word: str) -> int:
 def _embedder(dim: int):
     @F.pandas_udf(ArrayType(DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
+        place, each = pd.factorize(texts.fillna(""))  # a text that repeats is embedded once
         out = []
-        for t in texts:
+        for t in each:
             v = np.bincount([_bin(w) % dim for w in (t or "").lower().split()] or [0], minlength=dim).astype(float) * bool(t and not t.isspace())
             out.append(v / (np.sqrt((v * v).sum()) + 1e-12))
-        return pd.Series(out)
+        return pd.Series([out[i] for i in place])
 
     return embed
 

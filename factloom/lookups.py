@@ -98,4 +98,7 @@ API = {"k": 20, "w_hist": 0.5, "w_bert": 0.35, "w_fontes": 0.33, "max_tokens": 5
 CLI = {"k": 8, "w_hist": 0.6, "w_bert": 0.4, "w_fontes": 0.0, "max_tokens": 512, "overlap_tokens": 64, "hist_agg": "max", "bert_agg": "mean"}
 CAPITAL, SMALL = "A-ZÁÀÂÃÉÊÍÓÔÕÚÇ", "a-záàâãéêíóôõúç"
 EVIDENCE_TOP = 10
+SHOWN = 10
+MATCHES = 8
+PAGE_CHARS = 60_000
 MIN_SIMILARITY = 0.25

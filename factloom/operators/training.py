@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import importlib.util
+import json
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from factloom.functions import text
+from factloom.functions import scoring, text
 
 
 def label_classes(corpus: DataFrame) -> list[str]:
@@ -22,13 +26,25 @@ def label_classes(corpus: DataFrame) -> list[str]:
 
 
 def split_assignment(corpus: DataFrame, test_share: tuple[int, int] = (1, 5), seed: int = 42) -> DataFrame:
-    """Adds is_test: within each label the rows smallest by md5 of seed:doc_id, a fixed share."""
+    """Adds is_test: within each label the rows smallest by md5 of seed:doc_id, a fixed share.
+
+    Counts by ranges of the hash find the range in which the share of a label ends; only
+    that range is ranked, so a label with most rows is no hot group.  Each label's last test
+    row (as few as there are classes) is then compared with all rows.
+    """
     num, den = test_share
-    order = Window.partitionBy("label").orderBy("_key", "doc_id")
-    rows = corpus.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")))
-    size = F.count("*").over(Window.partitionBy("label"))
-    limit = F.floor((size * num * 2 + den) / (2 * den))
-    return rows.withColumn("is_test", F.row_number().over(order) <= limit).drop("_key")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    keys = corpus.select("label", "doc_id", key.alias("_key")).withColumn("_span", F.substring("_key", 1, 3))
+    sums = keys.groupBy("label", "_span").agg(F.count("*").alias("_own"))  # at most 4,096 rows a label
+    each = Window.partitionBy("label")
+    size, up_to = F.sum("_own").over(each), F.sum("_own").over(each.orderBy("_span").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"_limit": F.floor((size * num * 2 + den) / (2 * den)), "_before": up_to - F.col("_own")})
+    edge = keys.join(sums.filter("_before < _limit and _limit <= _before + _own"), ["label", "_span"])
+    rank = F.row_number().over(Window.partitionBy("label", "_span").orderBy("_key", "doc_id"))
+    cut = edge.withColumn("_rank", rank).filter("_rank = _limit - _before").select("label", F.col("_key").alias("_cut"), F.col("doc_id").alias("_last"))
+    rows = corpus.withColumn("_key", key).join(F.broadcast(cut), "label", "left")
+    inside = (F.col("_key") < F.col("_cut")) | ((F.col("_key") == F.col("_cut")) & (F.col("doc_id") <= F.col("_last")))
+    return rows.withColumn("is_test", F.coalesce(inside, F.lit(False))).drop("_key", "_cut", "_last")
 
 
 def label_counts(corpus: DataFrame) -> DataFrame:
@@ -77,22 +93,32 @@ def mask_mentions(texts: pd.Series, mentions: pd.Series) -> pd.Series:
     return pd.Series([one(t, m) for t, m in zip(texts, mentions, strict=True)], dtype="object")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def named_entities(texts: pd.Series) -> pd.Series:
-    """Entities by a language model if one is installed, else none: callers fall back to the pattern."""
+@functools.lru_cache(maxsize=1)
+def _language_model():
+    """This worker's language model, loaded once; None if there is none."""
     try:
         import spacy
 
-        tool = spacy.load("pt_core_news_sm")
+        return spacy.load("pt_core_news_sm")
     except Exception:  # optional, as any failure means no entities
-        return pd.Series([[] for _ in texts])
-    kinds = {"PERSON", "ORG", "GPE"}
-    return pd.Series([[e.text for e in tool(t or "").ents if e.label_ in kinds] for t in texts])
+        return None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def named_entities(texts: pd.Series) -> pd.Series:
+    """Entities by a language model if one is installed, else none: callers fall back to the pattern."""
+    tool, kinds = _language_model(), {"PERSON", "ORG", "GPE"}
+    return pd.Series([[e.text for e in tool(t or "").ents if e.label_ in kinds] if tool else [] for t in texts])
+
+
+def entities(c: Column) -> Column | None:
+    """Entities of a text where a language model can be had, else None: the pattern decides alone."""
+    return named_entities(c) if importlib.util.find_spec("spacy") else None
 
 
 def with_masked_copies(corpus: DataFrame, terms: list[str] | None = None, mode: str = "auto", alpha: float = 0.5) -> DataFrame:
     """The texts with weight 1, and a masked copy of each that has mentions with weight alpha."""
-    masked = corpus.withColumn("masked", mask_mentions("text", protected_mentions(F.col("text"), terms, mode)))
+    masked = corpus.withColumn("masked", mask_mentions("text", protected_mentions(F.col("text"), terms, mode, entities(F.col("text")))))
     copies = masked.filter("masked <> text").withColumn("text", F.col("masked")).drop("masked")
     return corpus.withColumn("weight", F.lit(1.0)).withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("weight", F.lit(float(alpha))).withColumn("is_copy", F.lit(True)))
 
@@ -102,26 +128,67 @@ def debias_weights(corpus: DataFrame, terms: list[str] | None = None, mode: str
 
     Sizes come from one small aggregate, not from windows over the subset.
     """
-    rows = corpus.withColumn("in_subset", F.size(protected_mentions(F.col("text"), terms, mode)) > 0)
+    rows = corpus.withColumn("in_subset", F.size(protected_mentions(F.col("text"), terms, mode, entities(F.col("text")))) > 0)
     counts = rows.filter("in_subset").groupBy("label").agg(F.count("*").alias("n_label"))
     every = Window.partitionBy(F.lit(0))
     sizes = counts.select("label", (F.sum("n_label").over(every) / (2.0 * F.col("n_label"))).alias("w"))
     return rows.join(F.broadcast(sizes), "label", "left").withColumn("weight", F.when(F.col("in_subset"), F.col("w")).otherwise(F.lit(1.0))).drop("w")
 
 
+def positive_label(classes: list[str]) -> str:
+    """The label whose probability counts: true, or the last one where there is no such label."""
+    return "true" if "true" in classes else classes[-1]
+
+
 def style_scaler(rows: DataFrame, columns: list[str] = text.STYLE) -> DataFrame:
     """One row: mean and population deviation of each style column (0 counts as 1 when scaling)."""
     return rows.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}_scale") for c in columns])
 
 
-def features(rows: DataFrame, scaler: dict | None = None, style_scale: float = 0.2) -> DataFrame:
-    """Adds ``features``: the embedding, followed by scaled style numbers if a scaler is given."""
+def features(rows: DataFrame, scaler: dict | None = None, style_scale: float = 0.2, text_col: str = "text") -> DataFrame:
+    """Adds ``features``: the embedding, followed by scaled style numbers of the text if a scaler is given."""
     emb = F.transform("embedding", lambda x: x.cast("double"))
     if scaler is None:
         return rows.withColumn("features", emb)
-    style = text.style_features(F.col("text"))
-    part = [(v - scaler[f"{k}_mean"]) / (scaler[f"{k}_scale"] or 1.0) * style_scale for k, v in style.items()]
-    return rows.withColumn("features", F.concat(emb, F.array(*part)))
+    part = [(F.col(k) - scaler[f"{k}_mean"]) / (scaler[f"{k}_scale"] or 1.0) * style_scale for k in text.STYLE]
+    return text.with_style(rows, text_col).withColumn("features", F.concat(emb, F.array(*part))).drop(*text.STYLE)
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """A fitted classifier as numbers: what serving needs, as JSON.
+
+    parts: weights and intercept of each logistic model, with the boundaries and values of
+    its calibration curve (none: not calibrated); the probability is the mean over the parts.
+    """
+
+    parts: tuple[tuple, ...]
+    classes: tuple[str, ...] = ("fake", "true")
+    scaler: dict | None = None
+    style_scale: float = 1.0
+
+    @classmethod
+    def of(cls, models, classes: list[str], scaler: dict | None = None, style_scale: float = 1.0) -> Classifier:
+        """From a fitted model, or from the folds of ``fit_calibrated``."""
+        folds = models if isinstance(models, list) else [(models, None)]
+        curve = lambda c: ([float(x) for x in c.boundaries], [float(x) for x in c.predictions]) if c is not None else (None, None)
+        parts = tuple((m.coefficients.toArray().tolist(), float(m.intercept), *curve(c)) for m, c in folds)
+        return cls(parts, tuple(classes), scaler, float(style_scale))
+
+    def to_json(self) -> str:
+        return json.dumps({"parts": self.parts, "classes": self.classes, "scaler": self.scaler, "style_scale": self.style_scale}, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, said: str) -> Classifier:
+        d = json.loads(said)
+        return cls(tuple(tuple(p) for p in d["parts"]), tuple(d["classes"]), d["scaler"], d["style_scale"])
+
+    def p_true(self, rows: DataFrame, text_col: str, name: str) -> DataFrame:
+        """Adds P(true) of rows with embedding and text, in per cent."""
+        rows = features(rows, self.scaler, self.style_scale, text_col)
+        each = [scoring.margin(F.array(*[F.lit(float(x)) for x in w]), F.lit(float(b)), F.col("features")) for w, b, _, _ in self.parts]
+        each = [scoring.sigmoid(m) if x is None else scoring.curve(m, x, y) for m, (_, _, x, y) in zip(each, self.parts, strict=True)]
+        return rows.withColumn(name, sum(each[1:], each[0]) * (100.0 / len(each))).drop("features")
 
 
 def fit_classifier(rows: DataFrame, weight_col: str = "weight", c: float = 0.1, max_iter: int = 2000) -> LogisticRegressionModel:

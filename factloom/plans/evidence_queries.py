@@ -8,7 +8,7 @@ from factloom import lookups
 from factloom.functions import scoring, text
 from factloom.operators import evidence
 from factloom.plans.registry import query
-from factloom.plans.text_queries import _HOST, _PATH, CLAIMS_SQL, _WORDS, quoted, table
+from factloom.plans.text_queries import _HOST, _PATH, CLAIMS_SQL, ITEMS_SQL, _WORDS, items, quoted, table, vectors_sql
 from factloom.sources import connectors
 
 #: Sources that cover every rule on domains, publishers and ratings.
@@ -113,35 +113,60 @@ def page_trust(spark, sf_dir):
 
 
 # Evidence by rule: four benchmark texts for each claim, with a source and a similarity.
-_EV_SQL = f"""WITH {SOURCE_VALUES}, {CLAIMS_SQL},
+EV_SQL = f"""{SOURCE_VALUES}, {CLAIMS_SQL}, {ITEMS_SQL},
 j AS (SELECT doc_id, claim_no, claim, unnest(range(0, 4))::INT AS arrival_no FROM claims),
-e AS (SELECT j.*, b.text AS claim_text, s.url, s.publisher, s.rating, 'item ' || item_id AS title, ((doc_id * 13 + item_id * 7 + arrival_no * 29) % 101) / 100.0::DOUBLE AS sim
-  FROM j JOIN benchmark b ON item_id = (doc_id * 7 + claim_no * 3 + arrival_no) % 40 JOIN s ON s.n = (doc_id + claim_no * 5 + arrival_no * 3) % {len(SOURCES)}),
-t AS (SELECT *, {TRUST_SQL} AS t0, {SOCIAL_SQL} AS is_social, list_distinct({_WORDS % 'claim'}) AS a, list_distinct({_WORDS % 'claim_text'}) AS b FROM e),
+e AS (SELECT j.*, item_text AS claim_text, item_id, s.url, s.publisher, s.rating, 'item ' || item_id AS title
+  FROM j JOIN n_items ON true JOIN items ON item_no = (doc_id * 7 + claim_no * 3 + arrival_no) % n JOIN s ON s.n = (doc_id + claim_no * 5 + arrival_no * 3) % {len(SOURCES)})"""
+RULE_SIM = "((doc_id * 13 + item_id * 7 + arrival_no * 29) % 10007) / 10007.0::DOUBLE"
+
+
+def scored_sql(sim: str) -> str:
+    """CTEs from the evidence e to its scores sc and ranks r; numbers are rounded as they are shown."""
+    return f"""m AS (SELECT *, {sim} AS sim FROM e),
+t AS (SELECT *, {TRUST_SQL} AS t0, {SOCIAL_SQL} AS is_social, list_distinct({_WORDS % 'claim'}) AS a, list_distinct({_WORDS % 'claim_text'}) AS b FROM m),
 o AS (SELECT *, CASE WHEN is_social THEN least(0.2, t0) ELSE t0 END AS trust, len(list_intersect(a, b)) / greatest(1, len(a))::DOUBLE AS ov FROM t),
 f AS (SELECT *, CASE WHEN ov >= 0.5 THEN 1.0 WHEN ov >= 0.4 THEN 0.95 WHEN trust >= 0.85 THEN 0.9 ELSE 0.85 END::DOUBLE AS fac FROM o),
-g AS (SELECT *, CASE WHEN coalesce(rating, '') <> '' THEN 0.6::DOUBLE * {RATING_SQL} + 0.25::DOUBLE * sim + 0.15::DOUBLE * trust ELSE 0.45::DOUBLE * sim + 0.40::DOUBLE * trust + 0.05::DOUBLE * ov END * fac AS whole FROM f),
-sc AS (SELECT *, whole AS score FROM g),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, claim_no ORDER BY score DESC, arrival_no) AS rank FROM sc WHERE sim >= 0.25)
+g AS (SELECT *, CASE WHEN coalesce(rating, '') <> '' THEN 0.6::DOUBLE * {RATING_SQL} + 0.25::DOUBLE * greatest(sim, 0.0) + 0.15::DOUBLE * trust ELSE 0.45::DOUBLE * greatest(sim, 0.0) + 0.40::DOUBLE * trust + 0.05::DOUBLE * ov END * fac AS whole FROM f),
+sc AS (SELECT *, round_even(whole, 3) AS score, round_even(sim, 3) AS similaridade FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, claim_no ORDER BY score DESC, arrival_no) AS rank FROM sc WHERE similaridade >= 0.25),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, claim_no, rank) AS place FROM r WHERE rank <= 10),
+z AS (SELECT doc_id, sum(score) AS s FROM y WHERE place <= 10 GROUP BY doc_id)
 """
 
 
-def _scored(spark, sf_dir):
-    """Claims and their scored evidence, unrounded (rounding differs between engines at ties)."""
+_EV_SQL = f"WITH {EV_SQL}, {scored_sql(RULE_SIM)}"
+
+
+def rule_evidence(spark, sf_dir):
+    """Claims, and with the evidence rows made for them."""
     c = evidence.claim_rows(table(spark, sf_dir, "documents"))
-    rows = c.withColumn("arrival_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    rows = rows.withColumn("item_id", (F.col("doc_id") * 7 + F.col("claim_no") * 3 + F.col("arrival_no")) % 40).withColumn("n", ((F.col("doc_id") + F.col("claim_no") * 5 + F.col("arrival_no") * 3) % len(SOURCES)).cast("int"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim_text"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"))
-    rows = rows.join(items, "item_id").join(F.broadcast(_sources(spark)), "n").withColumn("provider", F.lit("rule")).withColumn("fact_checker", F.lit(None).cast("string"))
-    sim = ((F.col("doc_id") * 13 + F.col("item_id") * 7 + F.col("arrival_no") * 29) % 101) / 100.0
-    return c, evidence.scored(rows, sim=sim, digits=False)
+    b, n = items(spark, sf_dir)
+    b = b.select("item_no", "item_id", F.col("item_text").alias("claim_text"), "ref_words", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"))
+    rows = evidence.with_words(c, F.col("claim"), "claim").withColumn("arrival_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    rows = rows.withColumn("item_no", (F.col("doc_id") * 7 + F.col("claim_no") * 3 + F.col("arrival_no")) % n).withColumn("n", ((F.col("doc_id") + F.col("claim_no") * 5 + F.col("arrival_no") * 3) % len(SOURCES)).cast("int"))
+    rows = rows.join(b, "item_no").join(F.broadcast(_sources(spark)), "n")  # as many as SOURCES
+    return c, rows.drop("n", "item_no").withColumn("provider", F.lit("rule")).withColumn("fact_checker", F.lit(None).cast("string"))
 
 
-@query(_EV_SQL + f"SELECT doc_id, claim_no, arrival_no, round(score, 10) AS score, round(trust, 6) AS confianca_fonte, round(ov, 6) AS overlap_ratio, fac AS overlap_factor, is_social, array_to_string({TAGS_SQL}, ',') AS tags, CASE WHEN ov >= 0.5 THEN '>=50%' WHEN ov >= 0.4 THEN '40-49%' ELSE '<40%' END AS overlap_bucket FROM g JOIN (SELECT doc_id, claim_no, arrival_no, score FROM sc) USING (doc_id, claim_no, arrival_no)")
+def _scored(spark, sf_dir):
+    """Claims and their scored evidence, with a similarity by rule."""
+    c, rows = rule_evidence(spark, sf_dir)
+    sim = ((F.col("doc_id") * 13 + F.col("item_id") * 7 + F.col("arrival_no") * 29) % 10007).cast("double") / F.lit(10007.0)
+    return c, evidence.scored(rows, sim=sim)
+
+
+@query(_EV_SQL + f"SELECT doc_id, claim_no, arrival_no, similaridade, score, round_even(trust, 2) AS confianca_fonte, round_even(ov, 3) AS overlap_ratio, fac AS overlap_factor, ov >= 0.5 AS passes_50pct, ov >= 0.4 AS passes_40pct, is_social, array_to_string({TAGS_SQL}, ',') AS tags, CASE WHEN ov >= 0.5 THEN '>=50%' WHEN ov >= 0.4 THEN '40-49%' ELSE '<40%' END AS overlap_bucket FROM sc")
 def evidence_scored(spark, sf_dir):
     _, rows = _scored(spark, sf_dir)
-    r = lambda c, d=6: F.round(c, d).alias(c)
-    return rows.select("doc_id", "claim_no", "arrival_no", r("score", 10), r("confianca_fonte"), r("overlap_ratio"), "overlap_factor", "is_social", F.array_join("source_tags", ",").alias("tags"), "overlap_bucket")
+    return rows.select("doc_id", "claim_no", "arrival_no", "similaridade", "score", "confianca_fonte", "overlap_ratio", "overlap_factor", "passes_50pct", "passes_40pct", "is_social", F.array_join("source_tags", ",").alias("tags"), "overlap_bucket")
+
+
+@query(f"WITH {EV_SQL}, {vectors_sql('cv', 'claims', 'doc_id, claim_no', 'claim')}, {vectors_sql('iv', 'items', 'item_id', 'item_text')} SELECT doc_id, claim_no, arrival_no, round(list_inner_product(cv.v, iv.v), 6) AS sim FROM e JOIN cv USING (doc_id, claim_no) JOIN iv USING (item_id)")
+def evidence_similarity(spark, sf_dir):
+    """The similarity that scoring makes itself, from embeddings of claim and evidence."""
+    _, rows = rule_evidence(spark, sf_dir)
+    got = evidence.scored(rows, digits=False)
+    return got.select("doc_id", "claim_no", "arrival_no", F.round("similaridade", 6).alias("sim"))
 
 
 @query(_EV_SQL + ", x AS (SELECT doc_id, claim_no, sum(score) AS s FROM r WHERE rank <= 10 GROUP BY doc_id, claim_no) SELECT doc_id, claim_no, round(coalesce(s, 0.0) / 10 * 100, 6) AS score_afirmacao FROM claims LEFT JOIN x USING (doc_id, claim_no)")
@@ -150,23 +175,31 @@ def claim_score(spark, sf_dir):
     return evidence.claim_scores(c, evidence.ranked(rows)).select("doc_id", "claim_no", F.round("score_afirmacao", 6).alias("score_afirmacao"))
 
 
-@query(_EV_SQL + ", y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, claim_no, rank) AS place FROM r WHERE rank <= 10), z AS (SELECT doc_id, sum(score) AS s FROM y WHERE place <= 10 GROUP BY doc_id) SELECT doc_id, round(coalesce(s, 0.0) / 10 * 100, 6) AS fonte_score FROM documents LEFT JOIN z USING (doc_id)")
+@query(_EV_SQL + "SELECT doc_id, round(coalesce(s, 0.0) / 10 * 100, 6) AS fonte_score FROM documents LEFT JOIN z USING (doc_id)")
 def source_score_global(spark, sf_dir):
     _, rows = _scored(spark, sf_dir)
     return evidence.source_scores(table(spark, sf_dir, "documents"), evidence.ranked(rows)).select("doc_id", F.round("fonte_score", 6).alias("fonte_score"))
 
 
-@query(_EV_SQL + """, k AS (SELECT *, coalesce(nullif(url, ''), coalesce(title, '') || '|' || coalesce(publisher, '')) AS key FROM r),
-d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY claim_no, rank) AS n1 FROM k)
-SELECT doc_id, claim_no, arrival_no, key, contains(lower(coalesce(rating, '')), 'fact-check') AS fact_checker FROM d WHERE n1 = 1""")
+_FLAT_SQL = """, k AS (SELECT *, coalesce(nullif(url, ''), coalesce(title, '') || '|' || coalesce(publisher, '')) AS key FROM r),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY claim_no, rank) AS n1 FROM k),
+flat AS (SELECT *, round_even(score * 100, 1) AS percent, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(score * 100, 1) DESC, claim_no, rank)::INT AS shown FROM firsts WHERE n1 = 1)
+"""
+
+
+@query(_EV_SQL + _FLAT_SQL + "SELECT doc_id, shown AS place, percent, coalesce(url, '') AS url, title, contains(lower(coalesce(rating, '')), 'fact-check') AS fact_checker FROM flat")
 def evidence_dedup(spark, sf_dir):
     _, rows = _scored(spark, sf_dir)
-    ranks = evidence.ranked(rows)
-    first = evidence.flattened(ranks)
-    keyed = ranks.select("doc_id", "claim_no", "arrival_no", "rank", text.evidence_key(F.col("url"), F.col("title"), F.col("publisher")).alias("key"))
-    least = keyed.groupBy("doc_id", "key").agg(F.min_by(F.struct("claim_no", "arrival_no"), F.struct("claim_no", "rank")).alias("m"))
-    shown = first.withColumn("key", text.evidence_key(F.col("url"), F.col("title"), F.col("publisher")))
-    return shown.join(least, ["doc_id", "key"]).select("doc_id", "m.claim_no", "m.arrival_no", "key", "fact_checker")
+    return evidence.flattened(evidence.ranked(rows)).select("doc_id", "place", "percent", "url", "title", "fact_checker")
+
+
+@query(_EV_SQL + _FLAT_SQL + "SELECT doc_id, count(*) AS n, string_agg(title || ' ' || percent::VARCHAR, ';' ORDER BY shown) AS list FROM flat WHERE shown <= 10 GROUP BY doc_id")
+def sources_shown(spark, sf_dir):
+    """The ten sources of each document that readers see, best first."""
+    _, rows = _scored(spark, sf_dir)
+    got = evidence.shown(evidence.flattened(evidence.ranked(rows)))
+    line = F.concat("title", F.lit(" "), F.col("percent").cast("string"))
+    return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), ";").alias("list"))
 
 
 _SIG = """g AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id * 37 % 1001 / 10.0 END::DOUBLE AS h, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id * 53 % 1001 / 10.0 END::DOUBLE AS b,
@@ -209,6 +242,46 @@ def display_level(spark, sf_dir):
     return _signals(spark, sf_dir).select("doc_id", scoring.display_level(h).alias("level"), scoring.display_number(h).alias("shown"), scoring.pie_share(h).alias("share"))
 
 
+_SHOWN_SQL = """b AS (SELECT doc_id, CASE WHEN o IS NULL THEN 0.0 ELSE least(0.8, 1 - exp(-30 / 25.0)) END AS al, least(0.8, 1 - exp(-30 / 25.0)) AS shown_al, coalesce(h, 0) AS h, coalesce(b, 0) AS b, s, o FROM g),
+x AS (SELECT *, (0.5 * h + 0.35 * (1 - al) * b + 0.33 * s) / (0.5 + 0.35 * (1 - al) + 0.33) AS base FROM b), fin AS (SELECT *, (1 - al) * base + al * coalesce(o, 0) AS fin FROM x)"""
+
+
+@query(f"""WITH {_SIG}, {_SHOWN_SQL} SELECT doc_id, round_even(h, 1) AS hist, round_even(b, 1) AS prob, round_even(s, 1) AS fonte, round_even(o, 1) AS online, round_even(shown_al, 2) AS alpha, 30 AS n_updates, round_even(fin, 1) AS final,
+  CASE WHEN fin >= 50 THEN 'VERDADEIRO' ELSE 'FALSO' END AS rotulo, round_even(h, 1)::VARCHAR || '%' AS hist_text, round_even(fin, 1)::VARCHAR || '%' AS final_text, round_even(o, 1)::VARCHAR || '%' AS online_text FROM fin""")
+def payload_fields(spark, sf_dir):
+    """Fields of the two JSON results, from signals by rule."""
+    from factloom.plans import analyze as whole
+
+    g, zero = _signals(spark, sf_dir), F.lit(0.0)
+    g = g.select("doc_id", F.lit("x").alias("text"), F.coalesce("h", zero).alias("hist"), F.coalesce("b", zero).alias("prob_true"), F.col("s").alias("fonte_score"), F.col("o").alias("online"))
+    empty = F.array().cast("array<struct<id:bigint,sim:double>>")
+    g = g.withColumns({"vizinhos": empty, "detalhes": F.lit(None).cast("array<string>"), "fontes_individuais": F.lit(None).cast("array<string>")})
+    rows = whole.finished(g, 30, whole.Parameters())
+    both = whole.payload(rows).join(whole.friendly(rows).select("doc_id", F.col("json").alias("words")), "doc_id")
+    num = lambda path: F.get_json_object("json", path).cast("double")
+    word = lambda path: F.get_json_object("words", path)
+    return both.select(
+        "doc_id",
+        num("$.historico.consistencia").alias("hist"),
+        num("$.bert.prob_true").alias("prob"),
+        num("$.confirmacao_fontes.fonte_score").alias("fonte"),
+        num("$.online_adaptor.prob_true").alias("online"),
+        num("$.online_adaptor.alpha").alias("alpha"),
+        num("$.online_adaptor.n_updates").cast("int").alias("n_updates"),
+        num("$.final.score").alias("final"),
+        F.get_json_object("json", "$.final.rotulo").alias("rotulo"),
+        word("$['Consistência Histórica']").alias("hist_text"),
+        word("$['Classificação Final'].Score").alias("final_text"),
+        word("$['Adaptador Online']['Prob Verdadeiro']").alias("online_text"),
+    )
+
+
+@query("SELECT raw, label FROM (VALUES (' TRUE ', 'true'), ('true', 'true'), ('fake', 'fake'), ('False', 'fake'), ('other', 'fake'), ('', 'fake')) AS t(raw, label)")
+def label_names(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in (" TRUE ", "true", "fake", "False", "other", "")], "raw string")
+    return rows.select("raw", text.label_of(F.col("raw"), ["fake", "true"]).alias("label"))
+
+
 @query("SELECT raw, threshold::DOUBLE AS threshold FROM (VALUES ('0.7', 0.7), ('70', 0.7), ('0.2', 0.5), ('1', 0.99), ('150', 0.99), ('x', 0.7), (NULL, 0.7)) AS t(raw, threshold)")
 def thresholds(spark, sf_dir):
     rows = spark.createDataFrame([(x,) for x in ("0.7", "70", "0.2", "1", "150", "x", None)], "raw string")

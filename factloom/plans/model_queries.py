@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import training, vectors
+from factloom.operators import chunks, training, vectors
 from factloom.plans import analyze as whole
+from factloom.plans.evidence_queries import EV_SQL, rule_evidence, scored_sql
 from factloom.plans.registry import query
-from factloom.plans.text_queries import labelled, table
-from factloom.session import shared_folder
+from factloom.plans.text_queries import WIKI_SQL, chunks_sql, labelled, own_pages, table, vectors_sql
+from factloom.session import new_path, stored, write_file
+from factloom.sources import connectors, corpus
 from factloom.streaming import online
 
 _L = "l AS (SELECT doc_id, text, CASE WHEN quality = 1 THEN 'true' ELSE 'fake' END AS label FROM documents JOIN labels USING (doc_id))"
@@ -46,9 +48,21 @@ def debias_weight(spark, sf_dir):
     return got.select("doc_id", "label", "in_subset", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {_L} SELECT doc_id, label, 1.0::DOUBLE AS weight, false AS is_copy FROM l UNION ALL SELECT doc_id, label, 0.5::DOUBLE, true FROM l WHERE {_HAS}")
+def masked_sql(text: str, word: str) -> str:
+    """A whole word masked in any case; twice, as neighbours share the character between them."""
+    once = lambda x: f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:' || {word} || ')($|[^\\p{{L}}\\p{{N}}_])', '\\1[ENT]\\2', 'g')"
+    return once(once(text))
+
+
+_MASKED = "text"
+for _term in sorted(TERMS, key=lambda t: (-len(t), t)):
+    _MASKED = masked_sql(_MASKED, f"'{_term}'")
+
+
+@query(f"WITH {_L} SELECT doc_id, label, 1.0::DOUBLE AS weight, false AS is_copy, md5(text) AS text_md5 FROM l UNION ALL SELECT doc_id, label, 0.5::DOUBLE, true, md5({_MASKED}) FROM l WHERE {_HAS}")
 def mask_copies(spark, sf_dir):
-    return training.with_masked_copies(labelled(spark, sf_dir), TERMS, "list").select("doc_id", "label", "weight", "is_copy")
+    got = training.with_masked_copies(labelled(spark, sf_dir), TERMS, "list")
+    return got.select("doc_id", "label", "weight", "is_copy", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query()
@@ -71,16 +85,17 @@ def classification_report(spark, sf_dir):
 
 
 def _training_rows(spark, sf_dir):
+    """Features of the split corpus, stored, and the scaler of its style numbers."""
     rows = training.split_assignment(labelled(spark, sf_dir)).withColumn("embedding", text.hashed_embedding(F.col("text")))
     weights = training.balanced_weights(rows.filter("not is_test")).select("label", "weight")
     rows = rows.join(F.broadcast(weights), "label").withColumn("y", (F.col("label") == "true").cast("double"))
-    scaler = training.style_scaler(rows.filter("not is_test").select(*[v.alias(n) for n, v in text.style_features(F.col("text")).items()])).first().asDict()
-    return training.features(rows, scaler)
+    scaler = training.style_scaler(text.with_style(rows.filter("not is_test").select("text"), keep=False)).first().asDict()
+    return stored(training.features(rows, scaler), "features"), scaler
 
 
 @query()
 def train_classifier(spark, sf_dir):
-    rows = _training_rows(spark, sf_dir).cache()
+    rows, _ = _training_rows(spark, sf_dir)
     model = training.fit_classifier(rows.filter("not is_test"))
     got = training.predict(model, rows.filter("is_test"))
     return got.select("doc_id", "label", "p_true", F.when(F.col("p_true") >= 0.5, "true").otherwise("fake").alias("predicted"))
@@ -88,32 +103,183 @@ def train_classifier(spark, sf_dir):
 
 @query()
 def train_calibrated(spark, sf_dir):
-    rows = _training_rows(spark, sf_dir).cache()
+    rows, _ = _training_rows(spark, sf_dir)
     models = training.fit_calibrated(rows.filter("not is_test"))
     return training.predict_calibrated(models, rows.filter("is_test")).select("doc_id", "label", "p_true")
 
 
+@query(_SPLIT + " SELECT doc_id, kind, true AS same FROM s, (VALUES ('plain'), ('calibrated')) AS k(kind) WHERE is_test")
+def model_roundtrip(spark, sf_dir):
+    """Classifiers with style features, plain and calibrated: saved, found, loaded and served give what was fitted."""
+    rows, scaler = _training_rows(spark, sf_dir)
+    fit, test = rows.filter("not is_test"), rows.filter("is_test")
+    out = None
+    for kind, model, predict in (("plain", training.fit_classifier(fit), training.predict), ("calibrated", training.fit_calibrated(fit), training.predict_calibrated)):
+        path = new_path(spark, "model")
+        corpus.save_model(spark, training.Classifier.of(model, ["fake", "true"], scaler, 0.2), path, {"calibrated": kind == "calibrated"})
+        loaded, config = corpus.load_model(spark, corpus.model_dir(spark, f"{path}-none", path))
+        served = loaded.p_true(test.select("doc_id", "text", "embedding"), "text", "served")
+        both = predict(model, test).select("doc_id", "p_true").join(served, "doc_id")
+        same = (F.abs(F.col("served") - 100 * F.col("p_true")) < 1e-6) & F.lit(config["calibrated"] == (kind == "calibrated"))
+        part = both.select("doc_id", F.lit(kind).alias("kind"), same.alias("same"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {_L} SELECT md5(text) AS text_md5, label, training FROM l, (VALUES (false), (true)) AS k(training) UNION ALL SELECT md5('  '), 'Fake', false")
+def json_scan(spark, sf_dir):
+    """The corpus written as JSON lines with rows that no scan takes, read for the index and for training."""
+    path = new_path(spark, "corpus") + ".jsonl"
+    rows = labelled(spark, sf_dir).select("text", "label")
+    odd = spark.createDataFrame([("", "true"), (None, "true"), ("x", ""), ("y", None), ("  ", "Fake")], "text string, label string")
+    corpus.write_json(rows.unionByName(odd), path)
+    parts = [corpus.read_json_corpus(spark, path, t).select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "label", F.lit(t).alias("training")) for t in (False, True)]
+    return parts[0].unionByName(parts[1])
+
+
+_FILES = [("fake/b.txt", b" caf\xc3\xa9\xff "), ("fake/a.txt", "dois \ufffd\nlinhas\n".encode()), ("true/z.txt", b""), ("true/10.txt", b"dez"), ("true/9.txt", b"\tnove\r\n")]
+
+
+@query("SELECT * FROM (VALUES (0, 'dois \ufffd' || chr(10) || 'linhas', 'fake'), (1, 'café', 'fake'), (2, 'dez', 'true'), (3, 'nove', 'true'), (4, '', 'true')) AS t(id, text, label)")
+def directory_scan(spark, sf_dir):
+    root = new_path(spark, "texts")
+    for name, data in _FILES:
+        write_file(spark, f"{root}/{name}", data)
+    got = corpus.read_corpus(spark, root, ("fake", "true", "missing"))
+    return got.select(F.col("id").cast("int").alias("id"), "text", "label")
+
+
+@query("SELECT * FROM (VALUES ('A', '1=2'), ('B', 'x y'), ('C', '')) AS t(name, value)")
+def env_settings(spark, sf_dir):
+    return spark.createDataFrame(list(corpus.env_pairs(["# c", "", "A='1=2'", "bad", ' B = "x y" ', "C="]).items()), "name string, value string")
+
+
+@query(r"""SELECT doc_id AS id, 'true' AS label, md5(left(t, 300)) AS preview_md5, 64 AS dim, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND regexp_replace(text, '\s', '', 'g') <> '') AS "count"
+FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents JOIN labels USING (doc_id) WHERE quality = 1) WHERE t <> ''""")
+def index_roundtrip(spark, sf_dir):
+    """The vector index written and read back, with its configuration."""
+    path = new_path(spark, "index")
+    corpus.write_index(vectors.index_rows(labelled(spark, sf_dir)), path)
+    rows, config = corpus.read_index(spark, path)
+    return rows.crossJoin(F.broadcast(config)).select("id", "label", F.md5(F.col("preview").cast("binary")).alias("preview_md5"), F.col("dim").cast("int").alias("dim"), "count")  # one row
+
+
+def _stub(url, params, headers, timeout):
+    """An encyclopedia by rule: titles of the searched text, pages by title, failures for some."""
+    if "search" in params:
+        if params["search"] == "fail":
+            raise TimeoutError
+        n = params["limit"]
+        return 200, json.dumps([params["search"], [f"T{i} ç" for i in range(n + 1)], [], ["https://pt.wikipedia.org/wiki/T0"]])
+    if url.endswith("T1%20%C3%A7"):
+        return 404, "gone"
+    return 200, f"<body><h2>Sobre {url.rpartition('/')[2]}</h2><p>corpo<sup>1</sup></p><table><p>fora</p></table></body>"
+
+
+@query("""SELECT * FROM (VALUES (1, 'T0 ç', 'https://pt.wikipedia.org/wiki/T0', 'Sobre T0%20%C3%A7' || chr(10) || 'corpo'), (1, 'T1 ç', 'https://pt.wikipedia.org/wiki/T1%20%C3%A7', ''), (1, 'T2 ç', 'https://pt.wikipedia.org/wiki/T2%20%C3%A7', 'Sobre T2%20%C3%A7' || chr(10) || 'corpo')) AS t(doc_id, title, url, text)""")
+def pages_fetched(spark, sf_dir):
+    """Titles searched for texts and their pages read, through a service that answers by rule."""
+    docs = spark.createDataFrame([(1, "um"), (2, "fail")], "doc_id long, text string")
+    got = connectors.fetched_pages(connectors.fetched_titles(docs, _stub, 3), _stub)
+    return got.select(F.col("doc_id").cast("int").alias("doc_id"), "title", F.col("link").alias("url"), "text")
+
+
+def _service(url, params, headers):
+    if "newsapi" in url:
+        raise TimeoutError
+    return (500, "{}") if "serpapi" in url else (200, json.dumps({"q": params.get("q") or params.get("query"), "key": params.get("key") or headers.get("Ocp-Apim-Subscription-Key")}))
+
+
+@query("SELECT * FROM (VALUES ('google_factcheck', 200, 'alegação', 'k1'), ('newsapi', 0, NULL, NULL), ('serpapi', 500, NULL, NULL)) AS t(provider, status, said, used)")
+def service_errors(spark, sf_dir):
+    """Services with a key are asked; one that fails or refuses gives no evidence, the fourth has no key."""
+    claims = spark.createDataFrame([(1, 1, "alegação")], "doc_id long, claim_no int, claim string")
+    got = connectors.fetched(claims, {"google_factcheck": "k1", "newsapi": "k2", "serpapi": "k3", "bing": ""}, _service)
+    return got.select("provider", "status", F.get_json_object("body", "$.q").alias("said"), F.get_json_object("body", "$.key").alias("used"))
+
+
 def _feedback(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.when(F.col("role") == "user", "true").otherwise("fake").alias("label"))
     return turns
 
 
-@query()
+@query(rf"""WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS seq, text, role FROM conversations WHERE regexp_replace(coalesce(text, ''), '\s', '', 'g') <> ''),
+{vectors_sql("cv", "c", "seq, role", "text")}, rows AS (SELECT row_number() OVER (ORDER BY seq) AS n, CASE WHEN role = 'user' THEN 1.0 ELSE -1.0 END::DOUBLE AS y, v FROM cv),
+s AS (SELECT 0::BIGINT AS n, list_transform(range(0, 64), lambda i: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b
+  UNION ALL SELECT k.n, list_transform(list_zip(k.w, k.v), lambda z: z[1] * greatest(0.0, 1.0 - rate * {online.PENALTY}) + rate * pull * z[2]), k.b + rate * pull
+  FROM (SELECT rows.n, s.w, s.b, rows.v, 1.0 / ({online.PENALTY} * ({float(online._start(online.PENALTY))!r} + rows.n)) AS rate, y / (1.0 + exp(y * (list_inner_product(s.w, rows.v) + s.b))) AS pull FROM s JOIN rows ON rows.n = s.n + 1) AS k),
+l AS (SELECT * FROM s ORDER BY n DESC LIMIT 1)
+SELECT n AS n_updates, n + 1 AS t, place, round(value, 6) AS value FROM (SELECT n, unnest(list_prepend(b, w)) AS value, unnest(range(0, 65))::INT AS place FROM l)""")
 def online_replay(spark, sf_dir):
-    """The feedback stream folded into a state, from its source to the latest version."""
-    root = f"{shared_folder(spark)}/online-{uuid.uuid4().hex}"
+    """The feedback stream folded into a state, from its source to the latest version: intercept, then coefficients."""
+    root = new_path(spark, "online")
     rows = _feedback(spark, sf_dir)
     rows.write.mode("overwrite").parquet(f"{root}/feedback")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/feedback")
     online.learn_from_stream(stream, f"{root}/state", f"{root}/checkpoint", ["fake", "true"]).awaitTermination()
-    return spark.read.schema(online.STATE).parquet(f"{root}/state").select("batch_id", "n_updates", "t", "intercept", "coefficients")
+    now = spark.read.schema(online.STATE).parquet(f"{root}/state").orderBy(F.desc("batch_id")).limit(1)
+    each = now.select("n_updates", "t", F.posexplode(F.concat(F.array("intercept"), "coefficients")).alias("place", "value"))
+    return each.withColumn("value", F.round("value", 6))
+
+
+WEIGHTS = [((i * 37) % 11 - 5) / 10 for i in range(64)]
+ONLINE = [((i * 53) % 13 - 6) / 10 for i in range(64)]
+_P = lambda w, b, v: f"100.0 / (1 + exp(-(list_inner_product({w}::DOUBLE[], {v}) + {b})))"
+_STRIPPED = r"stripped_docs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS whole_text FROM documents)"
+_CHUNKS = f"{_STRIPPED}, {chunks_sql('ch', 'stripped_docs', 'doc_id', 'whole_text')}, {vectors_sql('chv', 'ch', 'doc_id, start', 'chunk')}"
+
 
+@query(f"WITH {_CHUNKS} SELECT doc_id, round(avg({_P(ONLINE, 0.2, 'v')}), 6) AS mean, round(max({_P(ONLINE, 0.2, 'v')}), 6) AS best FROM chv JOIN stripped_docs USING (doc_id) WHERE whole_text <> '' GROUP BY doc_id")
+def online_scores(spark, sf_dir):
+    """The incremental classifier's score of each text, mean and best chunk; none from an untrained one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.stripped(F.coalesce("text", F.lit(""))).alias("text")).filter("text <> ''")
+    parts = stored(chunks.token_chunks(docs), "chunks")
+    now = {"coefficients": ONLINE, "intercept": 0.2}
+    mean, best = (online.online_scores(parts, now, how).withColumnRenamed("online", how) for how in ("mean", "max"))
+    none = online.online_scores(parts, None).withColumnRenamed("online", "none")
+    both = mean.join(best, "doc_id").join(none, "doc_id").filter("none is null")
+    return both.select("doc_id", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("best"))
 
-@query("""SELECT * FROM (VALUES (1, 200, 0, 'um', NULL), (1, 200, 1, 'dois', NULL), (2, 200, 0, 'a', 'true'), (2, 200, 1, 'b', 'fake'), (3, 400, NULL, NULL, NULL), (4, 400, NULL, NULL, NULL), (5, 200, 0, 'só', 'true'))
+
+_BODIES = [
+    (1, '{"texts": ["um", " ", "dois"]}'),
+    (2, '{"texts": "a\\n \\nb", "labels": ["TRUE ", "fake"]}'),
+    (3, '{"text": " ", "label": "true"}'),
+    (4, '{"text": "x", "texts": ["y"], "labels": ["true"]}'),
+    (5, '{"text": " só ", "label": "True", "threshold": 80, "auto_label": false}'),
+    (6, '{"text": "sem", "auto_label": "no"}'),
+    (7, "no json"),
+    (8, '{"texts": ["um dois"], "threshold": "x", "bert_agg": "max", "max_tokens": "1", "overlap_tokens": 0}'),
+]
+
+
+def _requests(spark):
+    return online.read_requests(spark.createDataFrame(_BODIES, "request_id int, body string"))
+
+
+@query("""SELECT * FROM (VALUES (1, 200, 0, 'um', NULL), (1, 200, 1, 'dois', NULL), (2, 200, 0, 'a', 'true'), (2, 200, 1, 'b', 'fake'), (3, 400, NULL, NULL, NULL), (4, 400, NULL, NULL, NULL), (5, 200, 0, 'só', 'true'), (6, 200, 0, 'sem', NULL), (7, 400, NULL, NULL, NULL), (8, 200, 0, 'um dois', NULL))
  AS t(request_id, status, pos, text, label)""")
 def train_requests(spark, sf_dir):
-    rows = [(1, None, ["um", " ", "dois"], None, None), (2, "b", ["a"], None, ["TRUE ", "fake"]), (3, " ", [], "true", None), (4, "x", ["y"], None, ["true"]), (5, " só ", None, "true", None)]
-    return online.request_texts(spark.createDataFrame(rows, "request_id int, text string, texts array<string>, label string, labels array<string>"))
+    return online.request_texts(_requests(spark))
+
+
+_AUTO = ", ".join(f"('{w}')" for w in ("um", "dois", "um dois"))
+_TEACHER = training.Classifier(((WEIGHTS, 0.4, None, None),))
+
+
+@query(f"""WITH words AS (SELECT * FROM (VALUES {_AUTO}) AS t(w)), {vectors_sql("wv", "words", "w", "w")}, p AS (SELECT w, {_P(WEIGHTS, 0.4, "v")} AS p FROM wv),
+a AS (SELECT (SELECT CASE WHEN p >= 70 THEN 'true' ELSE 'fake' END FROM p WHERE w = 'um') AS um, (SELECT CASE WHEN p >= 70 THEN 'true' ELSE 'fake' END FROM p WHERE w = 'dois') AS dois, (SELECT CASE WHEN max(p) >= 70 THEN 'true' ELSE 'fake' END FROM p WHERE w IN ('um', 'dois')) AS best)
+SELECT request_id, status, updated::BIGINT AS updated, total::BIGINT AS n_updates_total, round(1 - exp(-total / 25.0), 6) AS alpha, replace(replace(replace(used, 'UM', um), 'DOIS', dois), 'BEST', best) AS labels_used, auto_label, threshold::DOUBLE AS threshold, error, 16::BIGINT AS n_updates
+FROM a, (VALUES (1, 200, 2, 12, 'UM,DOIS', true, 0.7, NULL), (2, 200, 2, 14, 'true,fake', true, 0.7, NULL), (3, 400, 0, NULL, NULL, NULL, NULL, 'nenhum texto fornecido'), (4, 400, 0, NULL, NULL, NULL, NULL, 'labels ausentes ou tamanho incorreto; ative auto_label ou envie labels.'),
+ (5, 200, 1, 15, 'true', false, 0.8, NULL), (6, 400, 0, NULL, NULL, NULL, NULL, 'labels ausentes ou tamanho incorreto; ative auto_label ou envie labels.'), (7, 400, 0, NULL, NULL, NULL, NULL, 'nenhum texto fornecido'), (8, 200, 1, 16, 'BEST', true, 0.7, NULL)) AS t(request_id, status, updated, total, used, auto_label, threshold, error)""")
+def train_answers(spark, sf_dir):
+    """Training requests as an operation: texts, labels given or made, one update of a state of ten, answers."""
+    path = new_path(spark, "state")
+    first = spark.createDataFrame([(i, [0.1] * 64, "true" if i % 2 else "fake") for i in range(10)], "seq long, features array<double>, label string")
+    online.fold(spark, path, 0, first, ["fake", "true"], 64)
+    for _ in range(2):  # a batch that comes again changes nothing
+        got = online.train(stored(_requests(spark), "requests"), _TEACHER, path, 1)
+    return got.select("request_id", "status", "updated", "n_updates_total", F.round("alpha", 6).alias("alpha"), F.array_join("labels_used", ",").alias("labels_used"), "auto_label", "threshold", "error", F.lit(online.state(spark, path)["n_updates"]).cast("long").alias("n_updates"))
 
 
 @query("""SELECT request_id, text, k, max_tokens, w_hist::DOUBLE AS w_hist, hist_agg, bert_agg, use_wiki, status FROM (VALUES (1, 'a', 20, 512, 0.5, 'max', 'mean', false, 200), (2, 'b', 5, 512, 0.25, 'mean', 'max', true, 200), (3, '', 20, 100, 0.5, 'max', 'mean', false, 400))
@@ -128,11 +294,32 @@ def request_params(spark, sf_dir):
     return got.select("request_id", "text", "k", "max_tokens", "w_hist", "hist_agg", "bert_agg", "use_wiki", "status")
 
 
-@query()
+ANALYZE_SQL = f"""WITH {EV_SQL}, {_CHUNKS}, {WIKI_SQL},
+{vectors_sql("cv", "claims", "doc_id, claim_no", "claim")}, {vectors_sql("iv", "items", "item_id", "item_text")},
+sims AS (SELECT doc_id, claim_no, arrival_no, list_inner_product(cv.v, iv.v) AS sim FROM e JOIN cv USING (doc_id, claim_no) JOIN iv USING (item_id)),
+m AS (SELECT e.*, sim FROM e JOIN sims USING (doc_id, claim_no, arrival_no)), {scored_sql("sim").partition(",\n")[2].strip()},
+true_texts AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS whole_text FROM documents JOIN labels USING (doc_id) WHERE quality = 1), index_texts AS (SELECT * FROM true_texts WHERE whole_text <> ''),
+{vectors_sql("ix", "index_texts", "doc_id", "whole_text")},
+near AS (SELECT chv.doc_id, chv.start, greatest(0.0, least(1.0, list_inner_product(chv.v, ix.v))) AS sim FROM chv, ix),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY sim DESC) AS rank FROM near),
+parts AS (SELECT doc_id, start, sum(sim) / 20 * 100 AS score FROM best WHERE rank <= 20 GROUP BY doc_id, start),
+hist AS (SELECT doc_id, max(score) AS faiss FROM parts GROUP BY doc_id),
+model AS (SELECT doc_id, avg({_P(WEIGHTS, 0.1, "v")}) AS prob, avg({_P(ONLINE, 0.2, "v")}) AS online FROM chv GROUP BY doc_id),
+sig AS (SELECT doc_id, faiss, coalesce(wiki, 0.0) AS wiki, prob, online, coalesce(s, 0.0) / 10 * 100 AS fonte, least(0.8, 1 - exp(-30 / 25.0)) AS al FROM stripped_docs JOIN hist USING (doc_id) JOIN model USING (doc_id) LEFT JOIN wiki USING (doc_id) LEFT JOIN z USING (doc_id) WHERE whole_text <> ''),
+h AS (SELECT *, CASE WHEN wiki <= 0 THEN faiss WHEN faiss <= 0 THEN wiki ELSE faiss * 0.5 + wiki * 0.5 END AS hist FROM sig),
+fin AS (SELECT *, (1 - al) * (0.5 * hist + 0.35 * (1 - al) * prob + 0.33 * fonte) / (0.5 + 0.35 * (1 - al) + 0.33) + al * online AS final FROM h)
+SELECT doc_id, round(faiss, 6) AS faiss, round(wiki, 6) AS wiki, round(hist, 6) AS hist, round(prob, 6) AS prob_true, round(fonte, 6) AS fonte_score, round(online, 6) AS online, round(al, 6) AS alpha, round(final, 6) AS final,
+  CASE WHEN final >= 50 THEN 'VERDADEIRO' ELSE 'FALSO' END AS rotulo, round(CASE WHEN final >= 50 THEN final ELSE 100 - final END, 6) AS confianca, CASE WHEN prob >= 50 THEN 'provavelmente verdadeiro' ELSE 'provavelmente falso' END AS bert_rotulo, 200 AS status FROM fin"""
+
+
+@query(ANALYZE_SQL)
 def analyze(spark, sf_dir):
-    """The whole analysis of all documents against the index of the labelled true ones."""
+    """The whole analysis of all documents, with all signals: the index of the labelled true ones, pages,
+    a classifier and an incremental one by rule, and evidence by rule with similarities of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = vectors.index_rows(labelled(spark, sf_dir)).select("id", "embedding")
-    weights = ([((i * 37) % 11 - 5) / 10 for i in range(64)], 0.1)
-    got = whole.analyze(docs, index, weights)
-    return got.select("doc_id", "hist", "prob_true", "fonte_score", "final", "rotulo", "confianca", "bert_rotulo", "status")
+    _, found = rule_evidence(spark, sf_dir)
+    now = {"coefficients": ONLINE, "intercept": 0.2, "n_updates": 30}
+    got = whole.analyze(docs, index, (WEIGHTS, 0.1), found.drop("claim", "claim_words", "ref_words"), now, own_pages(spark, sf_dir), whole.Parameters(use_wiki=True))
+    numbers = ("faiss", "wiki", "hist", "prob_true", "fonte_score", "online", "alpha", "final", "confianca")
+    return got.select("doc_id", *[F.round(n, 6).alias(n) for n in numbers], "rotulo", "bert_rotulo", "status")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from factloom import lookups
 from factloom.functions import scoring, text
 from factloom.operators import chunks, evidence, vectors
+from factloom.plans import analyze as whole
 from factloom.plans.registry import query
+from factloom.session import numbered
 from factloom.sources import corpus, html
 
 K = lookups.API["k"]
@@ -93,13 +95,25 @@ def claims(spark, sf_dir):
     return evidence.claim_rows(table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH {CLAIMS_SQL}, x AS (SELECT doc_id, claim_no, item_id, list_distinct({_WORDS % 'claim'}) AS a, list_distinct({_WORDS % 'benchmark.text'}) AS b
-  FROM claims JOIN benchmark ON item_id = (doc_id + claim_no) % 40)
+#: The benchmark rows by number from 0, and how many there are.
+ITEMS_SQL = "items AS (SELECT item_id, text AS item_text, row_number() OVER (ORDER BY item_id) - 1 AS item_no FROM benchmark), n_items AS (SELECT count(*) AS n FROM benchmark)"
+
+
+def items(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The benchmark rows with their distinct content words and numbers from 0, and how many there are."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item_text"))
+    b = evidence.with_words(numbered(b, "item_id", "item_text", name="item_no"), F.col("item_text"), "ref")
+    return b, max(1, b.count())
+
+
+@query(f"""WITH {CLAIMS_SQL}, {ITEMS_SQL}, x AS (SELECT doc_id, claim_no, item_id, list_distinct({_WORDS % 'claim'}) AS a, list_distinct({_WORDS % 'item_text'}) AS b
+  FROM claims JOIN n_items ON true JOIN items ON item_no = (doc_id + claim_no) % n)
 SELECT doc_id, claim_no, item_id, round(len(list_intersect(a, b)) / greatest(1, len(a))::DOUBLE, 6) AS overlap FROM x""")
 def overlap_pairs(spark, sf_dir):
-    c = evidence.claim_rows(table(spark, sf_dir, "documents")).withColumn("item_id", (F.col("doc_id") + F.col("claim_no")) % 40)
-    b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other")
-    return c.join(b, "item_id").select("doc_id", "claim_no", "item_id", F.round(text.overlap_ratio(F.col("claim"), F.col("other")), 6).alias("overlap"))
+    b, n = items(spark, sf_dir)
+    c = evidence.with_words(evidence.claim_rows(table(spark, sf_dir, "documents")), F.col("claim"), "claim")
+    c = c.withColumn("item_no", (F.col("doc_id") + F.col("claim_no")) % n)
+    return c.join(b, "item_no").select("doc_id", "claim_no", "item_id", F.round(text.overlap_of(F.col("claim_words"), F.col("ref_words")), 6).alias("overlap"))
 
 
 _CNT = lambda p: f"len(regexp_extract_all(t, '{p}'))"
@@ -116,17 +130,15 @@ f AS (SELECT doc_id, {_CNT(r'\p{Lu}')} / greatest(1, {_CNT(r'\p{L}')})::DOUBLE A
 
 @query(STYLE_SQL + "SELECT doc_id, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in text.STYLE) + " FROM f")
 def style_features(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *[F.round(v, 6).alias(n) for n, v in text.style_features(F.col("text")).items()])
+    return rounded(text.with_style(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), *text.STYLE)
 
 
 @query(STYLE_SQL + "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_scale" for c in text.STYLE) + " FROM f")
 def scaler_fit(spark, sf_dir):
     from factloom.operators import training
 
-    rows = table(spark, sf_dir, "documents").select(*[v.alias(n) for n, v in text.style_features(F.col("text")).items()])
-    got = training.style_scaler(rows)
-    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+    got = training.style_scaler(text.with_style(table(spark, sf_dir, "documents").select("text"), keep=False))
+    return rounded(got, *got.columns)
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^www\.', '')"
@@ -192,30 +204,61 @@ def corpus_union(spark, sf_dir):
     return both.select("doc_id", "label", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-_WIKI = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 9), h AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 9),
-n AS (SELECT q.vec_id AS doc_id, h.vec_id AS id, greatest(0.0, least(1.0, list_inner_product(q.e, h.e))) AS sim FROM q JOIN h ON q.vec_id % 10 = h.vec_id % 10),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, id) AS rank FROM n), w AS (SELECT doc_id, avg(sim) * 100 AS wiki FROM r WHERE rank <= 8 GROUP BY doc_id)
-"""
+_PAGE_TEXT = r"left(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 60000)"
+
+
+def vectors_sql(name: str, source: str, keys: str, words: str) -> str:
+    """CTEs that end with ``name``: the keys of ``source`` and v, the hashed embedding of the text ``words``."""
+    return rf"""{name}_b AS (SELECT {keys}, list_transform(list_filter(regexp_split_to_array(lower(coalesce({words}, '')), '\s+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS bins FROM {source}),
+{name}_c AS (SELECT {keys}, list_transform(range(0, 64), lambda b: len(list_filter(bins, lambda x: x = b))::DOUBLE) AS c FROM {name}_b),
+{name} AS (SELECT {keys}, list_transform(c, lambda x: x / (sqrt(list_inner_product(c, c)) + 1e-12)) AS v FROM {name}_c)"""
+
 
+def chunks_sql(name: str, source: str, keys: str, words: str) -> str:
+    """CTEs that end with ``name``: the keys of ``source``, start and chunk of the text ``words``."""
+    return rf"""{name}_w AS (SELECT {keys}, {words} AS whole, list_filter(regexp_split_to_array(coalesce({words}, ''), '\s+'), lambda w: w <> '') AS w FROM {source}),
+{name}_s AS (SELECT *, unnest(CASE WHEN len(w) > 512 THEN range(0, len(w), 448) ELSE [0] END) AS start FROM {name}_w),
+{name} AS (SELECT {keys}, start, CASE WHEN len(w) > 512 THEN array_to_string(w[start + 1 : start + 512], ' ') ELSE whole END AS chunk FROM {name}_s)"""
 
-def _wiki_sims(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    q = v.filter("label = 9").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a"), (F.col("vec_id") % 10).alias("g"))
-    h = v.filter("label < 9").select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"), (F.col("vec_id") % 10).alias("g"))
-    return q.join(h, "g").select("doc_id", "id", scoring.clip(text.dot(F.col("a"), F.col("b"))).alias("sim"))
 
+#: Each page is one of the document with its number.
+WIKI_SQL = f"""pt AS (SELECT page_id AS doc_id, 'page ' || page_id AS title, url, {_PAGE_TEXT} AS t FROM pages),
+{chunks_sql("pc", "pt", "doc_id, title, url", "t")}, pk AS (SELECT * FROM pc WHERE regexp_replace(chunk, '\\s', '', 'g') <> ''),
+{vectors_sql("pv", "pk", "doc_id, title, url, start", "chunk")},
+pd AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE doc_id IN (SELECT page_id FROM pages)),
+{vectors_sql("pq", "pd", "doc_id", "t")},
+pn AS (SELECT doc_id, title, url, start, greatest(0.0, least(1.0, list_inner_product(pq.v, pv.v))) AS sim FROM pv JOIN pq USING (doc_id)),
+pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC) AS rank FROM pn),
+wiki AS (SELECT doc_id, avg(sim) FILTER (rank <= 20) * 100 AS wiki FROM pr GROUP BY doc_id)"""
 
-@query(_WIKI + "SELECT doc_id, round(wiki, 6) AS score FROM w")
+
+def own_pages(spark, sf_dir) -> DataFrame:
+    """Pages as each document's own: doc_id, title, url, text."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), "url", text.strip_tags(F.col("html")).alias("text"))
+
+
+def _wiki(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.stripped(F.coalesce("text", F.lit(""))).alias("text"))
+    return whole.wiki_scores(docs, own_pages(spark, sf_dir), whole.Parameters())
+
+
+@query(f"WITH {WIKI_SQL} SELECT doc_id, round(wiki, 6) AS score FROM wiki")
 def wiki_topk(spark, sf_dir):
-    return rounded(vectors.mean_of_present(_wiki_sims(spark, sf_dir), "doc_id", 8), "score")
+    return rounded(_wiki(spark, sf_dir).select("doc_id", "score"), "score")
+
+
+@query(f"WITH {WIKI_SQL} SELECT doc_id, rank::INT AS rank, title, url, round(sim, 6) AS similaridade FROM pr WHERE rank <= 20")
+def wiki_matches(spark, sf_dir):
+    got = _wiki(spark, sf_dir).select("doc_id", F.posexplode("matches").alias("rank", "m"))
+    return got.select("doc_id", (F.col("rank") + 1).alias("rank"), "m.title", "m.url", F.round("m.similaridade", 6).alias("similaridade"))
 
 
-@query(_WIKI + """, f AS (SELECT doc_id, wiki, CASE doc_id % 3 WHEN 0 THEN 0.0 ELSE 40.0 + doc_id % 50 END AS faiss FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 0.0 ELSE wiki END AS wiki FROM w))
+@query(f"""WITH {WIKI_SQL}, f AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 0.0 ELSE wiki END AS wiki, CASE doc_id % 3 WHEN 0 THEN 0.0 ELSE 40.0 + doc_id % 50 END AS faiss FROM wiki)
 SELECT doc_id, round(CASE WHEN wiki <= 0 THEN faiss WHEN faiss <= 0 THEN wiki ELSE faiss * 0.5 + wiki * 0.5 END, 6) AS combined,
   CASE WHEN wiki <= 0 THEN 1.0 WHEN faiss <= 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS w_faiss, CASE WHEN wiki <= 0 THEN 0.0 WHEN faiss <= 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS w_wiki FROM f""")
 def hist_wiki_combine(spark, sf_dir):
-    w = vectors.mean_of_present(_wiki_sims(spark, sf_dir), "doc_id", 8)
-    w = w.select("doc_id", F.expr("CASE WHEN doc_id % 4 = 1 THEN 0D ELSE score END").alias("wiki"), F.expr("CASE doc_id % 3 WHEN 0 THEN 0D ELSE 40D + doc_id % 50 END").alias("faiss"))
+    w = _wiki(spark, sf_dir).select("doc_id", F.expr("CASE WHEN doc_id % 4 = 1 THEN 0D ELSE score END").alias("wiki"), F.expr("CASE doc_id % 3 WHEN 0 THEN 0D ELSE 40D + doc_id % 50 END").alias("faiss"))
     wf, ww = scoring.wiki_weights(F.col("faiss"), F.col("wiki"))
     return w.select("doc_id", F.round(scoring.with_wiki(F.col("faiss"), F.col("wiki")), 6).alias("combined"), wf.alias("w_faiss"), ww.alias("w_wiki"))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import lookups
 from factloom.functions import scoring, text
 from factloom.operators import chunks, evidence, training, vectors
 from factloom.plans import analyze as whole
@@ -62,9 +63,9 @@ def test_claims(spark):
 
 
 def test_style_of_empty_text(spark):
-    got = one(spark, **text.style_features(F.lit(None).cast("string")))
-    assert set(got.values()) == {0.0}
-    got = one(spark, **text.style_features(F.lit("URGENTE! É FALSO? sim")))
+    rows = text.with_style(spark.createDataFrame([(0, None), (1, ""), (2, "URGENTE! É FALSO? sim")], "n int, text string")).orderBy("n").collect()
+    assert all({r[c] for c in text.STYLE} == {0.0} for r in rows[:2])
+    got = rows[2].asDict()
     assert got["allcaps_ratio"] == pytest.approx(2 / 4) and got["exclaim"] == 0.1 and got["lexicon_density"] == pytest.approx(1 / 4)
 
 
@@ -80,6 +81,58 @@ def test_nearest_is_exact(spark):
         assert r["id"] == 40 + order[r["rank"] - 1]
 
 
+def test_large_history_is_not_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-2, 3, (120, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    q, h = df.filter("id < 20"), df.filter("id >= 20")
+    want = vectors.nearest(q, h, 4).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    assert vectors.nearest(q, h, 4).orderBy("query_id", "rank").collect() == want
+    sims = v[:20] @ v[20:].T
+    assert [r["id"] - 20 for r in want] == [i for s in sims for i in np.lexsort((np.arange(100), -s))[:4]]
+    assert vectors.nearest(q, h, 0).count() == 0
+
+
+def test_split_has_no_hot_label(spark):
+    rows = [(i, "a" if i % 10 else "b") for i in range(3000)] + [(None, "c"), (3, None)]
+    got = training.split_assignment(spark.createDataFrame(rows, "doc_id long, label string")).groupBy("label").agg(F.sum(F.col("is_test").cast("int")).alias("n")).collect()
+    assert {r["label"]: r["n"] for r in got} == {"a": 540, "b": 60, "c": 0, None: 0}
+
+
+def test_numbers_follow_the_order(spark):
+    from factloom.session import numbered
+
+    df = spark.createDataFrame([(f"f{i:03d}",) for i in range(500)], "name string").repartition(7)
+    assert [(r["id"], r["name"]) for r in numbered(df, "name").orderBy("name").collect()] == [(i, f"f{i:03d}") for i in range(500)]
+
+
+def test_calibration_curve(spark):
+    x, y = [-1.0, 0.0, 2.0], [0.1, 0.4, 0.8]
+    rows = spark.createDataFrame([(v,) for v in (-5.0, -1.0, -0.5, 0.0, 1.0, 2.0, 9.0)], "m double")
+    got = [r["p"] for r in rows.select("m", scoring.curve(F.col("m"), x, y).alias("p")).orderBy("m").collect()]
+    assert got == pytest.approx(np.interp([-5, -1, -0.5, 0, 1, 2, 9], x, y))
+
+
+def test_masked_names_are_plain_replacement(spark):
+    import re
+
+    texts = ["Ana Maria viu Ana e ana maria. Bob", "É Íris? ÍRIS e Maria\nRita Souza", "sem nomes", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in training.with_masked_copies(rows).filter("is_copy").collect()}
+    cap, low = lookups.CAPITAL, lookups.SMALL
+    for i, t in enumerate(texts):
+        names = dict.fromkeys(re.findall(rf"\b([{cap}][{low}]+(?:\s+[{cap}][{low}]+){{0,3}})\b", t))
+        first = {}
+        for n in names:
+            first.setdefault(n.lower(), n)
+        want = t
+        for n in sorted(first.values(), key=lambda n: (-len(n), n)):
+            want = re.sub(rf"\b{re.escape(n)}\b", "[ENT]", want, flags=re.IGNORECASE)
+        assert got.get(i, t) == want
+
+
 def test_missing_neighbours_count_as_zero(spark):
     near = spark.createDataFrame([(1, 7, 0.5, 1)], "query_id long, id long, sim double, rank int")
     assert vectors.historical_consistency(near, 2).first()["score"] == 25.0

@@ -81,11 +81,16 @@ def one_each(rows: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame
 SEGMENTS = 8
 
 
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap for so many keys: sixteen each, 1 to 64 MB in all."""
+    return min(1 << 29, max(1 << 23, 1 << (16 * keys).bit_length()))
+
+
 class IdFilter:
     """Membership of 64-bit keys in a bitmap of fixed size, without false negatives.
 
-    The bitmap has ``bits`` bits whatever the number of keys, so broadcasting it is
-    bounded.  A full bitmap only lets more rows through; callers stay exact.
+    The bitmap has ``bits`` bits (see ``bits_for``), so broadcasting it is bounded.  A full
+    bitmap only lets more rows through; callers stay exact.
     """
 
     def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 26):

@@ -5,20 +5,21 @@ whose word sequence also starts anywhere else are removed.
 
 1. Each window is assigned to its minimizer, the leftmost smallest of its word 8-grams,
    so equal windows have equal minimizers.  Consecutive windows with one minimizer are a
-   piece: minimizer, hash of the whole piece, document, place.
-2. Minimizers that occur once settle their pieces: no repetition.  If all pieces of a
-   minimizer are equal, all their windows repeat.
-3. The other minimizers' pieces are the reference.  Its texts are read again and dealt
-   to shards by minimizer, so a shard holds every occurrence of its windows.  Each shard
-   gets a suffix automaton with occurrence counts; the pieces are streamed through it
-   for their matching statistics, and a window whose state occurs at least twice is
-   repeated.  A minimizer with more pieces than a shard may hold is counted by window
-   hash instead: equal windows, whatever the piece.
-4. Spans of each document are merged and its words removed.
-
-The reference grows with the corpus, so shards are not broadcast: each document's
-pieces go to the shard that can match them.  ``drop_reference_passages`` is the form
-with a broadcast automaton for a reference of bounded size.
+   piece: minimizer (its anchor), hash of the whole piece, document, place.
+2. The distinct pieces of anchors that occur more than once, with their numbers of
+   occurrences, are the reference.
+3. The reference is dealt to shards by anchor, so a shard holds every occurrence of its
+   windows.  An anchor with more pieces than a shard may hold is dealt by longer grams.
+   Each shard gets a suffix automaton with occurrence counts; the pieces are streamed
+   through it for their matching statistics, and a window whose state occurs at least
+   twice is repeated.
+4. The repeated runs go back to all documents that have their piece; the spans of each
+   document are merged and its words removed.
+
+The reference grows with the corpus, so its shards are not broadcast: each shard would be
+a pass over all documents, and their number grows with the documents.  Each document's
+pieces go to the shard that can match them.  ``drop_reference_passages`` is the form with
+broadcast shards, for a reference that does not grow with the documents.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ from factloom.llm import _io
 from factloom.llm._text import _BASE, _INV, _STEP, _powers, as_strings, chunks, gram_hashes, mix64, span_hashes, word_bounds
 
 GRAM = 8
-SHARD_PIECES = 2048
+SHARD_PIECES = 256
+SHARD_WORDS = 1 << 17
+_WORDS = "anchor long, piece long, times long, words binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 _PIECE = "doc_id long, first int, windows int, anchor long, piece long"
 
 
@@ -175,101 +179,116 @@ def repeated_spans(docs: DataFrame, window: int = 35, shard_pieces: int = SHARD_
     docs: doc_id long (unique, not null), text string.
     """
     pieces = _io.stored(_pieces(docs, window), "pieces")
-    often = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("p0"), F.max("piece").alias("p1")).filter("n > 1")
-    often = often.select("anchor", "n", (F.col("p0") == F.col("p1")).alias("equal"))
-    met = _io.stored(pieces.join(often, "anchor"), "shared-pieces")
-    whole = met.filter("equal").select("doc_id", "first", "windows")
-    mixed = met.filter("not equal")
-    kinds = _io.stored(mixed.groupBy("anchor", "piece").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "windows")).alias("at")), "reference")
-    again = mixed.join(kinds.filter("times > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("doc_id", "first", "windows")
-    out = whole.union(again)
-    if kinds.isEmpty():
-        return out
-    sides = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    chosen = kinds.join(sides, "anchor").select("anchor", "piece", "times", "at.*", "kinds")
-    found = _matched(_with_words(docs, _io.stored(chosen, "reference"), window), window, shard_pieces)
-    return out.union(found)
-
-
-def _with_words(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """The word hashes of one occurrence of each distinct piece, read from its document."""
-    near = _io.IdFilter(chosen, "doc_id")
+    often = _io.stored(pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
+    # what the bitmap lets through by chance goes in the join, a plain one that Spark splits where an anchor is hot
+    near = _passed(pieces, often, "anchor")
+    shared = _io.stored(near.join(often, "anchor", "left_semi").select("doc_id", "first", "windows", "anchor", "piece"), "shared-pieces")
+    kinds = shared.groupBy("anchor", "piece").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "windows")).alias("at"))
+    chosen = _io.stored(kinds.select("anchor", "piece", "times", "at.*"), "reference")
+    if chosen.isEmpty():
+        return shared.select("doc_id", "first", "windows")
+    reference = _io.stored(_with_words(docs, chosen, window), "reference-words")
+    found = _io.stored(_judged(reference, window, shard_pieces, GRAM), "repeated-runs")
+    return shared.select("doc_id", "first", "anchor", "piece").join(found, ["anchor", "piece"]).select("doc_id", (F.col("first") + F.col("place")).cast("int").alias("first"), F.col("run").alias("windows"))
+
+
+def _passed(rows: DataFrame, keys: DataFrame, column: str, other: bool = False) -> DataFrame:
+    """Rows that a bitmap of the keys lets through (with ``other`` the rest): all that have one, and some by chance."""
+    near = _io.IdFilter(keys, column, bits=_io.bits_for(keys.count()))
 
     def pick(batches):
         for b in batches:
-            yield b.filter(pa.array(near.test(b.column(2).to_numpy()))).select([0, 1])
+            yes = near.test(b.column(b.num_columns - 1).to_numpy())
+            yield b.filter(pa.array(yes != other)).select(range(b.num_columns - 1))
+
+    return rows.withColumn("_h", F.xxhash64(column)).mapInArrow(pick, rows.schema)
+
 
-    texts = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(pick, "doc_id long, text string")
-    spots = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "piece", "times", "first", "windows", "kinds")).alias("spots"))
+def _with_words(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """anchor, piece, times and the word hashes of each distinct piece, read from one document that has it."""
+    texts = _passed(docs, chosen, "doc_id")
+    spots = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "piece", "times", "first", "windows")).alias("spots"))
 
     def read(batches):
         for b in batches:
             spots = b.column(2)
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(4)]
             for i, words, rows in _scan(as_strings(b.column(1))):
                 for r in range(len(rows) - 1):
                     own = words[rows[r] : rows[r + 1]]
                     for s in spots[i + r].as_py():
-                        values = (b.column(0)[i + r].as_py(), s["first"], s["anchor"], s["piece"], s["times"], s["kinds"], own[s["first"] : s["first"] + s["windows"] + window - 1].tobytes())
+                        values = (s["anchor"], s["piece"], s["times"], own[s["first"] : s["first"] + s["windows"] + window - 1].tobytes())
                         for c, v in zip(cols, values, strict=True):
                             c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "first", "anchor", "piece", "times", "kinds", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=["anchor", "piece", "times", "words"])
 
-    return texts.join(spots, "doc_id").mapInArrow(read, "doc_id long, first int, anchor long, piece long, times long, kinds long, words binary")
+    return texts.select("doc_id", "text").join(spots, "doc_id").mapInArrow(read, _WORDS)
 
 
-def _matched(reference: DataFrame, window: int, shard_pieces: int) -> DataFrame:
-    """Windows of the reference's pieces that also start in another piece."""
-    reference = _io.stored(reference, "reference-words")
-    small = reference.filter(F.col("kinds") <= shard_pieces).repartition("anchor").sortWithinPartitions("anchor")
+def _judged(reference: DataFrame, window: int, shard_pieces: int, gram: int) -> DataFrame:
+    """The repeated runs (anchor, piece, place, run) of the reference's pieces, from suffix automata of its shards.
 
-    def shard(batches):
-        anchor, held = None, []
-
-        def flush(rows):
-            if not rows:
-                return []
-            tool, texts = SuffixAutomaton(), [np.frombuffer(r[3], np.uint64).tolist() for r in rows]
-            for r, words in zip(rows, texts, strict=True):
-                tool.add(words, r[2])
-            tool.close()
-            return [(r[0], r[1] + start) for r, words in zip(rows, texts, strict=True) if r[2] == 1 for start, n in tool.windows(words, window) if n > 1]
-
-        size = 0
-        for b in batches:
-            out = []
-            for doc, first, a, times, words in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4, 6)), strict=True):
-                if a != anchor and size >= shard_pieces:
-                    out += flush(held)
-                    held, size = [], 0
-                anchor = a
-                held.append((doc, first, times, words))
-                size += 1
-            yield _spans(out)
-        yield _spans(flush(held))
-
-    found = small.mapInArrow(shard, "doc_id long, first int, windows int")
-
-    def explode(batches):
+    An anchor with more pieces than a shard may hold is dealt anew: its pieces are cut by
+    the minimizers of longer grams, up to the whole window, of which there is one piece only.
+    """
+    large = _io.stored(reference.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pieces).select("anchor"), "large-anchors")
+    if gram >= window or large.isEmpty():
+        return _matched(reference, window, shard_pieces)
+    found = _matched(_passed(reference, large, "anchor", other=True), window, shard_pieces)
+    longer = min(window, gram + GRAM)
+
+    def cut(batches):
         for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for doc, first, times, words in zip(*(b.column(k).to_pylist() for k in (0, 1, 4, 6)), strict=True):
-                h = gram_hashes(np.frombuffer(words, np.uint64), window).view(np.int64).tolist()
-                out += [(doc, first + k, x, times) for k, x in enumerate(h)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "first", "w", "times"])
+            for k in range(0, b.num_rows, 1024):
+                some = b.slice(k, 1024)
+                own = [np.frombuffer(w.as_buffer(), np.uint64) for w in some.column(3)]
+                rows = np.concatenate(([0], np.cumsum([len(w) for w in own])))
+                row, first, count, anchor, piece = pieces_of(np.concatenate(own), rows, window, longer)
+                at = pa.array(row)
+                words = [own[r][f : f + n + window - 1].tobytes() for r, f, n in zip(row.tolist(), first.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), some.column(2).take(at), pa.array(first.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(words, pa.binary())], names=["anchor", "piece", "times", "first", "a", "p", "words"])
+
+    parts = _io.stored(_passed(reference, large, "anchor").mapInArrow(cut, "anchor long, piece long, times long, first int, a long, p long, words binary"), "longer-pieces")
+    again = parts.groupBy(F.col("a").alias("anchor"), F.col("p").alias("piece")).agg(F.sum("times").alias("times"), F.first("words").alias("words"))
+    runs = _io.stored(_judged(_io.stored(again, "reference-words"), window, shard_pieces, longer), "repeated-runs")
+    runs = runs.select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "place", "run")
+    more = parts.select("anchor", "piece", "first", "a", "p").join(runs, ["a", "p"]).select("anchor", "piece", (F.col("first") + F.col("place")).cast("int").alias("place"), "run")
+    return found.unionByName(more)
+
 
-    large = reference.filter(F.col("kinds") > shard_pieces)
-    each = large.mapInArrow(explode, "doc_id long, first int, w long, times long")
-    twice = each.groupBy("w").agg(F.sum("times").alias("n")).filter("n > 1").select("w")
-    counted = each.filter("times = 1").join(twice, "w").select("doc_id", "first", F.lit(1).alias("windows"))
-    return found.union(counted)
+def _matched(reference: DataFrame, window: int, shard_pieces: int) -> DataFrame:
+    """Each shard's automaton, and the matching statistics of the shard's pieces: runs of windows that occur twice."""
+    dealt = reference.repartition("anchor").sortWithinPartitions("anchor")
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        tool, texts, out = SuffixAutomaton(), [np.frombuffer(r[3], np.uint64).tolist() for r in held], []
+        for r, words in zip(held, texts, strict=True):
+            tool.add(words, r[2])
+        tool.close()
+        for r, words in zip(held, texts, strict=True):
+            last = None
+            for start, n in tool.windows(words, window):
+                if n > 1:
+                    if last is not None and last[2] + last[3] == start:
+                        last[3] += 1
+                    else:
+                        last = [r[0], r[1], start, 1]
+                        out.append(last)
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "piece", "place", "run"])
 
+    def shard(batches):
+        held: list[tuple] = []
+        for b in (w.slice(k, 1024) for w in batches for k in range(0, w.num_rows, 1024)):
+            for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and row[0] != held[-1][0] and len(held) >= shard_pieces:
+                    yield flush(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield flush(held)
 
-def _spans(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    doc, first = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array([1] * len(doc), pa.int32())], names=["doc_id", "first", "windows"])
+    return dealt.mapInArrow(shard, "anchor long, piece long, place int, run int")
 
 
 def _kept_words(column: pa.Array, spans: list, window: int) -> Iterator[tuple[int, int, bytes]]:
@@ -304,10 +323,14 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(rows.filter("doc_id is not null"), window)
     each = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
-    each = _io.stored(each, "spans")
+    return _without(rows.join(_io.stored(each, "spans"), "doc_id", "left"), window)
+
+
+def _without(rows: DataFrame, window: int) -> DataFrame:
+    """doc_id, text, spans as the words that are left."""
 
     def remove(batches):
-        for b in batches:
+        for b in (w.slice(k, 512) for w in batches for k in range(0, w.num_rows, 512)):
             spans = b.column(2).to_pylist()
             n, gone, text = [], [], []
             for words, removed, kept in _kept_words(as_strings(b.column(1)), spans, window):
@@ -317,33 +340,50 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             sha = [hashlib.sha256(t).hexdigest() for t in text]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([t.decode() for t in text], pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return rows.join(each, "doc_id", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
-def drop_reference_passages(docs: DataFrame, reference: list[str], id_col: str = "doc_id", text_col: str = "text", window: int = 35, limit_words: int = 1 << 20) -> DataFrame:
-    """Removal of passages that occur in a bounded reference: its automaton is broadcast.
+def drop_reference_passages(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Removal of passages that occur in a reference (text_col): its automata are broadcast shard by shard.
 
-    reference: texts of at most ``limit_words`` words in all (else ValueError).
-    Returns the columns of ``drop_repeated_passages``.
+    A shard has at most ``shard_words`` words, each with the ``window`` - 1 words before it,
+    so its automaton's size has a bound.  All documents are streamed past each shard, one
+    pass each: meant for references of some million words.  Returns the columns of
+    ``drop_repeated_passages``, in which identifiers need not be unique here; a null or
+    wordless reference text holds nothing.
     """
-    tool = SuffixAutomaton()
-    total = 0
-    for _, words, rows in _scan(pa.array(reference, pa.string())):
-        total += len(words)
-        if total > limit_words:
-            raise ValueError(f"the reference has more than {limit_words} words; use drop_repeated_passages")
-        for a, b in zip(rows[:-1], rows[1:], strict=True):
-            tool.add(words[a:b].tolist())
-    tool.close()
-    shared = docs.sparkSession.sparkContext.broadcast(tool)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def remove(batches):
+    def cut(batches):
         for b in batches:
-            column = as_strings(b.column(1))
-            spans = [[{"first": s, "windows": 1} for s, _ in shared.value.windows(words[x:y].tolist(), window)] for _, words, rows in _scan(column) for x, y in zip(rows[:-1], rows[1:], strict=True)]
-            got = list(_kept_words(column, spans, window))
-            text = [t.decode() for _, _, t in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array(text, pa.string()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+            for _, words, edges in _scan(as_strings(b.column(0))):
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    for k in range(x, max(x, y - window + 1), shard_words // 2):  # two fit into a shard
+                        part = words[k : min(y, k + shard_words // 2 + window - 1)]
+                        yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["n", "words"])
+
+    parts = _io.stored(reference.select(F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "n long, words binary"), "reference-parts")
+    shards = max(1, -(-2 * (parts.agg(F.sum("n")).first()[0] or 0) // shard_words))
+    parts = _io.stored(parts.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards))), "reference-parts")
+    passes = []
+    for k in range(shards):
+        tool = SuffixAutomaton()
+        for r in parts.filter(F.col("shard") == k).select("words").distinct().toLocalIterator():  # of about shard_words / 2 words
+            tool.add(np.frombuffer(r["words"], np.uint64).tolist())
+        tool.close()
+        shared = docs.sparkSession.sparkContext.broadcast(tool)
+
+        def match(batches, shared=shared):
+            for b in batches:
+                own = [[s for s, _ in shared.value.windows(words[x:y].tolist(), window)] for _, words, edges in _scan(as_strings(b.column(1))) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+                hit = [i for i, s in enumerate(own) if s]
+                yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(hit, pa.int64())), pa.array([own[i] for i in hit], pa.list_(pa.int32()))], names=["h", "starts"])
+
+        found = rows.withColumn("h", F.xxhash64("text")).mapInArrow(match, "h long, starts array<int>")
+        passes.append(_io.stored(found.distinct(), "reference-spans"))
+        shared.unpersist()
+    each = passes[0]
+    for more in passes[1:]:
+        each = each.unionByName(more)
+    spans = each.select("h", F.explode("starts").alias("first")).groupBy("h").agg(F.collect_set(F.struct("first", F.lit(1).alias("windows"))).alias("spans"))
+    return _without(rows.withColumn("h", F.xxhash64("text")).join(spans, "h", "left").select("doc_id", "text", "spans"), window)

@@ -79,7 +79,9 @@ def brute_groups(texts, num=85, den=100):
     return [(len(sets[i]), root(i)) for i in range(len(texts))]
 
 
-def test_near_groups(spark):
+@pytest.mark.parametrize("block", [256, 5])
+def test_near_groups(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", block)
     rng = random.Random(1)
     texts = odd_texts()
     for _ in range(12):
@@ -118,7 +120,7 @@ def brute_passages(texts, window):
     return out
 
 
-@pytest.mark.parametrize("shard", [2048, 2])
+@pytest.mark.parametrize("shard", [2048, 20, 2])
 def test_repeated_passages(spark, shard, monkeypatch):
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(80)]
@@ -132,12 +134,26 @@ def test_repeated_passages(spark, shard, monkeypatch):
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(texts))] == brute_passages(texts, 35)
 
 
-def test_reference_passages(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    got = by_id(substring_dedup.drop_reference_passages(table(spark, [f"a {text} b", None, "c"]), [text]))
-    assert (got[0]["kept_text"], got[0]["n_removed"], got[1]["kept_text"], got[2]["kept_text"]) == ("a b", 50, "", "c")
-    with pytest.raises(ValueError, match="more than"):
-        substring_dedup.drop_reference_passages(table(spark, ["a"]), [text], limit_words=10)
+@pytest.mark.parametrize("size", [1 << 17, 128])
+def test_reference_passages(spark, size):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    reference = [" ".join(rng.choice(words) for _ in range(n)) for n in (300, 50, 35, 34)] + [None, ""]
+    texts = [None, "", "c"]
+    for _ in range(30):
+        w = rng.choice(reference[:4]).split()
+        a, b = sorted(rng.sample(range(len(w) + 1), 2))
+        texts.append(" ".join([f"u{rng.randint(0, 99)}" for _ in range(20)] + w[a:b] + ["v"] * rng.randint(0, 9)))
+    held = {tuple(w[k : k + 35]) for t in reference if t for w in [t.encode().split()] for k in range(len(w) - 34)}
+    got = by_id(substring_dedup.drop_reference_passages(table(spark, texts), table(spark, reference), shard_words=size))
+    for i, t in enumerate(texts):
+        w = (t or "").encode().split()
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 34):
+            gone[k : k + 35] |= tuple(w[k : k + 35]) in held
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    assert substring_dedup.drop_reference_passages(table(spark, texts), table(spark, [])).filter("n_removed > 0").count() == 0
 
 
 def test_tokens_round_trip(spark):

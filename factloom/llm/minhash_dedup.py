@@ -36,7 +36,7 @@ from factloom.llm.components import components
 
 COORDINATES, MISS = 480, 1e-6
 SMALL_BUCKET = 32
-BLOCK_SETS, BLOCK_GRAMS = 2048, 1 << 20
+BLOCK_SETS, BLOCK_GRAMS = 64, 1 << 18
 _COLUMNS = 2048
 _TILE = (32, 512)
 _SPREAD = np.uint32(0xC2B2AE35)
@@ -256,13 +256,25 @@ def _compared(rows: list[tuple[int, int, int, np.ndarray]], num: int, den: int)
 
 
 def _group_links(active: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among all members of each group, large groups in pairs of blocks."""
-    size = active.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    size = size.filter("m > 1 and l0 <> l1").dropDuplicates(["m", "total", "who"])  # groups of the same members once
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("int")
-    rows = active.join(size.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("rep", "n", "key", "block", other).select("rep", "n", "block", F.struct("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("task"))
+    """Links among the members of each group that are not connected yet, large groups in pairs of blocks.
+
+    The members of a group's largest label are connected already, so their blocks meet only
+    the blocks of the others: a row of them is sent as often as the others have blocks.
+    """
+    labels = active.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"))
+    size = labels.groupBy("key").agg(F.sum("m").alias("m"), F.sum("total").alias("total"), F.sum("who").alias("who"), F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("most"))
+    size = size.filter("labels > 1").dropDuplicates(["m", "total", "who"])  # groups of the same members once
+    unit = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_GRAMS) * F.col("m") / F.col("total"))))
+    size = size.select("key", "m", F.col("most.label").alias("top"), F.col("most.m").alias("in_top"), unit.alias("unit"))
+    blocks = lambda rows: F.ceil(rows / F.col("unit"))
+    whole = F.col("m") <= F.col("unit")
+    size = size.select("key", "top", F.when(whole, 1).otherwise(blocks(F.col("m") - F.col("in_top"))).cast("int").alias("others"), F.when(whole, 0).otherwise(blocks(F.col("in_top"))).cast("int").alias("tops"))
+    spot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    rows = active.join(size, "key")
+    in_top = (F.col("label") == F.col("top")) & (F.col("tops") > 0)
+    rows = rows.withColumn("block", F.when(in_top, F.col("others") + spot(F.greatest("tops", F.lit(1)))).otherwise(spot(F.col("others"))))
+    meets = F.sequence(F.lit(0), F.when(in_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)
+    rows = rows.select("rep", "n", "key", "block", F.explode(meets).alias("other")).select("rep", "n", "block", F.struct("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("task"))
     rows = rows.join(sets, "rep").select(F.xxhash64("task.key", "task.i", "task.j").alias("task"), "rep", "block", "n", "grams")
     rows = rows.repartition("task").sortWithinPartitions("task")
 

@@ -22,6 +22,7 @@ from factloom.llm._text import as_strings, shingle_sets
 
 K = 128
 PART_ROWS = 4096
+HELD_KEYS = 1 << 16
 _TOP = np.uint64(1 << 48)
 _WIDTH = 6
 _COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, in_next double, next_id long"
@@ -98,26 +99,40 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def merge_fingerprints(parts: DataFrame, keys: list[str], column: str = "fingerprint", k: int = K) -> DataFrame:
     """Fingerprint of the union of each group's fingerprints.
 
-    Tasks merge what they hold before the shuffle, so a group is at most one sketch a
-    task and a hot group is no burden.
+    Tasks merge up to ``HELD_KEYS`` groups at a time before the shuffle, so a hot group is a
+    few sketches a task; behind it groups come one after the other.  Null keys are groups
+    like others, null fingerprints are left out, an empty table gives an empty result.
     """
-    schema = parts.select(*keys, column).schema
-
-    def run(batches):
-        held: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for *key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if text is not None:
-                    mine = unpack(text)
-                    held[tuple(key)] = merge(held[tuple(key)], mine, k) if tuple(key) in held else mine
-        rows = [(*key, pack(s)) for key, s in held.items()]
-        names = [f.name for f in schema]
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([pa.field(n, t) for n, t in zip(names, types, strict=True)]))
-
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [to_arrow_type(f.dataType) for f in schema]
-    return parts.select(*keys, column).mapInArrow(run, schema).repartition(*keys).mapInArrow(run, schema)
+    schema = parts.select(*keys, column).schema
+    kinds = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def batch(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(kinds.names, (*key, pack(s)), strict=True)) for key, s in held.items()], schema=kinds)
+
+    def run(most):
+        def merged(batches):
+            held: dict[tuple, np.ndarray] = {}
+            for b in batches:
+                for *key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if text is None:
+                        continue
+                    mine, at = unpack(text), tuple(key)
+                    if at in held:
+                        held[at] = merge(held[at], mine, k)
+                        continue
+                    if len(held) >= most:
+                        yield batch(held)
+                        held = {}
+                    held[at] = mine
+            if held:
+                yield batch(held)
+
+        return merged
+
+    some = parts.select(*keys, column).mapInArrow(run(HELD_KEYS), schema)
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run(1), schema)
 
 
 def edited_texts(text: str, following: str) -> str:

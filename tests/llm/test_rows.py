@@ -216,7 +216,8 @@ def test_neighbours_of_repeated_identifiers(spark):
     assert [(r["doc_id"], r["next_id"], r["near_next"]) for r in one] == [(9, 9, 1.0)]
 
 
-def test_merged_fingerprints(spark):
+def test_merged_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "HELD_KEYS", 2)
     texts = [" ".join(f"w{i}" for i in range(a, a + 90)) for a in range(0, 900, 30)]
     docs = spark.createDataFrame([(i, t, i % 3 if i % 7 else None) for i, t in enumerate(texts)], "doc_id long, text string, part int")
     marks = fingerprints.fingerprint_documents(docs).join(docs.select("doc_id", "part"), "doc_id")

@@ -5,13 +5,12 @@
 2. Compaction merges the runs of a range pairwise.  A digest that the other run's
    filter rejects is copied without a search; equal digests become one entry with
    the best identifier and the summed count.
-3. A digest with more than one document is a hit.  Every document of a hit is
-   compared byte for byte with the document that stays; documents that differ (a
-   digest collision) are grouped anew by their whole text.
+3. A digest with more than one document is a hit.  The documents of a hit are
+   compared byte for byte; where they differ (a digest collision) they are grouped anew
+   by their whole text.
 
 A memtable combines copies before anything is shuffled, so a text that fills a third
-of the table is one entry per run.  The byte check spreads large groups over salts in
-proportion to their size.
+of the table is one entry per run, and the byte check moves it once a task.
 """
 
 from __future__ import annotations
@@ -29,7 +28,6 @@ from factloom.llm._text import as_strings
 
 MEMTABLE = 1 << 17
 RANGE_ROWS = 1 << 20
-GROUP_ROWS = 4096
 _ENTRY = "kind int, doc_id long, sha binary, range int, digests binary, ids binary, counts binary, filter binary"
 _NONE = np.iinfo(np.int64).min
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -178,15 +176,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = _io.stored(compacted(runs, digest_bytes, keep), "digest-hits")
     rows = index.filter("kind = 0").select("doc_id", "sha").withColumn("digest", F.col("sha") if digest_bytes == 32 else F.substring("sha", 1, digest_bytes))
     found = rows.join(hits, "digest", "left")
-    member = found.filter("n is not null").select(_at("doc_id").alias("at"), "sha", "digest", _at("keep_id").alias("keep_at"), "n")
-    other = _verified(docs, _io.stored(member.distinct(), "digest-members"), id_col, text_col, keep, digest_bytes)
-    out = found.select("doc_id", "sha", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
+    other = _verified(docs, found.filter("n is not null").select(_at("doc_id").alias("at")), id_col, text_col, keep, digest_bytes)
+    out = found.select("doc_id", "sha", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
     if other is not None:
-        lost = other.groupBy("digest").agg(F.count("*").alias("lost"))
-        own = other.select("at", "sha", F.when(F.col("keep_at") > _NONE, F.col("keep_at")).alias("own"), F.col("n").alias("own_n")).distinct()
-        out = out.withColumn("at", _at("doc_id")).join(own, ["at", "sha"], "left").join(lost, "digest", "left")
-        mine = F.col("own_n").isNotNull()
-        out = out.select("doc_id", "sha", F.when(mine, F.col("own")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(mine, F.col("own_n")).otherwise(F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"))
+        out = out.withColumn("at", _at("doc_id")).join(other, ["at", "sha"], "left")
+        mine = F.col("n").isNotNull()
+        out = out.select("doc_id", "sha", F.when(mine, F.when(F.col("keep_at") > _NONE, F.col("keep_at"))).otherwise(F.col("keep_id")).alias("keep_id"), F.when(mine, F.col("n")).otherwise(F.col("group_size")).alias("group_size"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -195,33 +190,33 @@ def _at(column: str) -> Column:
 
 
 def _verified(docs: DataFrame, member: DataFrame, id_col: str, text_col: str, keep: str, width: int) -> DataFrame | None:
-    """Compare every hit with the text that stays; the rows that differ, regrouped.
+    """Compare the whole texts of every hit; the rows of digests that hold different ones, grouped anew.
 
-    member: at, sha, digest, keep_at, n of each identifier and text among the hits.
+    The smallest and the largest text of a digest are the same only if all are.  Tasks
+    combine their copies before the shuffle, so a hot group is one text a task.
+    member: the identifiers (at) of the hits.
     """
-    near = _io.IdFilter(member, "at")
+    near = _io.IdFilter(member, "at", bits=1 << 26)
 
     def pick(batches):
         for b in batches:
             b = b.filter(pa.array(near.test(b.column(2).to_numpy())))
-            sha = [hashlib.sha256(t.as_buffer().to_pybytes().lower()).digest() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sha, pa.binary())], names=["at", "text", "sha"])
+            for k in range(0, b.num_rows, 512):
+                some = b.slice(k, 512)
+                norm = [t.as_buffer().to_pybytes().lower() for t in some.column(1)]
+                sha = [hashlib.sha256(t).digest() for t in norm]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sha, pa.binary()), pa.array([x[:width] for x in sha], pa.binary()), pa.array(norm, pa.binary()).cast(pa.string())], names=["at", "sha", "digest", "norm"])
 
     text = docs.select(_at_of(id_col).alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = text.withColumn("h", F.xxhash64("at")).mapInArrow(pick, "at long, text string, sha binary")
-    texts = text.join(member, ["at", "sha"]).withColumn("salts", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
-    mine = texts.select("at", "sha", "digest", "text", F.pmod(F.xxhash64("at", F.monotonically_increasing_id()), F.col("salts")).cast("int").alias("salt"))
-    stays = texts.filter("at = keep_at").groupBy("digest").agg(F.min("text").alias("kept_text"), F.max("salts").alias("salts"))
-    stays = stays.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = mine.join(stays, ["digest", "salt"])
-    fold = lambda c: F.translate(c, UPPER, LOWER)
-    differ = both.filter((F.col("text") != F.col("kept_text")) & (fold("text") != fold("kept_text")))
-    differ = _io.stored(differ.select("at", "sha", "digest", fold("text").alias("norm")), "digest-collisions")
-    if differ.isEmpty():
+    texts = text.withColumn("h", F.xxhash64("at")).mapInArrow(pick, "at long, sha binary, digest binary, norm string")
+    clash = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).filter("low <> high").select("digest")
+    clash = _io.stored(clash, "digest-collisions")
+    if clash.isEmpty():
         return None
+    rows = _io.stored(texts.join(clash, "digest", "left_semi"), "digest-collisions")
     best = F.max("at") if keep == "max" else F.coalesce(F.min(F.when(F.col("at") > _NONE, F.col("at"))), F.lit(_NONE))
-    own = differ.groupBy("digest", "norm").agg(best.alias("keep_at"), F.count("*").alias("n"))
-    return _io.stored(differ.join(own, ["digest", "norm"]).select("at", "sha", "digest", "keep_at", "n"), "digest-regrouped")
+    own = rows.groupBy("digest", "norm").agg(best.alias("keep_at"), F.count("*").alias("n"))
+    return _io.stored(rows.join(own, ["digest", "norm"]).select("at", "sha", "keep_at", "n").distinct(), "digest-regrouped")
 
 
 def _at_of(id_col: str) -> Column:

@@ -36,7 +36,7 @@ from factloom.llm.components import components
 
 COORDINATES, MISS = 480, 1e-6
 SMALL_BUCKET = 32
-BLOCK_SETS, BLOCK_GRAMS = 64, 1 << 18
+BLOCK_SETS, BLOCK_GRAMS = 128, 1 << 18
 _COLUMNS = 2048
 _TILE = (32, 512)
 _SPREAD = np.uint32(0xC2B2AE35)

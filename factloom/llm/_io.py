@@ -93,8 +93,8 @@ class IdFilter:
     bitmap only lets more rows through; callers stay exact.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 26):
-        spark = keys.sparkSession
+    def __init__(self, keys: DataFrame, column: str, bits: int | None = None):
+        spark, bits = keys.sparkSession, bits or bits_for(keys.count())
         each = bits // SEGMENTS
         h = F.xxhash64(column)
         marks = keys.select(F.pmod(h, F.lit(SEGMENTS)).cast("int").alias("seg"), F.pmod(F.shiftrightunsigned(h, 6), F.lit(each)).cast("int").alias("pos"))

@@ -93,6 +93,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, domain, budget_share: tuple
     rows = _io.stored(rows, "token-counts")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).join(weights, list(LEVELS))
     quota = leaf_quotas(leaves, budget_share, max_epochs).select(*LEVELS, F.expr("quota div tokens").alias("whole"), F.expr("quota % tokens").alias("part"))
+    quota = _io.stored(quota, "quotas")  # one row a leaf; the plan behind it is made once
     near = rows.join(quota, list(LEVELS))
     whole = near.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
     whole = whole.select("doc_id", *LEVELS, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"), *row)

@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, shard_pieces: int = SHARD_
 
 def _passed(rows: DataFrame, keys: DataFrame, column: str, other: bool = False) -> DataFrame:
     """Rows that a bitmap of the keys lets through (with ``other`` the rest): all that have one, and some by chance."""
-    near = _io.IdFilter(keys, column, bits=_io.bits_for(keys.count()))
+    near = _io.IdFilter(keys, column)
 
     def pick(batches):
         for b in batches:

@@ -137,11 +137,12 @@ z AS (SELECT doc_id, sum(score) AS s FROM y WHERE place <= 10 GROUP BY doc_id)
 _EV_SQL = f"WITH {EV_SQL}, {scored_sql(RULE_SIM)}"
 
 
-def rule_evidence(spark, sf_dir):
-    """Claims, and with the evidence rows made for them."""
+def rule_evidence(spark, sf_dir, vectors: bool = False):
+    """Claims, and with the evidence rows made for them; with ``vectors`` the embeddings of the benchmark texts, each made once."""
     c = evidence.claim_rows(table(spark, sf_dir, "documents"))
     b, n = items(spark, sf_dir)
-    b = b.select("item_no", "item_id", F.col("item_text").alias("claim_text"), "ref_words", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"))
+    b = evidence.with_vector(b, F.col("item_text"), "ref") if vectors else b
+    b = b.select("item_no", "item_id", F.col("item_text").alias("claim_text"), "ref_words", *(["ref_vec"] if vectors else []), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"))
     rows = evidence.with_words(c, F.col("claim"), "claim").withColumn("arrival_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
     rows = rows.withColumn("item_no", (F.col("doc_id") * 7 + F.col("claim_no") * 3 + F.col("arrival_no")) % n).withColumn("n", ((F.col("doc_id") + F.col("claim_no") * 5 + F.col("arrival_no") * 3) % len(SOURCES)).cast("int"))
     rows = rows.join(b, "item_no").join(F.broadcast(_sources(spark)), "n")  # as many as SOURCES

@@ -318,8 +318,8 @@ def analyze(spark, sf_dir):
     a classifier and an incremental one by rule, and evidence by rule with similarities of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = vectors.index_rows(labelled(spark, sf_dir)).select("id", "embedding")
-    _, found = rule_evidence(spark, sf_dir)
+    _, found = rule_evidence(spark, sf_dir, vectors=True)
     now = {"coefficients": ONLINE, "intercept": 0.2, "n_updates": 30}
-    got = whole.analyze(docs, index, (WEIGHTS, 0.1), found.drop("claim", "claim_words", "ref_words"), now, own_pages(spark, sf_dir), whole.Parameters(use_wiki=True))
+    got = whole.analyze(docs, index, (WEIGHTS, 0.1), found.drop("claim", "claim_words"), now, own_pages(spark, sf_dir), whole.Parameters(use_wiki=True))
     numbers = ("faiss", "wiki", "hist", "prob_true", "fonte_score", "online", "alpha", "final", "confianca")
     return got.select("doc_id", *[F.round(n, 6).alias(n) for n in numbers], "rotulo", "bert_rotulo", "status")

@@ -239,3 +239,14 @@ def test_sql_twin(spark, name):
         return sorted(map(repr, zip(*[[value(v) for v in t.column(c).to_pylist()] for c in names], strict=True)))
 
     assert rows(mine) == rows(theirs)
+
+
+def test_vectors_without_value_or_identifier_are_left_out(spark):
+    schema = "id long, embedding array<double>"
+    history = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (None, [1.0, 0.0])], schema)
+    asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, None)], schema)
+    assert sorted(map(tuple, vectors.nearest(asked, history, 5).collect())) == [(10, 1, 1.0, 1), (10, 3, 0.0, 2)]
+    assert vectors.nearest(asked, history.filter("id = 2"), 5).isEmpty()
+    made = spark.createDataFrame([(1, "um")], "id long, text string").select("id", text.hashed_embedding("text").alias("v"))
+    plan = vectors._packed(made, "id", "v", 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # embeddings are made once

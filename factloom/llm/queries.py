@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import _io, exact_dedup, fingerprints, minhash_dedup, mixing, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity, url_filters
+from factloom.llm import _io, exact_dedup, fingerprints, minhash_dedup, mixing, prefix_trie, quality, secret_scan, sentencepiece_codec, source_divergence, substring_dedup, token_output, toxicity, url_filters
 
 
 stored = _io.stored
@@ -185,9 +185,57 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d"""
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), head=prefix_trie.contract_head)
+
+
+_CRC32 = "xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+PREFIX_TRIE_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, left(sha256(length(role) || ':' || role || text), 32)) AS seq FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, seq, {_CRC32} % 4 AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.seq, [])[1:h], c.seq[h + 1:]) AS seq FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM r),
+n AS (SELECT depth, seq[1:depth] AS pre, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, pre[1:depth - 1] AS pre, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.pre[n.depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM n LEFT JOIN k ON n.depth = k.depth AND n.pre = k.pre),
+up AS (SELECT depth AS own, pre, n_children, saved, unnest(range(0, depth + 1)) AS top FROM m),
+s AS (SELECT top AS depth, pre[1:top] AS pre, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY ALL),
+e AS (SELECT seq AS pre, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM r GROUP BY seq)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM m JOIN s ON m.depth = s.depth AND m.pre = s.pre LEFT JOIN n q ON m.depth > 0 AND q.depth = m.depth - 1 AND q.pre = m.pre[1:m.depth - 1] LEFT JOIN e ON e.pre = m.pre"""
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(~quality.held_out())
+    scored = quality.score_quality(_documents(spark, sf_dir), labels)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted", "strength")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit_sources(_documents(spark, sf_dir))
+
+
+SOURCE_DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, '{exact_dedup.UPPER}', '{exact_dedup.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+own AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM own JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM own GROUP BY lang, term) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_mixing, op4_token_output, op5_minhash_dedup, op6_substring_dedup, op7_toxicity, op8_fingerprints, op9_url_filters, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_mixing, op4_token_output, op5_minhash_dedup, op6_substring_dedup, op7_toxicity, op8_fingerprints, op9_url_filters, op10_exact_dedup, op11_prefix_trie, op12_quality, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL, "op9_url_filters": URL_FILTERS_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op3_mixing": MIXING_SQL, "op9_url_filters": URL_FILTERS_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL, "op11_prefix_trie": PREFIX_TRIE_SQL, "op13_source_divergence": SOURCE_DIVERGENCE_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,8 +43,13 @@ def host_trust(h: Column, tops: Column) -> Column:
     """Trust in a host with these suffixes: the first listed domain, else rules, else 0.5."""
     names, values = F.array(*[F.lit(d) for d in _NAMES]), F.array(*[F.lit(float(w)) for w in _TRUST])
     place = F.array_min(F.filter(F.transform(tops, lambda d: F.array_position(names, d)), lambda i: i > 0))
+    return trust_of(h, F.get(values, place.cast("int") - 1))
+
+
+def trust_of(h: Column, found: Column) -> Column:
+    """Trust in a host for which the lists say ``found`` (null: nothing)."""
     rules = [(h.endswith(".gov") | h.endswith(".gov.br"), 0.95), (h.endswith(".edu") | h.endswith(".edu.br") | h.contains(".ac."), 0.9), (h.rlike(lookups.UNIVERSITY), 0.9)]
-    return F.when(h == "", F.lit(0.5)).otherwise(F.coalesce(F.get(values, place.cast("int") - 1), first_match(rules, 0.5)))
+    return F.when(h == "", F.lit(0.5)).otherwise(F.coalesce(found, first_match(rules, 0.5)))
 
 
 def domain_trust(url: Column) -> Column:
@@ -52,9 +58,26 @@ def domain_trust(url: Column) -> Column:
     return host_trust(h, suffixes(h))
 
 
+#: The lists of domains besides trust, by name.
+LISTS = {
+    "social": lookups.SOCIAL_DOMAINS,
+    "wiki": lookups.WIKI_DOMAINS,
+    "video": lookups.VIDEO_DOMAINS,
+    "forum": lookups.FORUM_DOMAINS,
+    "blog": lookups.BLOG_DOMAINS,
+    "news": lookups.NEWS_DOMAINS,
+    "press": lookups.PRESS_DOMAINS,
+}
+
+
 def social_host(tops: Column, publisher: Column) -> Column:
+    return social_of(listed(tops, LISTS["social"]), publisher)
+
+
+def social_of(on_list: Column, publisher: Column) -> Column:
+    """Whether a source is a social one: its host is on the list, or a word of its publisher."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(publisher, F.lit(""))), "[^a-z0-9]+", " "), " ")
-    return listed(tops, lookups.SOCIAL_DOMAINS) | F.exists(words, lambda w: w.isin(*lookups.SOCIAL_PUBLISHERS))
+    return on_list | F.exists(words, lambda w: w.isin(*lookups.SOCIAL_PUBLISHERS))
 
 
 def is_social(url: Column, publisher: Column) -> Column:
@@ -76,23 +99,28 @@ def source_tags(url: Column, publisher: Column, rating: Column) -> Column:
 
 
 def host_tags(h: Column, tops: Column, url: Column, publisher: Column, rating: Column) -> Column:
+    return tags_of(h, lambda name: listed(tops, LISTS[name]), url, publisher, rating)
+
+
+def tags_of(h: Column, on: Callable[[str], Column], url: Column, publisher: Column, rating: Column) -> Column:
+    """Sorted tags of a source; ``on`` says whether its host is below a domain of a list."""
     pub = F.lower(text.stripped(F.coalesce(publisher, F.lit(""))))
     low, rate = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(rating, F.lit("")))
     some = h != ""
-    below = lambda domains: some & listed(tops, domains)
+    below = lambda name: some & on(name)
     has = lambda c, *words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
     checked = has(low, *lookups.FACT_CHECK_DOMAINS)
     rules = [
         ("fact-check", has(rate, "fact-check") | rate.isin([k for k, _ in lookups.RATINGS]) | checked),
-        ("social", social_host(tops, publisher)),
+        ("social", social_of(on("social"), publisher)),
         ("gov", (some & (h.endswith(".gov") | h.endswith(".gov.br"))) | has(pub, "minist", "prefeitura", "governo") | (pub == "gov")),
         ("academic", (some & (h.endswith(".edu") | h.endswith(".edu.br") | h.contains(".ac."))) | has(pub, "universidade", "universidad", "university")),
-        ("wiki", below(lookups.WIKI_DOMAINS)),
-        ("video", below(lookups.VIDEO_DOMAINS)),
-        ("forum", below(lookups.FORUM_DOMAINS)),
-        ("blog", some & (listed(tops, lookups.BLOG_DOMAINS) | text.has_blog_path(url) | pub.contains("blog"))),
-        ("news", (some & (listed(tops, lookups.NEWS_DOMAINS) | has(h, "noticias", "news", "globo.com"))) | has(pub, "noticias", "news", "jornal")),
-        ("press-release", below(lookups.PRESS_DOMAINS)),
+        ("wiki", below("wiki")),
+        ("video", below("video")),
+        ("forum", below("forum")),
+        ("blog", some & (on("blog") | text.has_blog_path(url) | pub.contains("blog"))),
+        ("news", (some & (on("news") | has(h, "noticias", "news", "globo.com"))) | has(pub, "noticias", "news", "jornal")),
+        ("press-release", below("press")),
     ]
     return F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(tag)) for tag, test in rules])))
 
@@ -114,10 +142,10 @@ def overlap_factor(ov: Column, trust: Column) -> Column:
     return F.when(ov >= 0.5, F.lit(1.0)).when(ov >= 0.4, F.lit(0.95)).when(trust >= 0.85, F.lit(0.9)).otherwise(F.lit(0.85))
 
 
-def combined_score(rating: Column, sim: Column, trust: Column, ov: Column) -> Column:
-    """Score of one piece of evidence, unrounded."""
+def combined_score(rating: Column, sim: Column, trust: Column, ov: Column, rated_as: Column | None = None) -> Column:
+    """Score of one piece of evidence, unrounded; rated_as: the rating's score, if it is made already."""
     s = F.greatest(sim, F.lit(0.0))
-    rated = F.lit(0.6) * rating_score(rating) + F.lit(0.25) * s + F.lit(0.15) * trust
+    rated = F.lit(0.6) * (rating_score(rating) if rated_as is None else rated_as) + F.lit(0.25) * s + F.lit(0.15) * trust
     plain = F.lit(0.45) * s + F.lit(0.40) * trust + F.lit(0.05) * ov
     return F.when(F.coalesce(rating, F.lit("")) != "", rated).otherwise(plain) * overlap_factor(ov, trust)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom import lookups
 from factloom.functions import scoring, text
-from factloom.operators import evidence
+from factloom.operators import evidence, hosts
 from factloom.plans.registry import query
 from factloom.plans.text_queries import _HOST, _PATH, CLAIMS_SQL, ITEMS_SQL, _WORDS, items, quoted, table, vectors_sql
 from factloom.sources import connectors
@@ -112,6 +112,30 @@ def page_trust(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scoring.domain_trust(F.col("url")).alias("trust"), scoring.suffix_of(text.host(F.col("url")), lookups.NEWS_DOMAINS).alias("news"))
 
 
+#: A long list by rule: hosts of pages and the domains above them in an order of their own, and two names for each line of an order.
+_LONG = f"""hosts AS (SELECT page_id, {_H} AS host FROM pages), tops AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS domain FROM hosts WHERE host <> ''),
+keyed AS (SELECT domain, ('0x' || substr(md5(domain), 1, 7))::INT AS h FROM tops UNION ALL SELECT d, ('0x' || substr(md5(d), 1, 7))::INT FROM (SELECT 'n' || l_orderkey || '-' || l_linenumber || k AS d FROM lineitem, (VALUES ('.example.net'), ('.example.org')) AS t(k))),
+listed AS (SELECT CASE h % 3 WHEN 0 THEN 'trust' WHEN 1 THEN 'news' ELSE 'social' END AS list, domain, h AS ord, CASE WHEN h % 3 = 0 THEN (h % 101) / 100.0 END AS value FROM keyed WHERE h % 5 < 4)"""
+
+
+def long_list(spark, sf_dir):
+    """The same list as a table."""
+    h = table(spark, sf_dir, "pages").select(text.host(F.col("url")).alias("host")).filter("host <> ''")
+    tops = h.select(F.explode(scoring.suffixes(F.col("host"))).alias("domain")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("n"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("d"))
+    names = lines.select(F.explode(F.array(F.concat("d", F.lit(".example.net")), F.concat("d", F.lit(".example.org")))).alias("domain"))
+    keyed = tops.unionByName(names).withColumn("h", F.conv(F.substring(F.md5(F.col("domain").cast("binary")), 1, 7), 16, 10).cast("int")).filter("h % 5 < 4")
+    name = F.when(F.col("h") % 3 == 0, "trust").when(F.col("h") % 3 == 1, "news").otherwise("social")
+    return keyed.select(name.alias("list"), "domain", F.col("h").alias("ord"), F.when(F.col("h") % 3 == 0, (F.col("h") % 101) / 100.0).alias("value"))
+
+
+@query(f"WITH {_LONG}, f AS (SELECT page_id, list, arg_min(domain, (ord, domain)) AS domain, arg_min(value, (ord, domain)) AS value FROM hosts JOIN listed ON host = domain OR suffix(host, '.' || domain) GROUP BY page_id, list) SELECT page_id, list, domain, value::DOUBLE AS value FROM f")
+def list_matches(spark, sf_dir):
+    """Pages by a list of 100,000 domains and more: the first match of each list."""
+    pages = table(spark, sf_dir, "pages").select("page_id", text.host(F.col("url")).alias("host"))
+    return pages.join(hosts.matches(pages, long_list(spark, sf_dir)), "host").select("page_id", "list", "domain", "value")
+
+
 # Evidence by rule: four benchmark texts for each claim, with a source and a similarity.
 EV_SQL = f"""{SOURCE_VALUES}, {CLAIMS_SQL}, {ITEMS_SQL},
 j AS (SELECT doc_id, claim_no, claim, unnest(range(0, 4))::INT AS arrival_no FROM claims),
@@ -145,7 +169,7 @@ def rule_evidence(spark, sf_dir, vectors: bool = False):
     b = b.select("item_no", "item_id", F.col("item_text").alias("claim_text"), "ref_words", *(["ref_vec"] if vectors else []), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"))
     rows = evidence.with_words(c, F.col("claim"), "claim").withColumn("arrival_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
     rows = rows.withColumn("item_no", (F.col("doc_id") * 7 + F.col("claim_no") * 3 + F.col("arrival_no")) % n).withColumn("n", ((F.col("doc_id") + F.col("claim_no") * 5 + F.col("arrival_no") * 3) % len(SOURCES)).cast("int"))
-    rows = rows.join(b, "item_no").join(F.broadcast(_sources(spark)), "n")  # as many as SOURCES
+    rows = rows.join(b, "item_no").join(F.broadcast(hosts.with_sources(_sources(spark))), "n")  # as many as SOURCES
     return c, rows.drop("n", "item_no").withColumn("provider", F.lit("rule")).withColumn("fact_checker", F.lit(None).cast("string"))
 
 

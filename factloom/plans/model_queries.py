@@ -14,7 +14,7 @@ from factloom.plans.registry import query
 from factloom.plans.text_queries import WIKI_SQL, chunks_sql, labelled, own_pages, table, vectors_sql
 from factloom.session import new_path, stored, write_file
 from factloom.sources import connectors, corpus
-from factloom.streaming import online
+from factloom.streaming import keyed, online
 
 _L = "l AS (SELECT doc_id, text, CASE WHEN quality = 1 THEN 'true' ELSE 'fake' END AS label FROM documents JOIN labels USING (doc_id))"
 TERMS = ["the", "License", "das", "pour"]
@@ -211,14 +211,54 @@ s AS (SELECT 0::BIGINT AS n, list_transform(range(0, 64), lambda i: 0.0::DOUBLE)
 l AS (SELECT * FROM s ORDER BY n DESC LIMIT 1)
 SELECT n AS n_updates, n + 1 AS t, place, round(value, 6) AS value FROM (SELECT n, unnest(list_prepend(b, w)) AS value, unnest(range(0, 65))::INT AS place FROM l)""")
 def online_replay(spark, sf_dir):
-    """The feedback stream folded into a state, from its source to the latest version: intercept, then coefficients."""
+    """The feedback stream learned in the state store, from its source to the latest version: intercept, then coefficients."""
     root = new_path(spark, "online")
-    rows = _feedback(spark, sf_dir)
-    rows.write.mode("overwrite").parquet(f"{root}/feedback")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/feedback")
-    online.learn_from_stream(stream, f"{root}/state", f"{root}/checkpoint", ["fake", "true"]).awaitTermination()
-    now = spark.read.schema(online.STATE).parquet(f"{root}/state").orderBy(F.desc("batch_id")).limit(1)
-    each = now.select("n_updates", "t", F.posexplode(F.concat(F.array("intercept"), "coefficients")).alias("place", "value"))
+    _feedback(spark, sf_dir).withColumn("model", F.lit("all")).write.mode("overwrite").parquet(f"{root}/feedback")
+    stream = keyed.feedback_stream(spark, f"{root}/feedback", max_files=1_000)
+    keyed.learn(stream, f"{root}/versions", f"{root}/checkpoint", ["fake", "true"]).awaitTermination()
+    each = keyed.models(spark, f"{root}/versions").select("n_updates", "t", F.posexplode(F.concat(F.array("intercept"), "coefficients")).alias("place", "value"))
+    return each.withColumn("value", F.round("value", 6))
+
+
+def keyed_feedback(spark, sf_dir):
+    """Feedback of several models: on turns of conversations, and on events by user."""
+    turns = _feedback(spark, sf_dir).withColumn("model", F.concat(F.lit("turns-"), (F.floor(F.col("seq") / 1000) % 4).cast("string")))
+    e = table(spark, sf_dir, "events")
+    said = F.concat_ws(" ", F.col("event_type"), F.concat(F.lit("k"), F.regexp_extract("props", "[0-9]+", 0)))
+    events = e.select(F.concat(F.lit("events-"), (F.col("user_id") % 16).cast("string")).alias("model"), F.col("event_id").alias("seq"), said.alias("text"), F.when(F.col("value") >= 15, "true").otherwise("fake").alias("label"))
+    return turns.select("model", "seq", "text", "label"), events
+
+
+_KEYED = rf"""WITH RECURSIVE c AS (SELECT 'turns-' || (conv_id % 4) AS model, conv_id * 1000 + turn AS seq, text, role = 'user' AS good FROM conversations WHERE regexp_replace(coalesce(text, ''), '\s', '', 'g') <> ''
+  UNION ALL SELECT 'events-' || (user_id % 16), event_id, event_type || ' k' || regexp_extract(props, '[0-9]+', 0), coalesce(value >= 15, false) FROM events),
+{vectors_sql("cv", "c", "model, seq, good", "text")}, rows AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY seq) AS n, CASE WHEN good THEN 1.0 ELSE -1.0 END::DOUBLE AS y, v FROM cv),
+s AS (SELECT DISTINCT model, 0::BIGINT AS n, list_transform(range(0, 64), lambda i: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b FROM rows
+  UNION ALL SELECT k.model, k.n, list_transform(list_zip(k.w, k.v), lambda z: z[1] * greatest(0.0, 1.0 - rate * {online.PENALTY}) + rate * pull * z[2]), k.b + rate * pull
+  FROM (SELECT rows.model, rows.n, s.w, s.b, rows.v, 1.0 / ({online.PENALTY} * ({float(online._start(online.PENALTY))!r} + rows.n)) AS rate, y / (1.0 + exp(y * (list_inner_product(s.w, rows.v) + s.b))) AS pull FROM s JOIN rows ON rows.model = s.model AND rows.n = s.n + 1) AS k),
+l AS (SELECT model, max(n) AS n, arg_max(w, n) AS w, arg_max(b, n) AS b FROM s GROUP BY model)
+"""
+
+
+@query(_KEYED + "SELECT model, n AS n_updates, n + 1 AS t, place, round(value, 6) AS value FROM (SELECT model, n, unnest(list_prepend(b, w)) AS value, unnest(range(0, 65))::INT AS place FROM l)")
+def keyed_replay(spark, sf_dir):
+    """Many models learned from two streams in parallel, in three arrivals with a restart after the first:
+    one more micro-batch from the checkpoint, the last from the written versions alone."""
+    root = new_path(spark, "keyed")
+    sources = [(name, rows, rows.selectExpr("percentile_approx(seq, array(0.4D, 0.7D))").first()[0]) for name, rows in zip(("turns", "events"), keyed_feedback(spark, sf_dir), strict=True)]
+    for k in range(3):
+        for name, rows, cuts in sources:  # each arrival is a few files of one range of seq
+            low, high = [None, *(cuts or [0, 0])][k], [*(cuts or [0, 0]), None][k]
+            some = rows if low is None else rows.filter(F.col("seq") > low)
+            (some if high is None else some.filter(F.col("seq") <= high)).write.mode("append").parquet(f"{root}/{name}" if k < 2 else f"{root}/late/{name}")
+        if k < 2:
+            both = [keyed.feedback_stream(spark, f"{root}/{name}", max_files=1_000) for name, *_ in sources]
+            keyed.learn(both[0].unionByName(both[1]), f"{root}/versions", f"{root}/checkpoint", ["fake", "true"]).awaitTermination()
+    before = stored(keyed.models(spark, f"{root}/versions"), "models")
+    both = [keyed.feedback_stream(spark, f"{root}/late/{name}", max_files=1_000) for name, *_ in sources]
+    keyed.learn(both[0].unionByName(both[1]), f"{root}/late/versions", f"{root}/late/checkpoint", ["fake", "true"], start=before).awaitTermination()
+    after = keyed.models(spark, f"{root}/late/versions")
+    now = after.unionByName(before.join(after.select("model"), "model", "left_anti"))
+    each = now.select("model", "n_updates", "t", F.posexplode(F.concat(F.array("intercept"), "coefficients")).alias("place", "value"))
     return each.withColumn("value", F.round("value", 6))
 
 

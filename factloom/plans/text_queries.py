@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from factloom import lookups
 from factloom.functions import scoring, text
-from factloom.operators import chunks, evidence, vectors
+from factloom.operators import chunks, clusters, evidence, vectors
 from factloom.plans import analyze as whole
 from factloom.plans.registry import query
-from factloom.session import numbered
+from factloom.session import new_path, numbered, stored
 from factloom.sources import corpus, html
 
 K = lookups.API["k"]
@@ -52,6 +52,31 @@ def hist_neighbors(spark, sf_dir):
     return rounded(vectors.nearest(*_vectors(spark, sf_dir), 8), "sim")
 
 
+@query(_NEAR + f"SELECT query_id, round(sum(sim) / {K} * 100, 6) AS score, CASE WHEN sum(sim) / {K} * 100 >= 50 THEN 'VERDADEIRO' ELSE 'FALSO' END AS rotulo FROM r WHERE rank <= {K} GROUP BY query_id")
+def pruned_topk(spark, sf_dir):
+    """``hist_topk`` by the clustered index, written and read back."""
+    queries, history = _vectors(spark, sf_dir)
+    path = new_path(spark, "clusters")
+    clusters.write_clusters(history, path)
+    got = vectors.historical_consistency(clusters.search(queries, clusters.read_clusters(spark, path), K)[0], K)
+    return got.select("query_id", F.round("score", 6).alias("score"), scoring.verdict(F.col("score")).alias("rotulo"))
+
+
+@query(r"""SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND regexp_replace(text, '\s', '', 'g') <> '') AS pairs, true AS below_half""")
+def pruned_work(spark, sf_dir):
+    """All pairs of documents and true texts, and whether less than half of them were compared to find the best of each."""
+    queries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.hashed_embedding(F.col("text")).alias("embedding"))
+    history = stored(vectors.index_rows(labelled(spark, sf_dir)).select("id", "embedding"), "index")
+    path = new_path(spark, "clusters")
+    clusters.write_clusters(history, path)
+    _, work = clusters.search(queries, clusters.read_clusters(spark, path), K)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    every = table(spark, sf_dir, "documents").select(one.alias("q"), zero.alias("h"), zero.alias("c"))
+    every = every.unionByName(history.select(zero.alias("q"), one.alias("h"), zero.alias("c"))).unionByName(work.select(zero.alias("q"), zero.alias("h"), F.col("compared").alias("c")))
+    sums = every.agg(*[F.sum(n).alias(n) for n in ("q", "h", "c")])
+    return sums.select((F.col("q") * F.col("h")).alias("pairs"), (2 * F.col("c") < F.col("q") * F.col("h")).alias("below_half"))
+
+
 @query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label >= 5), h AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 5),
 r AS (SELECT q.vec_id AS query_id, h.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, h.e) DESC, h.vec_id) AS rank FROM q, h)
 SELECT query_id, id, 'true' AS label, left(text, 300) AS preview FROM r LEFT JOIN documents ON doc_id = id WHERE rank <= 3""")

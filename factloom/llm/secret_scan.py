@@ -3,10 +3,12 @@
 Base findings stand alone: assigned secrets, access identifiers, long hexadecimal runs.
 Weak candidates (account identifiers, opaque tokens, endpoints) mean little alone.  Each
 document is cut into scopes (paragraphs, ended by a blank line); within a scope the parts
-are intervals, and a weak candidate is reported only if a part of a complementary kind
-lies within ``REACH`` code points before or behind it.  The join is a sweep over the sorted
-intervals of one document: for each part the nearest part of each other role that ends
-before it or starts behind it, so no pairs are emitted.
+are intervals.  A credential links a secret and what it opens: a weak identifier or endpoint
+is reported only if a secret part lies within ``REACH`` code points before or behind it, a
+weak secret only if an identifier or endpoint does.  An account beside an endpoint, without
+any secret, is a contact line and no finding.  The join is a sweep over the sorted intervals
+of one document: for each part the nearest part of each complementary role that ends before
+it or starts behind it, so no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ _ADDRESS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?
 _MAIL = re.compile(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
 _ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "opaque": "secret", "endpoint": "endpoint"}
-_ROLES = ("secret", "identifier", "endpoint")
+_COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 Span = tuple[int, int, str]
 
@@ -102,14 +104,14 @@ def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) ->
         while k < len(parts) and parts[by_end[k]][1] <= s:
             near[place[by_end[k]], roles[by_end[k]]] = parts[by_end[k]][1]
             k += 1
-        ok[i] = any(s - near.get((place[i], r), -reach - 1) <= reach for r in _ROLES if r != roles[i])
+        ok[i] = any(s - near.get((place[i], r), -reach - 1) <= reach for r in _COMPLEMENTS[roles[i]])
     near, k = {}, len(parts) - 1
     for i in reversed(by_end):  # the same from the other side: the first start that is not before an end
         e = parts[i][1]
         while k >= 0 and parts[k][0] >= e:
             near[place[k], roles[k]] = parts[k][0]
             k -= 1
-        ok[i] = ok[i] or any(near.get((place[i], r), e + reach + 1) - e <= reach for r in _ROLES if r != roles[i])
+        ok[i] = ok[i] or any(near.get((place[i], r), e + reach + 1) - e <= reach for r in _COMPLEMENTS[roles[i]])
     return [p for p, good in zip(parts, ok, strict=True) if good and p[2] in ("account", "opaque", "endpoint")]
 
 

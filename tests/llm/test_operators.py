@@ -311,16 +311,17 @@ def test_secrets(spark):
         f'é password = "abcDEF123456" x {key} y {"0af" * 6}',
         "token: short, api_key=AAAAAAAAAAAA. PASſWORD=abcdefghijkl",
         "see https://host.example/path and nothing else",
+        "user: bob\n" + "aB3" * 7,
+        "user: bob\n\n" + "aB3" * 7,
+        "user: bob " + "z " * 400 + "aB3" * 7,
         "user: bob\nhttps://host.example/path",
-        "user: bob\n\nhttps://host.example/path",
-        "user: bob " + "z " * 400 + "https://host.example/path",
     ]
     got = by_id(secret_scan.scan_secrets(table(spark, texts)))
     assert got[2]["spans"] == "assign:2:26,access:30:50,hex:53:71"
     assert [(got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) for i in (0, 2, 3)] == [(0, 0, 0), (1, 1, 1), (1, 0, 0)]
     assert got[2]["base_sha256"] == hashlib.sha256(got[2]["spans"].encode()).hexdigest()
-    assert [got[i]["n_linked"] for i in (4, 5, 6, 7)] == [0, 2, 0, 0]
-    assert got[5]["spans"] == "account:0:9,endpoint:10:35"
+    assert [got[i]["n_linked"] for i in (4, 5, 6, 7, 8)] == [0, 2, 0, 0, 0]
+    assert got[5]["spans"] == "account:0:9,opaque:10:31"
 
 
 def test_secrets_of_any_length(spark):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import _order, exact_dedup, fingerprints, minhash_dedup, mixing, queries, secret_scan, sentencepiece_codec, token_output, toxicity
+from factloom.llm import _order, exact_dedup, fingerprints, minhash_dedup, mixing, queries, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
 from tests.llm.test_operators import by_id, grams, odd_texts, table
 
 
@@ -157,7 +157,8 @@ def brute_links(text, reach=300):
     free = [w for w in weak if not any(b[0] < w[1] and b[1] > w[0] for b in base)]
     parts = [p for p in base + free if secret_scan.role(text, p)]
     scope = lambda p: sum(m.end() <= p[0] for m in re.finditer(r"\n[ \t\r]*\n", text))
-    meet = lambda p, q: scope(p) == scope(q) and secret_scan.role(text, p) != secret_scan.role(text, q) and (0 <= p[0] - q[1] <= reach or 0 <= q[0] - p[1] <= reach)
+    one_secret = lambda p, q: (secret_scan.role(text, p) == "secret") != (secret_scan.role(text, q) == "secret")
+    meet = lambda p, q: scope(p) == scope(q) and one_secret(p, q) and (0 <= p[0] - q[1] <= reach or 0 <= q[0] - p[1] <= reach)
     return sorted(p for p in free if any(meet(p, q) for q in parts))
 
 
@@ -169,13 +170,116 @@ def test_secret_links_are_all_pairs():
         assert sorted(secret_scan.linked(text, secret_scan.base_spans(text), secret_scan.weak_spans(text))) == brute_links(text)
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+NUMBERS = "0123456789"
+
+
+def run_end(text, at, chars):
+    while at < len(text) and text[at] in chars:
+        at += 1
+    return at
+
+
+def assigned(text, at, names, value):
+    """Where the value of a name at this place begins and ends, by reading one character after another."""
+    for name in names:
+        if all(at + i < len(text) and text[at + i] in (c, c.upper()) for i, c in enumerate(name)):
+            j = at + len(name)
+            j += j < len(text) and text[j] in "\"'"
+            j = run_end(text, j, " ")
+            if j < len(text) and text[j] in ":=":
+                j = run_end(text, j + 1, " ")
+                j += j < len(text) and text[j] in "\"'"
+                if run_end(text, j, value) > j:
+                    return j, run_end(text, j, value)
+    return None
+
+
+def read_base(text):
+    out, value = [], LETTERS + NUMBERS + "+/_.=-"
+    for kind in ("assign", "access", "hex"):
+        i = 0
+        while i < len(text):
+            end = None
+            if kind == "assign":
+                got = assigned(text, i, ("password", "passwd", "secret", "token", "apikey", "api_key"), value)
+                end, ok = (got[1], got[1] - got[0] >= 12) if got else (None, False)
+            elif kind == "access" and text[i : i + 4] == "AKIA" and run_end(text, i + 4, LETTERS[:26] + NUMBERS) > i + 4:
+                end = run_end(text, i + 4, LETTERS[:26] + NUMBERS)
+                ok = end - i >= 18
+            elif kind == "hex" and text[i] in NUMBERS + "abcdef":
+                end = run_end(text, i, NUMBERS + "abcdef")
+                ok = end - i >= 16
+            if end is None:
+                i += 1
+                continue
+            if ok:
+                out.append((i, end, kind))
+            i = end
+    return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[2])))
+
+
+def read_weak(text):
+    """Accounts by name, opaque tokens and endpoints by scheme, by reading one character after another."""
+    out, word = set(), LETTERS + NUMBERS + "_"
+    free = lambda i: not i or text[i - 1] not in word
+    i = 0
+    while i < len(text):
+        got = assigned(text, i, ("username", "user", "login", "account", "clientid", "client_id"), LETTERS + NUMBERS + "_.@+-") if free(i) else None
+        if got and got[1] - got[0] >= 3:
+            out.add((i, got[1], "account"))
+            i = got[1]
+            continue
+        i += 1
+    token = LETTERS + NUMBERS + "+/_-"
+    i = 0
+    while i < len(text):
+        end = run_end(text, i, token)
+        own = text[i:end]
+        if len(own) >= 20 and all(any(c in kind for c in own) for kind in (NUMBERS, LETTERS[:26], LETTERS[26:])):
+            out.add((i, end, "opaque"))
+        i = max(end, i + 1)
+    i = 0
+    while i < len(text):
+        for scheme in ("https://", "http://", "ftp://", "redis://"):
+            end = i + len(scheme)
+            if free(i) and text.startswith(scheme, i):
+                while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
+                    end += 1
+                if end - i - len(scheme) >= 4:
+                    out.add((i, end, "endpoint"))
+                    i = end - 1
+                break
+        i += 1
+    return out
+
+
+def test_secret_patterns_by_reading():
+    rng = random.Random(8)
+    some = ["password", "PassWd", "secret", "token", "api_key", "ApiKey", "user", "username", "Login", "client_id", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "AKIA" + "Q" * 14, "Q7", "abcdef012345", "0123456789abcdef", "aB3xY9", "-_+/.", "https://", "http://", "redis://", "h.example/x", "é", "\u212a", "\n", "<", "z" * 15, "ſecret", "_"]
+    for _ in range(6000):
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 16)))
+        assert secret_scan.base_spans(text) == read_base(text), text
+        weak = {s for s in secret_scan.weak_spans(text) if s[2] != "account" or "@" not in text}
+        assert weak == read_weak(text), text
+
+
+def test_no_finding_without_a_secret():
+    for text in ("Contact: mail info@shop.example, see https://shop.example/help", "user: bob at 10.1.2.3", "login: alice\nhttps://a.example/login AKIAQQQQ"):
+        assert secret_scan.find(text) == ([], [])
+    base, spans = secret_scan.find("user: bob, password=abcdefabcdef12 at https://a.example/login")
+    assert [s[2] for s in base] == ["assign"] and [s[2] for s in spans] == ["account", "assign", "endpoint"]
+    far = "user: bob " + "w " * 200 + "password=abcdefabcdef12"
+    assert [s[2] for s in secret_scan.find(far)[1]] == ["assign"]
+
+
 def test_secrets_edges(spark):
     inside = "client_id: abcdef password=" + "a" * 16 + "." + "b" * 16 + ".Xy9" * 6
-    rows = [(1, inside), (1, inside), (None, "user: bob at 10.1.2.3"), (None, None)]
+    rows = [(1, inside), (1, inside), (None, "user: bob " + "aB3" * 7 + " at 10.1.2.3"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = secret_scan.scan_secrets(docs).collect()
     assert [r["spans"] for r in got if r["doc_id"] == 1] == ["account:0:17,assign:18:84,hex:27:43,hex:44:60"] * 2
-    assert sorted(r["spans"] for r in got if r["doc_id"] is None) == ["", "account:0:9,endpoint:13:21"]
+    assert sorted(r["spans"] for r in got if r["doc_id"] is None) == ["", "account:0:9,opaque:10:31,endpoint:35:43"]
     assert secret_scan.scan_secrets(docs.filter("false")).count() == 0
     found = rows_of(secret_scan.secret_spans(docs), "doc_id", "kind", "linked", "excerpt")
     assert found.count((1, "account", True, "client_id: abcdef")) == 2 and (None, "endpoint", True, "10.1.2.3") in found
@@ -274,3 +378,24 @@ def test_mixed_documents_with_clashing_columns(spark):
     chosen = mixing.mix_sources(docs, queries.mix_weights(docs), queries.mix_domain(), (1, 2), 1)
     mixed = mixing.mixed_documents(docs, chosen)
     assert mixed.columns == docs.columns and mixed.filter("_id = 'x' and _own = 2 and epoch = 3").count() == chosen.count()
+
+
+def test_repeated_passages_of_repeated_identifiers(spark):
+    """Rows that share an identifier, or have none, are documents of their own."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = " ".join(f"q{i}" for i in range(50))
+    own = " ".join(f"o{i}" for i in range(45))
+    rows = [(1, passage), (1, "short text"), (2, passage), (2, f"x {other} y"), (None, f"{other} z"), (None, None), (3, own), (3, own), (None, own[:-4]), (4, ""), (5, " ".join(f"u{i}" for i in range(40))), (-(1 << 63), "p0 p1")]
+    got = substring_dedup.drop_repeated_passages(spark.createDataFrame([(*r, "a", "h", 1) for r in rows], "doc_id long, text string, at string, h string, first int").repartition(4))
+    words = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for _, t in rows]
+    starts = {}
+    for w in words:
+        for k in range(len(w) - 34):
+            starts[tuple(w[k : k + 35])] = starts.get(tuple(w[k : k + 35]), 0) + 1
+    want = []
+    for (doc, _), w in zip(rows, words, strict=True):
+        gone = {i for k in range(len(w) - 34) if starts[tuple(w[k : k + 35])] > 1 for i in range(k, k + 35)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        want.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    assert substring_dedup.drop_repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm import _io
+from factloom.llm import _io, _order
 from factloom.llm._text import _BASE, _INV, _STEP, _powers, as_strings, chunks, gram_hashes, mix64, span_hashes, word_bounds
 
 GRAM = 8
@@ -40,7 +40,8 @@ SHARD_PIECES = 256
 SHARD_WORDS = 1 << 17
 _WORDS = "anchor long, piece long, times long, words binary"
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-_PIECE = "doc_id long, first int, windows int, anchor long, piece long"
+_PIECE = "at long, h long, first int, windows int, anchor long, piece long"
+_ROW = ["at", "h"]
 
 
 class SuffixAutomaton:
@@ -165,36 +166,37 @@ def _scan(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def _pieces(docs: DataFrame, window: int) -> DataFrame:
     def cut(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, words, rows in _scan(as_strings(b.column(1))):
+            for i, words, rows in _scan(as_strings(b.column(2))):
                 row, first, count, anchor, piece = pieces_of(words, rows, window)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64))], names=["doc_id", "first", "windows", "anchor", "piece"])
+                own = pa.array(i + row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64))], names=["at", "h", "first", "windows", "anchor", "piece"])
 
-    return docs.mapInArrow(cut, _PIECE)
+    return docs.select(*_ROW, "text").mapInArrow(cut, _PIECE)
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Word spans (doc_id, first, windows): ``windows`` repeated windows from word ``first`` on.
+    """Word spans (at, h, first, windows): ``windows`` repeated windows from word ``first`` on.
 
-    docs: doc_id long (unique, not null), text string.
+    docs: at, h (identifier and hash of the text, as ``_order.keyed`` makes them), text.  Rows
+    alike in both have equal texts, so their spans are the same.
     """
     pieces = _io.stored(_pieces(docs, window), "pieces")
     often = _io.stored(pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
     # what the bitmap lets through by chance goes in the join, a plain one that Spark splits where an anchor is hot
     near = _passed(pieces, often, "anchor")
-    shared = _io.stored(near.join(often, "anchor", "left_semi").select("doc_id", "first", "windows", "anchor", "piece"), "shared-pieces")
-    kinds = shared.groupBy("anchor", "piece").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first", "windows")).alias("at"))
-    chosen = _io.stored(kinds.select("anchor", "piece", "times", "at.*"), "reference")
+    shared = _io.stored(near.join(often, "anchor", "left_semi").select(*_ROW, "first", "windows", "anchor", "piece"), "shared-pieces")
+    kinds = shared.groupBy("anchor", "piece").agg(F.count("*").alias("times"), F.min(F.struct(*_ROW, "first", "windows")).alias("one"))
+    chosen = _io.stored(kinds.select("anchor", "piece", "times", "one.*"), "reference")
     if chosen.isEmpty():
-        return shared.select("doc_id", "first", "windows")
+        return shared.select(*_ROW, "first", "windows")
     reference = _io.stored(_with_words(docs, chosen, window), "reference-words")
     found = _io.stored(_judged(reference, window, shard_pieces, GRAM), "repeated-runs")
-    return shared.select("doc_id", "first", "anchor", "piece").join(found, ["anchor", "piece"]).select("doc_id", (F.col("first") + F.col("place")).cast("int").alias("first"), F.col("run").alias("windows"))
+    return shared.select(*_ROW, "first", "anchor", "piece").join(found, ["anchor", "piece"]).select(*_ROW, (F.col("first") + F.col("place")).cast("int").alias("first"), F.col("run").alias("windows"))
 
 
-def _passed(rows: DataFrame, keys: DataFrame, column: str, other: bool = False) -> DataFrame:
+def _passed(rows: DataFrame, keys: DataFrame | _io.IdFilter, column: str, other: bool = False) -> DataFrame:
     """Rows that a bitmap of the keys lets through (with ``other`` the rest): all that have one, and some by chance."""
-    near = _io.IdFilter(keys, column)
+    near = keys if isinstance(keys, _io.IdFilter) else _io.IdFilter(keys, column)
 
     def pick(batches):
         for b in batches:
@@ -205,9 +207,12 @@ def _passed(rows: DataFrame, keys: DataFrame, column: str, other: bool = False)
 
 
 def _with_words(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """anchor, piece, times and the word hashes of each distinct piece, read from one document that has it."""
-    texts = _passed(docs, chosen, "doc_id")
-    spots = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "piece", "times", "first", "windows")).alias("spots"))
+    """anchor, piece, times and the word hashes of each distinct piece, read from one document that has it.
+
+    Rows alike in identifier and text give it once each; what occurs in them occurs twice anyway.
+    """
+    texts = _passed(docs.select(*_ROW, "text"), chosen, "h")
+    spots = chosen.groupBy(*_ROW).agg(F.collect_list(F.struct("anchor", "piece", "times", "first", "windows")).alias("spots"))
 
     def read(batches):
         for b in batches:
@@ -222,7 +227,7 @@ def _with_words(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=["anchor", "piece", "times", "words"])
 
-    return texts.select("doc_id", "text").join(spots, "doc_id").mapInArrow(read, _WORDS)
+    return texts.join(spots, _ROW).select("at", "text", "spots").mapInArrow(read, _WORDS)
 
 
 def _judged(reference: DataFrame, window: int, shard_pieces: int, gram: int) -> DataFrame:
@@ -234,7 +239,8 @@ def _judged(reference: DataFrame, window: int, shard_pieces: int, gram: int) ->
     large = _io.stored(reference.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pieces).select("anchor"), "large-anchors")
     if gram >= window or large.isEmpty():
         return _matched(reference, window, shard_pieces)
-    found = _matched(_passed(reference, large, "anchor", other=True), window, shard_pieces)
+    near = _io.IdFilter(large, "anchor")
+    found = _matched(_passed(reference, near, "anchor", other=True), window, shard_pieces)
     longer = min(window, gram + GRAM)
 
     def cut(batches):
@@ -248,7 +254,7 @@ def _judged(reference: DataFrame, window: int, shard_pieces: int, gram: int) ->
                 words = [own[r][f : f + n + window - 1].tobytes() for r, f, n in zip(row.tolist(), first.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), some.column(2).take(at), pa.array(first.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(words, pa.binary())], names=["anchor", "piece", "times", "first", "a", "p", "words"])
 
-    parts = _io.stored(_passed(reference, large, "anchor").mapInArrow(cut, "anchor long, piece long, times long, first int, a long, p long, words binary"), "longer-pieces")
+    parts = _io.stored(_passed(reference, near, "anchor").mapInArrow(cut, "anchor long, piece long, times long, first int, a long, p long, words binary"), "longer-pieces")
     again = parts.groupBy(F.col("a").alias("anchor"), F.col("p").alias("piece")).agg(F.sum("times").alias("times"), F.first("words").alias("words"))
     runs = _io.stored(_judged(_io.stored(again, "reference-words"), window, shard_pieces, longer), "repeated-runs")
     runs = runs.select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "place", "run")
@@ -315,15 +321,20 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per input row: doc_id, n_words, n_removed, kept_text, kept_sha256.
 
     Words are runs of anything but ``[\\x20\\x09-\\x0D]``, compared unchanged; kept_text is
-    the kept words joined by one space.  Null and wordless texts have no words.  Rows are
-    told apart by identifier: identifiers must be unique; a row without one is left
-    whole and is no reference.  An empty table gives an empty result; other columns are
-    not read.  Two different windows count as equal only if 64-bit hashes collide.
+    the kept words joined by one space.  Null and wordless texts have no words.  Every row
+    is a document of its own, also where it repeats an identifier or has none: equal texts
+    are copies of each other whatever their identifiers are.  An empty table gives an empty
+    result; other columns are not read.  Two different windows count as equal only if 64-bit
+    hashes collide.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(rows.filter("doc_id is not null"), window)
-    each = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
-    return _without(rows.join(_io.stored(each, "spans"), "doc_id", "left"), window)
+    rows = _order.keyed(docs, id_col, text_col)
+    spans = repeated_spans(rows, window)
+    each = _io.stored(spans.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "windows")).alias("spans")), "spans")
+    none = F.lit(None).cast("array<struct<first:int,windows:int>>")
+    near = _io.IdFilter(each, "h")
+    cut = _passed(rows, near, "h").join(each, _ROW, "left")
+    whole = _passed(rows, near, "h", other=True).withColumn("spans", none)  # not shuffled
+    return _without(cut.select("doc_id", "text", "spans").unionByName(whole.select("doc_id", "text", "spans")), window)
 
 
 def _without(rows: DataFrame, window: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import importlib.util
 import json
-import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from factloom.functions import scoring, text
+from factloom.functions.terms import listed_and, mask_mentions
 
 
 def label_classes(corpus: DataFrame) -> list[str]:
@@ -58,41 +58,18 @@ def balanced_weights(corpus: DataFrame) -> DataFrame:
     return counts.select("label", "n", (F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))).alias("weight"))
 
 
-def listed_mentions(c: Column, terms: list[str]) -> Column:
-    """Terms that occur as whole words, in any case, in list order."""
-    hits = [F.when(c.rlike(rf"(?iU)\b{_literal(t)}\b"), F.lit(t)) for t in terms if t]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-
-
-def _literal(term: str) -> str:
-    return re.sub(r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\\1", term)
-
-
 def protected_mentions(c: Column, terms: list[str] | None = None, mode: str = "auto", entities: Column | None = None) -> Column:
     """Mentions by list and/or by entities (names by pattern without any), first spelling of each kept."""
     none = F.array().cast("array<string>")
-    by_list = listed_mentions(c, terms or []) if mode in ("list", "both") else none
     names = text.proper_names(c)
     by_text = (names if entities is None else F.when(F.size(entities) > 0, entities).otherwise(names)) if mode in ("auto", "both") else none
-    found = F.filter(F.transform(F.concat(by_list, by_text), text.stripped), lambda m: m != "")
+    found = F.filter(F.transform(by_text, text.stripped), lambda m: m != "")
+    if terms and mode in ("list", "both"):
+        return listed_and(c, terms, found)
     keys = F.transform(found, F.lower)
     return F.filter(F.transform(found, lambda m, i: F.when(F.array_position(keys, F.lower(m)) == i + 1, m)), lambda m: m.isNotNull())
 
 
-@F.pandas_udf(StringType())
-def mask_mentions(texts: pd.Series, mentions: pd.Series) -> pd.Series:
-    """Mentions, longest first, replaced by [ENT] as whole words in any case."""
-
-    def one(t, found):
-        if t is None or found is None:
-            return t
-        for m in sorted(dict.fromkeys(found), key=lambda m: (-len(m), m)):
-            t = re.sub(rf"\b{re.escape(m)}\b", "[ENT]", t, flags=re.IGNORECASE)
-        return t
-
-    return pd.Series([one(t, m) for t, m in zip(texts, mentions, strict=True)], dtype="object")
-
-
 @functools.lru_cache(maxsize=1)
 def _language_model():
     """This worker's language model, loaded once; None if there is none."""

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.functions import text
+from factloom.functions import terms, text
 from factloom.operators import chunks, training, vectors
 from factloom.plans import analyze as whole
 from factloom.plans.evidence_queries import EV_SQL, rule_evidence, scored_sql
@@ -65,6 +65,23 @@ def mask_copies(spark, sf_dir):
     return got.select("doc_id", "label", "weight", "is_copy", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+_MANY = r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents), names AS (SELECT w FROM w WHERE length(w) >= 3 AND w <> 'ent' ORDER BY md5(w) LIMIT 10000),
+parts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS p, row_number() OVER () AS n FROM documents),
+each AS (SELECT doc_id, n, i, p[i] AS x FROM (SELECT doc_id, n, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+said AS (SELECT doc_id, n, i, x, w FROM each LEFT JOIN names ON lower(x) = w)
+"""
+
+
+@query(_MANY + "SELECT doc_id, count(DISTINCT w)::INT AS found, md5(string_agg(CASE WHEN w IS NULL THEN x ELSE '[ENT]' END, '' ORDER BY i)) AS text_md5 FROM said GROUP BY doc_id, n")
+def many_terms(spark, sf_dir):
+    """Ten thousand protected terms in one pass: how many each document has, and its text with them masked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w")).filter("length(w) >= 3 and w <> 'ent'").distinct()
+    names = [r["w"] for r in words.orderBy(F.md5(F.col("w").cast("binary"))).limit(10_000).collect()]  # a list of terms is a parameter, held by the driver
+    rows = docs.withColumn("m", terms.listed_and(F.col("text"), names, F.array().cast("array<string>")))
+    return rows.select("doc_id", F.size("m").alias("found"), F.md5(terms.mask_mentions("text", "m").cast("binary")).alias("text_md5"))
+
+
 @query()
 def masked_names(spark, sf_dir):
     rows = training.with_masked_copies(labelled(spark, sf_dir), None, "auto").filter("is_copy")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import lookups
-from factloom.functions import scoring, text
+from factloom.functions import scoring, terms, text
 from factloom.operators import chunks, evidence, training, vectors
 from factloom.plans import analyze as whole
 from factloom.plans import registry
@@ -150,10 +150,10 @@ def test_evidence_limits(spark):
 
 def test_masking(spark):
     df = spark.createDataFrame([(1, "Ana Maria viu ana maria e Bob."), (2, None)], "doc_id int, text string")
-    got = df.select("doc_id", training.mask_mentions("text", training.protected_mentions(F.col("text"))).alias("t")).collect()
+    got = df.select("doc_id", terms.mask_mentions("text", training.protected_mentions(F.col("text"))).alias("t")).collect()
     assert got[0]["t"] == "[ENT] viu [ENT] e [ENT]."
     assert got[1]["t"] is None
-    term = spark.createDataFrame([("c++ e C.",)], "text string").select(training.listed_mentions(F.col("text"), ["e", "zz"]).alias("m")).first()
+    term = spark.createDataFrame([("c++ e C.",)], "text string").select(terms.listed_mentions(F.col("text"), ["e", "zz"]).alias("m")).first()
     assert term["m"] == ["e"]
 
 

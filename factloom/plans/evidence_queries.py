@@ -9,7 +9,6 @@ from factloom.functions import scoring, text
 from factloom.operators import evidence, hosts
 from factloom.plans.registry import query
 from factloom.plans.text_queries import _HOST, _PATH, CLAIMS_SQL, ITEMS_SQL, _WORDS, items, quoted, table, vectors_sql
-from factloom.sources import connectors
 
 #: Sources that cover every rule on domains, publishers and ratings.
 SOURCES = [
@@ -87,26 +86,6 @@ _TAGS = [
 TAGS_SQL = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in _TAGS) + "], lambda x: x IS NOT NULL))"
 
 
-@query(f"WITH {SOURCE_VALUES} SELECT n, {TRUST_SQL} AS trust FROM s")
-def domain_trust(spark, sf_dir):
-    return _sources(spark).select("n", scoring.domain_trust(F.col("url")).alias("trust"))
-
-
-@query(f"WITH {SOURCE_VALUES} SELECT n, {SOCIAL_SQL} AS is_social FROM s")
-def social_flag(spark, sf_dir):
-    return _sources(spark).select("n", scoring.is_social(F.col("url"), F.col("publisher")).alias("is_social"))
-
-
-@query(f"WITH {SOURCE_VALUES} SELECT n, {RATING_SQL} AS score FROM s")
-def rating_score(spark, sf_dir):
-    return _sources(spark).select("n", scoring.rating_score(F.col("rating")).alias("score"))
-
-
-@query(f"WITH {SOURCE_VALUES} SELECT n, array_to_string({TAGS_SQL}, ',') AS tags FROM s")
-def source_tags(spark, sf_dir):
-    return _sources(spark).select("n", F.array_join(scoring.source_tags(F.col("url"), F.col("publisher"), F.col("rating")), ",").alias("tags"))
-
-
 @query(f"SELECT page_id, {TRUST_SQL} AS trust, {_below(_H, lookups.NEWS_DOMAINS)} AS news FROM pages")
 def page_trust(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scoring.domain_trust(F.col("url")).alias("trust"), scoring.suffix_of(text.host(F.col("url")), lookups.NEWS_DOMAINS).alias("news"))
@@ -245,11 +224,6 @@ def fuse_scores(spark, sf_dir):
     return g.select("doc_id", F.round(scoring.fuse(h, b, s, 0.5, 0.35, 0.33), 6).alias("api"), F.round(scoring.fuse(h, b, F.lit(None).cast("double"), 0.6, 0.4, 0.0), 6).alias("cli"))
 
 
-@query("SELECT n::INT AS n, round(least(0.8, greatest(0.0, 1 - exp(-n / 25.0))), 6) AS alpha FROM range(0, 101) t(n)")
-def alpha_schedule(spark, sf_dir):
-    return spark.range(101).select(F.col("id").cast("int").alias("n"), F.round(scoring.alpha(F.col("id").cast("double")), 6).alias("alpha"))
-
-
 @query(f"""WITH {_SIG}, a AS (SELECT *, CASE WHEN o IS NULL THEN 0.0 ELSE least(0.8, 1 - exp(-n / 25.0)) END AS al FROM g),
 x AS (SELECT *, (0.5 * coalesce(h, 0) + 0.35 * (1 - al) * coalesce(b, 0) + 0.33 * s) / (0.5 + 0.35 * (1 - al) + 0.33) AS base FROM a),
 y AS (SELECT *, (1 - al) * base + al * coalesce(o, 0) AS fin FROM x)
@@ -301,43 +275,6 @@ def payload_fields(spark, sf_dir):
     )
 
 
-@query("SELECT raw, label FROM (VALUES (' TRUE ', 'true'), ('true', 'true'), ('fake', 'fake'), ('False', 'fake'), ('other', 'fake'), ('', 'fake')) AS t(raw, label)")
-def label_names(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in (" TRUE ", "true", "fake", "False", "other", "")], "raw string")
-    return rows.select("raw", text.label_of(F.col("raw"), ["fake", "true"]).alias("label"))
-
-
-@query("SELECT raw, threshold::DOUBLE AS threshold FROM (VALUES ('0.7', 0.7), ('70', 0.7), ('0.2', 0.5), ('1', 0.99), ('150', 0.99), ('x', 0.7), (NULL, 0.7)) AS t(raw, threshold)")
-def thresholds(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("0.7", "70", "0.2", "1", "150", "x", None)], "raw string")
-    return rows.select("raw", F.round(scoring.threshold(F.col("raw")), 2).alias("threshold"))
-
-
 @query(f"WITH {_SIG} SELECT doc_id, CASE WHEN b >= 70 THEN 'true' ELSE 'fake' END AS label FROM g")
 def auto_labels(spark, sf_dir):
     return _signals(spark, sf_dir).select("doc_id", scoring.auto_label(F.col("b"), F.lit(0.7), "fake").alias("label"))
-
-
-_ANSWERS = [
-    (1, 1, "google_factcheck", 200, '{"claims":[{"text":"A terra","claimReview":[{"title":"","url":"https://lupa.uol.com.br/1","textualRating":"Falso","publisher":{"name":"Lupa"}},{"title":"T2","url":"https://x.org","textualRating":"True","publisher":{"name":"X"}}]}]}'),
-    (1, 1, "newsapi", 200, '{"articles":[{"title":"N1","url":"https://www.boatos.org/a","description":"","source":{"name":"Boatos"}},{"title":"N2","url":"https://n.com","description":"D2","source":{"name":"N"}}]}'),
-    (1, 2, "serpapi", 200, '{"organic_results":[{"title":"S1","link":"https://www.s.com/a","snippet":"sn"}]}'),
-    (2, 1, "bing", 200, '{"webPages":{"value":[{"name":"B1","url":"https://e-farsas.com/z","snippet":"bs"}]}}'),
-    (2, 1, "newsapi", 500, "{}"),
-    (2, 1, "serpapi", 200, "not json"),
-]
-
-
-@query("""SELECT * FROM (VALUES
- (1, 1, 0, 'google_factcheck', 'A terra', 'https://lupa.uol.com.br/1', 'Lupa', 'Falso', NULL, 'A terra'), (1, 1, 1, 'google_factcheck', 'T2', 'https://x.org', 'X', 'True', NULL, 'A terra'),
- (1, 1, 1000000, 'newsapi', 'N1', 'https://www.boatos.org/a', 'Boatos', 'fact-check-article', 'Boatos.org', 'N1'), (1, 1, 1000001, 'newsapi', 'N2', 'https://n.com', 'N', NULL, NULL, 'D2'),
- (1, 2, 2000000, 'serpapi', 'S1', 'https://www.s.com/a', 's.com', NULL, NULL, 'sn'), (2, 1, 3000000, 'bing', 'B1', 'https://e-farsas.com/z', 'e-farsas.com', 'fact-check-article', 'E-Farsas', 'bs')
- ) AS t(doc_id, claim_no, arrival_no, provider, title, url, publisher, rating, fact_checker, claim_text)""")
-def connector_evidence(spark, sf_dir):
-    return connectors.evidence(spark.createDataFrame(_ANSWERS, "doc_id int, claim_no int, provider string, status int, body string"))
-
-
-@query("SELECT * FROM (VALUES (1, 1, 'Terra plana', 'https://pt.wikipedia.org/wiki/Terra_plana'), (1, 2, 'Água', 'https://pt.wikipedia.org/wiki/%C3%81gua')) AS t(doc_id, n, title, link)")
-def opensearch_titles(spark, sf_dir):
-    body = '["q",["Terra plana","Água"],["",""],["https://pt.wikipedia.org/wiki/Terra_plana",""]]'
-    return connectors.opensearch_titles(spark.createDataFrame([(1, body), (2, "[]")], "doc_id int, body string"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from factloom.functions import terms, text
@@ -12,8 +10,8 @@ from factloom.plans import analyze as whole
 from factloom.plans.evidence_queries import EV_SQL, rule_evidence, scored_sql
 from factloom.plans.registry import query
 from factloom.plans.text_queries import WIKI_SQL, chunks_sql, labelled, own_pages, table, vectors_sql
-from factloom.session import new_path, stored, write_file
-from factloom.sources import connectors, corpus
+from factloom.session import new_path, stored
+from factloom.sources import corpus
 from factloom.streaming import keyed, online
 
 _L = "l AS (SELECT doc_id, text, CASE WHEN quality = 1 THEN 'true' ELSE 'fake' END AS label FROM documents JOIN labels USING (doc_id))"
@@ -154,23 +152,6 @@ def json_scan(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-_FILES = [("fake/b.txt", b" caf\xc3\xa9\xff "), ("fake/a.txt", "dois \ufffd\nlinhas\n".encode()), ("true/z.txt", b""), ("true/10.txt", b"dez"), ("true/9.txt", b"\tnove\r\n")]
-
-
-@query("SELECT * FROM (VALUES (0, 'dois \ufffd' || chr(10) || 'linhas', 'fake'), (1, 'café', 'fake'), (2, 'dez', 'true'), (3, 'nove', 'true'), (4, '', 'true')) AS t(id, text, label)")
-def directory_scan(spark, sf_dir):
-    root = new_path(spark, "texts")
-    for name, data in _FILES:
-        write_file(spark, f"{root}/{name}", data)
-    got = corpus.read_corpus(spark, root, ("fake", "true", "missing"))
-    return got.select(F.col("id").cast("int").alias("id"), "text", "label")
-
-
-@query("SELECT * FROM (VALUES ('A', '1=2'), ('B', 'x y'), ('C', '')) AS t(name, value)")
-def env_settings(spark, sf_dir):
-    return spark.createDataFrame(list(corpus.env_pairs(["# c", "", "A='1=2'", "bad", ' B = "x y" ', "C="]).items()), "name string, value string")
-
-
 @query(r"""SELECT doc_id AS id, 'true' AS label, md5(left(t, 300)) AS preview_md5, 64 AS dim, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND regexp_replace(text, '\s', '', 'g') <> '') AS "count"
 FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents JOIN labels USING (doc_id) WHERE quality = 1) WHERE t <> ''""")
 def index_roundtrip(spark, sf_dir):
@@ -181,40 +162,6 @@ def index_roundtrip(spark, sf_dir):
     return rows.crossJoin(F.broadcast(config)).select("id", "label", F.md5(F.col("preview").cast("binary")).alias("preview_md5"), F.col("dim").cast("int").alias("dim"), "count")  # one row
 
 
-def _stub(url, params, headers, timeout):
-    """An encyclopedia by rule: titles of the searched text, pages by title, failures for some."""
-    if "search" in params:
-        if params["search"] == "fail":
-            raise TimeoutError
-        n = params["limit"]
-        return 200, json.dumps([params["search"], [f"T{i} ç" for i in range(n + 1)], [], ["https://pt.wikipedia.org/wiki/T0"]])
-    if url.endswith("T1%20%C3%A7"):
-        return 404, "gone"
-    return 200, f"<body><h2>Sobre {url.rpartition('/')[2]}</h2><p>corpo<sup>1</sup></p><table><p>fora</p></table></body>"
-
-
-@query("""SELECT * FROM (VALUES (1, 'T0 ç', 'https://pt.wikipedia.org/wiki/T0', 'Sobre T0%20%C3%A7' || chr(10) || 'corpo'), (1, 'T1 ç', 'https://pt.wikipedia.org/wiki/T1%20%C3%A7', ''), (1, 'T2 ç', 'https://pt.wikipedia.org/wiki/T2%20%C3%A7', 'Sobre T2%20%C3%A7' || chr(10) || 'corpo')) AS t(doc_id, title, url, text)""")
-def pages_fetched(spark, sf_dir):
-    """Titles searched for texts and their pages read, through a service that answers by rule."""
-    docs = spark.createDataFrame([(1, "um"), (2, "fail")], "doc_id long, text string")
-    got = connectors.fetched_pages(connectors.fetched_titles(docs, _stub, 3), _stub)
-    return got.select(F.col("doc_id").cast("int").alias("doc_id"), "title", F.col("link").alias("url"), "text")
-
-
-def _service(url, params, headers):
-    if "newsapi" in url:
-        raise TimeoutError
-    return (500, "{}") if "serpapi" in url else (200, json.dumps({"q": params.get("q") or params.get("query"), "key": params.get("key") or headers.get("Ocp-Apim-Subscription-Key")}))
-
-
-@query("SELECT * FROM (VALUES ('google_factcheck', 200, 'alegação', 'k1'), ('newsapi', 0, NULL, NULL), ('serpapi', 500, NULL, NULL)) AS t(provider, status, said, used)")
-def service_errors(spark, sf_dir):
-    """Services with a key are asked; one that fails or refuses gives no evidence, the fourth has no key."""
-    claims = spark.createDataFrame([(1, 1, "alegação")], "doc_id long, claim_no int, claim string")
-    got = connectors.fetched(claims, {"google_factcheck": "k1", "newsapi": "k2", "serpapi": "k3", "bing": ""}, _service)
-    return got.select("provider", "status", F.get_json_object("body", "$.q").alias("said"), F.get_json_object("body", "$.key").alias("used"))
-
-
 def _feedback(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.when(F.col("role") == "user", "true").otherwise("fake").alias("label"))
     return turns
@@ -298,59 +245,6 @@ def online_scores(spark, sf_dir):
     return both.select("doc_id", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("best"))
 
 
-_BODIES = [
-    (1, '{"texts": ["um", " ", "dois"]}'),
-    (2, '{"texts": "a\\n \\nb", "labels": ["TRUE ", "fake"]}'),
-    (3, '{"text": " ", "label": "true"}'),
-    (4, '{"text": "x", "texts": ["y"], "labels": ["true"]}'),
-    (5, '{"text": " só ", "label": "True", "threshold": 80, "auto_label": false}'),
-    (6, '{"text": "sem", "auto_label": "no"}'),
-    (7, "no json"),
-    (8, '{"texts": ["um dois"], "threshold": "x", "bert_agg": "max", "max_tokens": "1", "overlap_tokens": 0}'),
-]
-
-
-def _requests(spark):
-    return online.read_requests(spark.createDataFrame(_BODIES, "request_id int, body string"))
-
-
-@query("""SELECT * FROM (VALUES (1, 200, 0, 'um', NULL), (1, 200, 1, 'dois', NULL), (2, 200, 0, 'a', 'true'), (2, 200, 1, 'b', 'fake'), (3, 400, NULL, NULL, NULL), (4, 400, NULL, NULL, NULL), (5, 200, 0, 'só', 'true'), (6, 200, 0, 'sem', NULL), (7, 400, NULL, NULL, NULL), (8, 200, 0, 'um dois', NULL))
- AS t(request_id, status, pos, text, label)""")
-def train_requests(spark, sf_dir):
-    return online.request_texts(_requests(spark))
-
-
-_AUTO = ", ".join(f"('{w}')" for w in ("um", "dois", "um dois"))
-_TEACHER = training.Classifier(((WEIGHTS, 0.4, None, None),))
-
-
-@query(f"""WITH words AS (SELECT * FROM (VALUES {_AUTO}) AS t(w)), {vectors_sql("wv", "words", "w", "w")}, p AS (SELECT w, {_P(WEIGHTS, 0.4, "v")} AS p FROM wv),
-a AS (SELECT (SELECT CASE WHEN p >= 70 THEN 'true' ELSE 'fake' END FROM p WHERE w = 'um') AS um, (SELECT CASE WHEN p >= 70 THEN 'true' ELSE 'fake' END FROM p WHERE w = 'dois') AS dois, (SELECT CASE WHEN max(p) >= 70 THEN 'true' ELSE 'fake' END FROM p WHERE w IN ('um', 'dois')) AS best)
-SELECT request_id, status, updated::BIGINT AS updated, total::BIGINT AS n_updates_total, round(1 - exp(-total / 25.0), 6) AS alpha, replace(replace(replace(used, 'UM', um), 'DOIS', dois), 'BEST', best) AS labels_used, auto_label, threshold::DOUBLE AS threshold, error, 16::BIGINT AS n_updates
-FROM a, (VALUES (1, 200, 2, 12, 'UM,DOIS', true, 0.7, NULL), (2, 200, 2, 14, 'true,fake', true, 0.7, NULL), (3, 400, 0, NULL, NULL, NULL, NULL, 'nenhum texto fornecido'), (4, 400, 0, NULL, NULL, NULL, NULL, 'labels ausentes ou tamanho incorreto; ative auto_label ou envie labels.'),
- (5, 200, 1, 15, 'true', false, 0.8, NULL), (6, 400, 0, NULL, NULL, NULL, NULL, 'labels ausentes ou tamanho incorreto; ative auto_label ou envie labels.'), (7, 400, 0, NULL, NULL, NULL, NULL, 'nenhum texto fornecido'), (8, 200, 1, 16, 'BEST', true, 0.7, NULL)) AS t(request_id, status, updated, total, used, auto_label, threshold, error)""")
-def train_answers(spark, sf_dir):
-    """Training requests as an operation: texts, labels given or made, one update of a state of ten, answers."""
-    path = new_path(spark, "state")
-    first = spark.createDataFrame([(i, [0.1] * 64, "true" if i % 2 else "fake") for i in range(10)], "seq long, features array<double>, label string")
-    online.fold(spark, path, 0, first, ["fake", "true"], 64)
-    for _ in range(2):  # a batch that comes again changes nothing
-        got = online.train(stored(_requests(spark), "requests"), _TEACHER, path, 1)
-    return got.select("request_id", "status", "updated", "n_updates_total", F.round("alpha", 6).alias("alpha"), F.array_join("labels_used", ",").alias("labels_used"), "auto_label", "threshold", "error", F.lit(online.state(spark, path)["n_updates"]).cast("long").alias("n_updates"))
-
-
-@query("""SELECT request_id, text, k, max_tokens, w_hist::DOUBLE AS w_hist, hist_agg, bert_agg, use_wiki, status FROM (VALUES (1, 'a', 20, 512, 0.5, 'max', 'mean', false, 200), (2, 'b', 5, 512, 0.25, 'mean', 'max', true, 200), (3, '', 20, 100, 0.5, 'max', 'mean', false, 400))
- AS t(request_id, text, k, max_tokens, w_hist, hist_agg, bert_agg, use_wiki, status)""")
-def request_params(spark, sf_dir):
-    cols = ["k", "max_tokens", "overlap_tokens", "wiki_titles", "w_hist", "w_bert", "w_fontes", "w_faiss", "w_wiki", "hist_agg", "bert_agg", "use_wiki"]
-    schema = "request_id int, text string, texto string, " + ", ".join(f"{c} string" for c in cols)
-    none = dict.fromkeys(cols)
-    rows = [(1, " a ", None, none | {"k": "x", "hist_agg": "sum"}), (2, None, "b", none | {"k": "5", "w_hist": "0.25", "hist_agg": "mean", "bert_agg": "max", "use_wiki": "On"}), (3, " ", None, none | {"max_tokens": "100", "use_wiki": "maybe"})]
-    df = spark.createDataFrame([(i, t, o, *(p[c] for c in cols)) for i, t, o, p in rows], schema)
-    got = whole.requests(df)
-    return got.select("request_id", "text", "k", "max_tokens", "w_hist", "hist_agg", "bert_agg", "use_wiki", "status")
-
-
 ANALYZE_SQL = f"""WITH {EV_SQL}, {_CHUNKS}, {WIKI_SQL},
 {vectors_sql("cv", "claims", "doc_id, claim_no", "claim")}, {vectors_sql("iv", "items", "item_id", "item_text")},
 sims AS (SELECT doc_id, claim_no, arrival_no, list_inner_product(cv.v, iv.v) AS sim FROM e JOIN cv USING (doc_id, claim_no) JOIN iv USING (item_id)),

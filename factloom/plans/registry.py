@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_LIBRARY = ("text_queries", "evidence_queries", "model_queries")
+_LIBRARY = ("text_queries", "evidence_queries", "model_queries", "source_queries")
 
 
 def query(sql: str | None = None):

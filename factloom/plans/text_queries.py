@@ -297,8 +297,3 @@ def chunk_aggregate(spark, sf_dir):
     return best.join(mean.withColumnRenamed("score", "mean"), "doc_id").select("doc_id", F.round("score", 6).alias("best"), F.round("mean", 6).alias("mean"), F.col("id").alias("best_id"))
 
 
-@query("""SELECT * FROM (VALUES ('2017-05-03', DATE '2017-05-03'), ('30/05/2017', DATE '2017-05-30'), ('7/6/2018', DATE '2018-06-07'), ('06/09/2017 10h14', DATE '2017-09-06'),
- ('21 de março de 2018', DATE '2018-03-21'), ('sem data', NULL), (NULL, NULL)) AS t(published, day)""")
-def published_dates(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("2017-05-03", "30/05/2017", "7/6/2018", "06/09/2017 10h14", "21 de março de 2018", "sem data", None)], "published string")
-    return rows.select("published", corpus.published_date(F.col("published")).alias("day"))

@@ -68,6 +68,26 @@ def leaf_quotas(leaves: DataFrame, budget_share: tuple[int, int], max_epochs: in
     return _filled(caps.join(mid, ["domain", "lang"]), ["domain", "lang"], "source", "w_source").select(*LEVELS, "tokens", "quota")
 
 
+def _borders(rows: DataFrame) -> DataFrame:
+    """For each leaf the span (first digits of the key) in which its part of the tokens ends, and the tokens before it.
+
+    By the first digit, then by the spans of the one digit in which the part ends: at most 16
+    and 256 sums a leaf.
+    """
+    up_to = Window.partitionBy(*LEVELS).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+
+    def ends(sums: DataFrame, start) -> DataFrame:
+        upto = sums.withColumn("before", start + F.sum("own").over(up_to) - F.col("own"))
+        return upto.filter("before < part and part <= before + own")
+
+    digit = F.substring("span", 1, 1)
+    first = ends(rows.groupBy(*LEVELS, digit.alias("at")).agg(F.sum("n_tokens").alias("own"), F.max("part").alias("part")), F.lit(0))
+    first = first.select(*LEVELS, F.col("at").alias("digit"), F.col("before").alias("start"))
+    near = rows.withColumn("digit", digit).join(first, [*LEVELS, "digit"])
+    sums = near.groupBy(*LEVELS, F.col("span").alias("at")).agg(F.sum("n_tokens").alias("own"), F.max("part").alias("part"), F.max("start").alias("start"))
+    return _io.stored(ends(sums, F.col("start")).select(*LEVELS, F.col("at").alias("border"), "before"), "borders")  # one row a leaf
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame, domain, budget_share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Chosen documents, a row for each epoch: doc_id, domain, lang, source, epoch, n_tokens, take_tokens.
 
@@ -99,13 +119,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame, domain, budget_share: tuple
     whole = whole.select("doc_id", *LEVELS, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"), *row)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     last = near.filter("part > 0").withColumn("key", key).withColumn("span", F.substring("key", 1, RANGE_HEX))
-    sums = last.groupBy(*LEVELS, "span").agg(F.sum("n_tokens").alias("own"), F.max("part").alias("part"))
-    up_to = Window.partitionBy(*LEVELS).orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("before", F.sum("own").over(up_to) - F.col("own")).filter("before < part").select(*LEVELS, "span", "own", "before")
-    placed = last.join(sums, [*LEVELS, "span"])
-    inside = placed.filter("before + own <= part").select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"), *row)
+    border = _borders(last)
+    placed = last.join(border, list(LEVELS))
+    inside = placed.filter("span < border").select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"), *row)
     rank = Window.partitionBy(*LEVELS, "span").orderBy("key", "doc_id", "n_tokens", *row).rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.filter("before + own > part").withColumn("ahead", F.col("before") + F.sum("n_tokens").over(rank) - F.col("n_tokens")).filter("ahead < part")
+    edge = placed.filter("span = border").withColumn("ahead", F.col("before") + F.sum("n_tokens").over(rank) - F.col("n_tokens")).filter("ahead < part")
     edge = edge.select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.least("n_tokens", F.expr("part - ahead")).alias("take_tokens"), *row)
     return whole.unionByName(inside).unionByName(edge)
 

@@ -37,15 +37,16 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Returns (u, label) for every vertex but the smallest of each component.  Edges
     are contracted within tasks, then by alternating large and small stars: every
     vertex moves to the smallest neighbour until only stars remain.  Only minima are
-    aggregated by vertex, so a vertex with very many edges is no hot group.
+    aggregated by vertex; they are stored before edges join them, so that both sides of the
+    join are shuffled for it and Spark splits a vertex with very many edges.
     """
     pairs = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long")
     now, before = _io.stored(pairs.distinct(), "edges"), None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = _io.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = _io.stored(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), "edges")
+        least = _io.stored(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v")
         now = _io.stored(small.distinct(), "edges")
         state = tuple(now.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -330,11 +330,33 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _order.keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, window)
     each = _io.stored(spans.groupBy(*_ROW).agg(F.collect_set(F.struct("first", "windows")).alias("spans")), "spans")
-    none = F.lit(None).cast("array<struct<first:int,windows:int>>")
     near = _io.IdFilter(each, "h")
     cut = _passed(rows, near, "h").join(each, _ROW, "left")
-    whole = _passed(rows, near, "h", other=True).withColumn("spans", none)  # not shuffled
-    return _without(cut.select("doc_id", "text", "spans").unionByName(whole.select("doc_id", "text", "spans")), window)
+    return _without(cut, window).unionByName(_whole(rows, near))  # the others are not shuffled
+
+
+_KEPT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+
+
+def _kept_rows(b: pa.RecordBatch, spans: list, window: int) -> pa.RecordBatch:
+    n, gone, text = [], [], []
+    for words, removed, kept in _kept_words(as_strings(b.column(1)), spans, window):
+        n.append(words)
+        gone.append(removed)
+        text.append(kept)
+    sha = [hashlib.sha256(t).hexdigest() for t in text]
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([t.decode() for t in text], pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+
+def _whole(rows: DataFrame, near: _io.IdFilter) -> DataFrame:
+    """The rows (doc_id, text, h) that a bitmap of h does not let through, with all their words."""
+
+    def keep(batches):
+        for b in (w.slice(k, 512) for w in batches for k in range(0, w.num_rows, 512)):
+            rest = b.filter(pa.array(~near.test(b.column(2).to_numpy())))
+            yield _kept_rows(rest, [None] * rest.num_rows, 1)
+
+    return rows.select("doc_id", "text", F.xxhash64("h").alias("_h")).mapInArrow(keep, _KEPT)
 
 
 def _without(rows: DataFrame, window: int) -> DataFrame:
@@ -342,16 +364,9 @@ def _without(rows: DataFrame, window: int) -> DataFrame:
 
     def remove(batches):
         for b in (w.slice(k, 512) for w in batches for k in range(0, w.num_rows, 512)):
-            spans = b.column(2).to_pylist()
-            n, gone, text = [], [], []
-            for words, removed, kept in _kept_words(as_strings(b.column(1)), spans, window):
-                n.append(words)
-                gone.append(removed)
-                text.append(kept)
-            sha = [hashlib.sha256(t).hexdigest() for t in text]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([t.decode() for t in text], pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
-
-    return rows.select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+            yield _kept_rows(b, b.column(2).to_pylist(), window)
+
+    return rows.select("doc_id", "text", "spans").mapInArrow(remove, _KEPT)
 
 
 def drop_reference_passages(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, shard_words: int = SHARD_WORDS) -> DataFrame:

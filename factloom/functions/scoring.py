@@ -150,10 +150,14 @@ def combined_score(rating: Column, sim: Column, trust: Column, ov: Column, rated
     return F.when(F.coalesce(rating, F.lit("")) != "", rated).otherwise(plain) * overlap_factor(ov, trust)
 
 
+def _number(w) -> Column:
+    return w if isinstance(w, Column) else F.lit(float(w))
+
+
 def fuse(hist: Column, model: Column, sources: Column, w_hist, w_model, w_sources) -> Column:
     """Weighted mean; a missing score counts as 0 and keeps its weight; 0 weights in all give the plain sum."""
     zero = F.lit(0.0)
-    wh, wm, ws = (w if isinstance(w, Column) else F.lit(float(w)) for w in (w_hist, w_model, w_sources))
+    wh, wm, ws = map(_number, (w_hist, w_model, w_sources))
     total = wh + wm + ws
     dotted = wh * F.coalesce(hist, zero) + wm * F.coalesce(model, zero) + ws * F.coalesce(sources, zero)
     return F.when(total > 0, dotted / F.when(total > 0, total)).otherwise(dotted)
@@ -167,7 +171,7 @@ def alpha(updates: Column) -> Column:
 def final_score(hist: Column, model: Column, sources: Column, online: Column, updates: Column, w_hist=0.5, w_model=0.35, w_sources=0.33) -> Column:
     """Base fusion, then the incremental model by alpha; no incremental score leaves the base."""
     a = F.when(online.isNull(), F.lit(0.0)).otherwise(alpha(updates))
-    base = fuse(hist, model, sources, w_hist, F.lit(float(w_model)) * (1 - a), w_sources)
+    base = fuse(hist, model, sources, w_hist, _number(w_model) * (1 - a), w_sources)
     return fuse(base, online, F.lit(0.0), 1 - a, a, 0.0)
 
 
@@ -183,15 +187,22 @@ def model_label(score: Column) -> Column:
     return F.when(score >= 50, "provavelmente verdadeiro").otherwise("provavelmente falso")
 
 
-def with_wiki(faiss: Column, wiki: Column, w_faiss: float = 0.5, w_wiki: float = 0.5) -> Column:
-    total = max(1e-6, w_faiss + w_wiki)
-    return F.when(wiki <= 0, faiss).when(faiss <= 0, wiki).otherwise(faiss * (w_faiss / total) + wiki * (w_wiki / total))
+def wiki_shares(w_faiss=0.5, w_wiki=0.5) -> tuple[Column, Column]:
+    """The two weights over their sum; they may be columns."""
+    a, b = _number(w_faiss), _number(w_wiki)
+    total = F.greatest(F.lit(1e-6), a + b)
+    return a / total, b / total
+
+
+def with_wiki(faiss: Column, wiki: Column, w_faiss=0.5, w_wiki=0.5) -> Column:
+    a, b = wiki_shares(w_faiss, w_wiki)
+    return F.when(wiki <= 0, faiss).when(faiss <= 0, wiki).otherwise(faiss * a + wiki * b)
 
 
-def wiki_weights(faiss: Column, wiki: Column, w_faiss: float = 0.5, w_wiki: float = 0.5) -> tuple[Column, Column]:
-    total = max(1e-6, w_faiss + w_wiki)
-    pick = lambda a, b, c: F.when(wiki <= 0, F.lit(a)).when(faiss <= 0, F.lit(b)).otherwise(F.lit(c))
-    return pick(1.0, 0.0, w_faiss / total), pick(0.0, 1.0, w_wiki / total)
+def wiki_weights(faiss: Column, wiki: Column, w_faiss=0.5, w_wiki=0.5) -> tuple[Column, Column]:
+    a, b = wiki_shares(w_faiss, w_wiki)
+    pick = lambda x, y, z: F.when(wiki <= 0, F.lit(x)).when(faiss <= 0, F.lit(y)).otherwise(z)
+    return pick(1.0, 0.0, a), pick(0.0, 1.0, b)
 
 
 def display_level(v: Column) -> Column:

@@ -245,7 +245,9 @@ def online_scores(spark, sf_dir):
     return both.select("doc_id", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("best"))
 
 
-ANALYZE_SQL = f"""WITH {EV_SQL}, {_CHUNKS}, {WIKI_SQL},
+def analyze_sql(k: str = "20", w_hist: str = "0.5", mean_hist: str = "false", best_model: str = "false", use_wiki: str = "true") -> str:
+    """The analysis in SQL; the parameters are expressions of doc_id."""
+    return f"""WITH {EV_SQL}, {_CHUNKS}, {WIKI_SQL.replace("rank <= 20", f"rank <= {k}")},
 {vectors_sql("cv", "claims", "doc_id, claim_no", "claim")}, {vectors_sql("iv", "items", "item_id", "item_text")},
 sims AS (SELECT doc_id, claim_no, arrival_no, list_inner_product(cv.v, iv.v) AS sim FROM e JOIN cv USING (doc_id, claim_no) JOIN iv USING (item_id)),
 m AS (SELECT e.*, sim FROM e JOIN sims USING (doc_id, claim_no, arrival_no)), {scored_sql("sim").partition(",\n")[2].strip()},
@@ -253,17 +255,17 @@ true_texts AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS wh
 {vectors_sql("ix", "index_texts", "doc_id", "whole_text")},
 near AS (SELECT chv.doc_id, chv.start, greatest(0.0, least(1.0, list_inner_product(chv.v, ix.v))) AS sim FROM chv, ix),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY sim DESC) AS rank FROM near),
-parts AS (SELECT doc_id, start, sum(sim) / 20 * 100 AS score FROM best WHERE rank <= 20 GROUP BY doc_id, start),
-hist AS (SELECT doc_id, max(score) AS faiss FROM parts GROUP BY doc_id),
-model AS (SELECT doc_id, avg({_P(WEIGHTS, 0.1, "v")}) AS prob, avg({_P(ONLINE, 0.2, "v")}) AS online FROM chv GROUP BY doc_id),
-sig AS (SELECT doc_id, faiss, coalesce(wiki, 0.0) AS wiki, prob, online, coalesce(s, 0.0) / 10 * 100 AS fonte, least(0.8, 1 - exp(-30 / 25.0)) AS al FROM stripped_docs JOIN hist USING (doc_id) JOIN model USING (doc_id) LEFT JOIN wiki USING (doc_id) LEFT JOIN z USING (doc_id) WHERE whole_text <> ''),
-h AS (SELECT *, CASE WHEN wiki <= 0 THEN faiss WHEN faiss <= 0 THEN wiki ELSE faiss * 0.5 + wiki * 0.5 END AS hist FROM sig),
-fin AS (SELECT *, (1 - al) * (0.5 * hist + 0.35 * (1 - al) * prob + 0.33 * fonte) / (0.5 + 0.35 * (1 - al) + 0.33) + al * online AS final FROM h)
+parts AS (SELECT doc_id, start, sum(sim) / {k} * 100 AS score FROM best WHERE rank <= {k} GROUP BY doc_id, start),
+hist AS (SELECT doc_id, CASE WHEN {mean_hist} THEN avg(score) ELSE max(score) END AS faiss FROM parts GROUP BY doc_id),
+model AS (SELECT doc_id, CASE WHEN {best_model} THEN max({_P(WEIGHTS, 0.1, "v")}) ELSE avg({_P(WEIGHTS, 0.1, "v")}) END AS prob, CASE WHEN {best_model} THEN max({_P(ONLINE, 0.2, "v")}) ELSE avg({_P(ONLINE, 0.2, "v")}) END AS online FROM chv GROUP BY doc_id),
+sig AS (SELECT doc_id, faiss, CASE WHEN {use_wiki} THEN coalesce(wiki, 0.0) END AS wiki, prob, online, coalesce(s, 0.0) / 10 * 100 AS fonte, least(0.8, 1 - exp(-30 / 25.0)) AS al FROM stripped_docs JOIN hist USING (doc_id) JOIN model USING (doc_id) LEFT JOIN wiki USING (doc_id) LEFT JOIN z USING (doc_id) WHERE whole_text <> ''),
+h AS (SELECT *, CASE WHEN wiki IS NULL OR wiki <= 0 THEN faiss WHEN faiss <= 0 THEN wiki ELSE faiss * 0.5 + wiki * 0.5 END AS hist FROM sig),
+fin AS (SELECT *, (1 - al) * ({w_hist} * hist + 0.35 * (1 - al) * prob + 0.33 * fonte) / ({w_hist} + 0.35 * (1 - al) + 0.33) + al * online AS final FROM h)
 SELECT doc_id, round(faiss, 6) AS faiss, round(wiki, 6) AS wiki, round(hist, 6) AS hist, round(prob, 6) AS prob_true, round(fonte, 6) AS fonte_score, round(online, 6) AS online, round(al, 6) AS alpha, round(final, 6) AS final,
   CASE WHEN final >= 50 THEN 'VERDADEIRO' ELSE 'FALSO' END AS rotulo, round(CASE WHEN final >= 50 THEN final ELSE 100 - final END, 6) AS confianca, CASE WHEN prob >= 50 THEN 'provavelmente verdadeiro' ELSE 'provavelmente falso' END AS bert_rotulo, 200 AS status FROM fin"""
 
 
-@query(ANALYZE_SQL)
+@query(analyze_sql())
 def analyze(spark, sf_dir):
     """The whole analysis of all documents, with all signals: the index of the labelled true ones, pages,
     a classifier and an incremental one by rule, and evidence by rule with similarities of its own."""
@@ -271,6 +273,30 @@ def analyze(spark, sf_dir):
     index = vectors.index_rows(labelled(spark, sf_dir)).select("id", "embedding")
     _, found = rule_evidence(spark, sf_dir, vectors=True)
     now = {"coefficients": ONLINE, "intercept": 0.2, "n_updates": 30}
-    got = whole.analyze(docs, index, (WEIGHTS, 0.1), found.drop("claim", "claim_words"), now, own_pages(spark, sf_dir), whole.Parameters(use_wiki=True))
+    got = whole.analyze(docs, index, (WEIGHTS, 0.1), found.drop("claim", "claim_words"), now, own_pages(spark, sf_dir), whole.Parameters(use_wiki=True), lists=False)
+    numbers = ("faiss", "wiki", "hist", "prob_true", "fonte_score", "online", "alpha", "final", "confianca")
+    return got.select("doc_id", *[F.round(n, 6).alias(n) for n in numbers], "rotulo", "bert_rotulo", "status")
+
+
+_OWN = {"k": "(CASE WHEN doc_id % 3 = 1 THEN 5 ELSE 20 END)", "w_hist": "(CASE WHEN doc_id % 3 = 2 THEN 0.25 ELSE 0.5 END)", "mean_hist": "doc_id % 3 = 1", "best_model": "doc_id % 4 = 2", "use_wiki": "doc_id % 5 IN (0, 3)"}
+
+
+@query(analyze_sql(**_OWN))
+def analyze_requests(spark, sf_dir):
+    """The whole analysis of requests, each with parameters of its own: neighbours, weights, aggregates, encyclopedia or not."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    given = {
+        "texto": none,
+        "k": F.when(i % 3 == 1, "5"),
+        "w_hist": F.when(i % 3 == 2, "0.25"),
+        "hist_agg": F.when(i % 3 == 1, "mean"),
+        "bert_agg": F.when(i % 4 == 2, "max"),
+        "use_wiki": F.when((i % 5).isin(0, 3), "yes"),
+    } | {n: none for n in ("max_tokens", "overlap_tokens", "wiki_titles", "w_bert", "w_fontes", "w_faiss", "w_wiki")}
+    asked = whole.requests(table(spark, sf_dir, "documents").select(i.alias("request_id"), "text", *[c.alias(n) for n, c in given.items()]))
+    index = vectors.index_rows(labelled(spark, sf_dir)).select("id", "embedding")
+    _, found = rule_evidence(spark, sf_dir, vectors=True)
+    now = {"coefficients": ONLINE, "intercept": 0.2, "n_updates": 30}
+    got = whole.analyze(asked.withColumnRenamed("request_id", "doc_id").drop("status"), index, (WEIGHTS, 0.1), found.drop("claim", "claim_words"), now, own_pages(spark, sf_dir), None, lists=False)
     numbers = ("faiss", "wiki", "hist", "prob_true", "fonte_score", "online", "alpha", "final", "confianca")
     return got.select("doc_id", *[F.round(n, 6).alias(n) for n in numbers], "rotulo", "bert_rotulo", "status")

@@ -136,7 +136,6 @@ def test_masked_names_are_plain_replacement(spark):
 def test_missing_neighbours_count_as_zero(spark):
     near = spark.createDataFrame([(1, 7, 0.5, 1)], "query_id long, id long, sim double, rank int")
     assert vectors.historical_consistency(near, 2).first()["score"] == 25.0
-    assert vectors.mean_of_present(near, "query_id", 2).first()["score"] == 50.0
 
 
 def test_evidence_limits(spark):

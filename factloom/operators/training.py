@@ -10,7 +10,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -18,6 +17,8 @@ from pyspark.sql.window import Window
 
 from factloom.functions import scoring, text
 from factloom.functions.terms import listed_and, mask_mentions
+from factloom.operators import isotonic
+from factloom.session import numbered, stored
 
 
 def label_classes(corpus: DataFrame) -> list[str]:
@@ -181,22 +182,39 @@ def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("p_true", vector_to_array("probability")[1]).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("vec", "probability", "rawPrediction", "prediction")
 
 
+def stratified_folds(rows: DataFrame, folds: int = 5, by: str = "y", seed: int = 7) -> DataFrame:
+    """Adds fold: the rows of each label dealt in turn, in the order of md5 of seed:doc_id.
+
+    So the folds of a label differ by one row at most.  No more folds than the rarest label
+    has rows; a label with one row cannot be in both parts and is an error.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    ranked = numbered(rows.withColumn("_key", key), by, "_key", "doc_id", name="_place")
+    sizes = ranked.groupBy(by).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))  # one row a label
+    least = sizes.agg(F.min("_n")).first()[0] or 0
+    if least < 2:
+        raise ValueError("each label needs two rows at least")
+    place = F.col("_place") - F.col("_first")
+    return ranked.join(F.broadcast(sizes), by).withColumn("fold", (place % min(folds, least)).cast("int")).drop("_key", "_place", "_first", "_n")
+
+
 def fit_calibrated(rows: DataFrame, folds: int = 5) -> list[tuple]:
-    """For each fold a classifier of the other rows and an isotonic curve on the fold's margins."""
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
-    out = []
-    for k in range(folds):
-        model = fit_classifier(rows.filter(F.col("fold") != k))
-        held = predict(model, rows.filter(F.col("fold") == k)).withColumn("y", F.col("y").cast("double"))
-        out.append((model, IsotonicRegression(featuresCol="margin", labelCol="y", weightCol="weight").fit(held)))
-    return out
+    """For each stratified fold a classifier of the other rows, and the isotonic curve of the fold's margins."""
+    rows = stored(stratified_folds(rows, folds), "folds")
+    models, held = [], None
+    for k in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):  # a few folds
+        models.append((k, fit_classifier(rows.filter(F.col("fold") != k))))
+        part = predict(models[-1][1], rows.filter(F.col("fold") == k)).select("fold", F.col("margin").alias("x"), "y", "weight")
+        held = part if held is None else held.unionByName(part)
+    lines = isotonic.curves(held)
+    return [(model, lines[k]) for k, model in models]
 
 
 def predict_calibrated(models: list[tuple], rows: DataFrame) -> DataFrame:
     """Adds p_true, the mean of the folds' calibrated probabilities."""
     names = []
     for k, (model, curve) in enumerate(models):
-        rows = curve.transform(predict(model, rows).drop("p_true")).withColumnRenamed("prediction", f"_p{k}").drop("margin")
+        rows = predict(model, rows).drop("p_true").withColumn(f"_p{k}", curve.at(F.col("margin"))).drop("margin")
         names.append(f"_p{k}")
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     return rows.withColumn("p_true", total / len(names)).drop(*names)

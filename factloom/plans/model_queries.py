@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import terms, text
-from factloom.operators import chunks, training, vectors
+from factloom.operators import chunks, isotonic, training, vectors
 from factloom.plans import analyze as whole
 from factloom.plans.evidence_queries import EV_SQL, rule_evidence, scored_sql
 from factloom.plans.registry import query
@@ -123,6 +123,33 @@ def train_calibrated(spark, sf_dir):
     return training.predict_calibrated(models, rows.filter("is_test")).select("doc_id", "label", "p_true")
 
 
+_FOLDS = f"WITH {_L}, f AS (SELECT doc_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('7:' || doc_id), doc_id) - 1) % 5 AS fold FROM l)"
+
+
+@query(_FOLDS + " SELECT doc_id, label, fold::INT AS fold FROM f")
+def fold_assign(spark, sf_dir):
+    return training.stratified_folds(labelled(spark, sf_dir), by="label").select("doc_id", "label", "fold")
+
+
+_PLACE = "(('0x' || substr(md5('x' || doc_id), 1, 6))::BIGINT % 997 + CASE WHEN label = 'true' THEN 150 ELSE 0 END)"
+
+
+@query(_FOLDS + f""", p AS (SELECT fold, {_PLACE} / 100.0::DOUBLE AS x, sum(CASE WHEN label = 'true' THEN 1.0 ELSE 0.0 END) AS s, sum(CASE WHEN label = 'true' THEN 1.0 ELSE 2.0 END) AS w FROM f GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY x) AS i, sum(s) OVER (PARTITION BY fold ORDER BY x) AS cs, sum(w) OVER (PARTITION BY fold ORDER BY x) AS cw FROM p),
+m AS (SELECT a.fold, a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM n a JOIN n b ON a.fold = b.fold AND a.i <= b.i),
+low AS (SELECT fold, j, k, min(mean) OVER (PARTITION BY fold, j ORDER BY k DESC) AS least FROM m),
+fit AS (SELECT n.fold, n.x, max(least) AS value FROM n JOIN low ON low.fold = n.fold AND low.j <= n.i AND low.k = n.i GROUP BY n.fold, n.x)
+SELECT f.doc_id, f.fold::INT AS fold, round(value::DOUBLE, 6) AS value FROM f JOIN fit ON f.fold = fit.fold AND {_PLACE} / 100.0::DOUBLE = fit.x""")
+def isotonic_curves(spark, sf_dir):
+    """A rising curve for each stratified fold through margins by rule, read at every document (in SQL: the largest of smallest means)."""
+    rows = training.stratified_folds(labelled(spark, sf_dir), by="label")
+    place = F.conv(F.substring(F.md5(F.concat(F.lit("x"), F.col("doc_id").cast("string")).cast("binary")), 1, 6), 16, 10).cast("long") % 997 + F.when(F.col("label") == "true", 150).otherwise(0)
+    points = stored(rows.select("doc_id", "fold", (place / 100.0).alias("x"), (F.col("label") == "true").cast("double").alias("y"), F.when(F.col("label") == "true", 1.0).otherwise(2.0).alias("weight")), "points")
+    lines = isotonic.curves(points)
+    value = F.coalesce(*[F.when(F.col("fold") == k, c.at(F.col("x"))) for k, c in sorted(lines.items())])
+    return points.select("doc_id", "fold", F.round(value, 6).alias("value"))
+
+
 @query(_SPLIT + " SELECT doc_id, kind, true AS same FROM s, (VALUES ('plain'), ('calibrated')) AS k(kind) WHERE is_test")
 def model_roundtrip(spark, sf_dir):
     """Classifiers with style features, plain and calibrated: saved, found, loaded and served give what was fitted."""

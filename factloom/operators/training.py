@@ -82,31 +82,38 @@ def _language_model():
         return None
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def named_entities(texts: pd.Series) -> pd.Series:
-    """Entities by a language model if one is installed, else none: callers fall back to the pattern."""
-    tool, kinds = _language_model(), {"PERSON", "ORG", "GPE"}
-    return pd.Series([[e.text for e in tool(t or "").ents if e.label_ in kinds] if tool else [] for t in texts])
+ENTITY_TYPES = ("PERSON", "ORG", "GPE")
 
 
-def entities(c: Column) -> Column | None:
+def named_entities(c: Column, kinds: tuple[str, ...] = ENTITY_TYPES) -> Column:
+    """Entities of these types by a language model if one is installed, else none: callers fall back to the pattern."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def find(texts: pd.Series) -> pd.Series:
+        tool = _language_model()
+        return pd.Series([[e.text for e in tool(t or "").ents if e.label_ in kinds] if tool else [] for t in texts])
+
+    return find(c)
+
+
+def entities(c: Column, kinds: tuple[str, ...] = ENTITY_TYPES) -> Column | None:
     """Entities of a text where a language model can be had, else None: the pattern decides alone."""
-    return named_entities(c) if importlib.util.find_spec("spacy") else None
+    return named_entities(c, kinds) if importlib.util.find_spec("spacy") else None
 
 
-def with_masked_copies(corpus: DataFrame, terms: list[str] | None = None, mode: str = "auto", alpha: float = 0.5) -> DataFrame:
+def with_masked_copies(corpus: DataFrame, terms: list[str] | None = None, mode: str = "auto", alpha: float = 0.5, kinds: tuple[str, ...] = ENTITY_TYPES) -> DataFrame:
     """The texts with weight 1, and a masked copy of each that has mentions with weight alpha."""
-    masked = corpus.withColumn("masked", mask_mentions("text", protected_mentions(F.col("text"), terms, mode, entities(F.col("text")))))
+    masked = corpus.withColumn("masked", mask_mentions("text", protected_mentions(F.col("text"), terms, mode, entities(F.col("text"), kinds))))
     copies = masked.filter("masked <> text").withColumn("text", F.col("masked")).drop("masked")
     return corpus.withColumn("weight", F.lit(1.0)).withColumn("is_copy", F.lit(False)).unionByName(copies.withColumn("weight", F.lit(float(alpha))).withColumn("is_copy", F.lit(True)))
 
 
-def debias_weights(corpus: DataFrame, terms: list[str] | None = None, mode: str = "auto") -> DataFrame:
+def debias_weights(corpus: DataFrame, terms: list[str] | None = None, mode: str = "auto", kinds: tuple[str, ...] = ENTITY_TYPES) -> DataFrame:
     """Adds in_subset (has mentions) and weight: subset rows / (2 * those of the label), 1 outside.
 
     Sizes come from one small aggregate, not from windows over the subset.
     """
-    rows = corpus.withColumn("in_subset", F.size(protected_mentions(F.col("text"), terms, mode, entities(F.col("text")))) > 0)
+    rows = corpus.withColumn("in_subset", F.size(protected_mentions(F.col("text"), terms, mode, entities(F.col("text"), kinds))) > 0)
     counts = rows.filter("in_subset").groupBy("label").agg(F.count("*").alias("n_label"))
     every = Window.partitionBy(F.lit(0))
     sizes = counts.select("label", (F.sum("n_label").over(every) / (2.0 * F.col("n_label"))).alias("w"))

@@ -26,6 +26,13 @@ def label_classes(corpus: DataFrame) -> list[str]:
     return [r["label"] for r in corpus.select("label").distinct().orderBy("label").collect()]
 
 
+def encoded(corpus: DataFrame) -> DataFrame:
+    """Adds code: the place of a row's label among the sorted labels, from 0; null for null."""
+    order = Window.orderBy("label")  # as many rows as labels
+    codes = corpus.select("label").filter("label is not null").distinct().withColumn("code", F.row_number().over(order) - 1)
+    return corpus.join(F.broadcast(codes), "label", "left")
+
+
 def split_assignment(corpus: DataFrame, test_share: tuple[int, int] = (1, 5), seed: int = 42) -> DataFrame:
     """Adds is_test: within each label the rows smallest by md5 of seed:doc_id, a fixed share.
 

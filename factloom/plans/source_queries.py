@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import scoring, text
-from factloom.operators import evidence
+from factloom.operators import evidence, training
 from factloom.operators.training import Classifier
 from factloom.plans import analyze as whole
 from factloom.plans.evidence_queries import _H, RATING_SQL, SOCIAL_SQL, SOURCE_VALUES, SOURCES, TAGS_SQL, TRUST_SQL, _sources
@@ -48,7 +48,7 @@ def source_tags(spark, sf_dir):
     return page_sources(spark, sf_dir).select("page_id", F.array_join(scoring.source_tags(F.col("url"), F.col("publisher"), F.col("rating")), ",").alias("tags"))
 
 
-@query("SELECT conv_id, n, round(least(0.8, greatest(0.0, 1 - exp(-n / 25.0))), 6) AS alpha FROM (SELECT conv_id, sum(length(text)) % 101 AS n FROM conversations GROUP BY conv_id)")
+@query("SELECT conv_id, n, round(least(0.8, greatest(0.0, 1 - exp(-n / 25.0))), 6) AS alpha FROM (SELECT conv_id, (sum(length(text)) % 101)::BIGINT AS n FROM conversations GROUP BY conv_id)")
 def alpha_schedule(spark, sf_dir):
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.sum(F.length("text")) % 101).alias("n"))
     return n.select("conv_id", "n", F.round(scoring.alpha(F.col("n").cast("double")), 6).alias("alpha"))
@@ -306,3 +306,18 @@ def request_params(spark, sf_dir):
     )
     got = whole.requests(rows)
     return got.select("request_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "k", "max_tokens", "w_hist", "hist_agg", "bert_agg", "use_wiki", "status")
+
+
+@query(f"WITH {_L} SELECT doc_id, label, (dense_rank() OVER (ORDER BY label) - 1)::INT AS code FROM l")
+def label_encoding(spark, sf_dir):
+    return training.encoded(labelled(spark, sf_dir)).select("doc_id", "label", "code")
+
+
+@query("SELECT DISTINCT trim(p_name) AS term FROM part WHERE trim(p_name) <> '' AND p_partkey % 3 = 0")
+def protected_list(spark, sf_dir):
+    """A term list written as the JSON file that training takes, and read back."""
+    path = new_path(spark, "terms")
+    names = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("t")).distinct()
+    every = names.agg(F.collect_list("t").alias("protected_terms"))  # a list of terms is one parameter
+    every.select(F.to_json(F.struct("protected_terms")).alias("value")).coalesce(1).write.text(path)
+    return spark.createDataFrame([(t,) for t in corpus.protected_terms(spark, path)], "term string")

@@ -1,6 +1,7 @@
 """Rules of the text veracity engine: golden values, quirks, properties."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -202,7 +203,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / ".env").write_text("# c\nA='1=2'\nbad\n")
     assert corpus.read_env(str(tmp_path / ".env")) == {"A": "1=2"}
     (tmp_path / "t.json").write_text(json.dumps({"protected_terms": [" a ", 3, ""]}))
-    assert corpus.protected_terms(str(tmp_path / "t.json")) == ["a"]
+    assert corpus.protected_terms(spark, str(tmp_path / "t.json")) == ["a"]
+    (tmp_path / "u.json").write_text("[1")
+    assert corpus.protected_terms(spark, str(tmp_path / "u.json")) == corpus.protected_terms(spark, str(tmp_path / "none.json")) == []
     index = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
     corpus.write_index(index, f"file://{tmp_path}/index")
     table, config = corpus.read_index(spark, f"file://{tmp_path}/index")
@@ -226,7 +229,7 @@ def test_analysis(spark):
 def test_sql_twin(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+    for t in sorted(f.stem for f in Path(SF).glob("*.parquet")):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     mine = registry.queries()[name](spark, SF).toArrow()
     theirs = con.sql(registry.oracle_sql()[name]).to_arrow_table()

@@ -428,7 +428,7 @@ def test_url_filters_all_lengths(spark):
 def test_sql_twin(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     mine = queries.queries()[name](spark, SF).toArrow()
     theirs = con.sql(queries.oracle_sql()[name]).to_arrow_table()

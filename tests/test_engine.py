@@ -252,3 +252,18 @@ def test_vectors_without_value_or_identifier_are_left_out(spark):
     made = spark.createDataFrame([(1, "um")], "id long, text string").select("id", text.hashed_embedding("text").alias("v"))
     plan = vectors._packed(made, "id", "v", 8)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1  # embeddings are made once
+
+
+def test_files_are_listed_without_their_folders(spark, tmp_path):
+    """Texts in folders of their own and in one folder are read alike; tasks put the files in place, so the driver moves none."""
+    from factloom.session import empty_files
+    from factloom.sources import corpus
+
+    rows = spark.createDataFrame([("a", "x"), ("b", " y "), ("c", "")], "name string, value string")
+    corpus.write_texts(rows, f"file://{tmp_path}/fake")
+    (tmp_path / "fake" / "plain.txt").write_text("z")
+    (tmp_path / "fake" / "none.txt").write_text("")
+    assert [p.rsplit("/", 1)[1] for p in empty_files(spark, f"file://{tmp_path}/fake")] == ["none.txt"]
+    got = corpus.read_texts(spark, f"file://{tmp_path}/fake", "fake").collect()
+    assert sorted(r["text"] for r in got) == ["", "", "x", "y", "z"]
+    assert corpus.read_metadata(spark, f"file://{tmp_path}/fake").count() == 4

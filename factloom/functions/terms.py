@@ -18,11 +18,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from factloom.functions.text import SLICE
+
 MASK = "[ENT]"
 CHUNK = 1 << 18
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -236,14 +238,16 @@ def first_spellings(found: list[str]) -> list[str]:
 def _finder(names: list[str], first_only: bool):
     made: list[Terms] = []  # one table a worker
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def find(texts: pd.Series, more: pd.Series) -> pd.Series:
+    @F.arrow_udf(ArrayType(StringType()))
+    def find(texts: pa.Array, more: pa.Array) -> pa.Array:
         if not made:
             made.append(Terms(names))
-        found = [[*own, *(() if also is None else also)] for own, also in zip(occurring(texts.fillna("").tolist(), names, made[0]), more, strict=True)]
-        if first_only:
-            found = [first_spellings(own) for own in found]
-        return pd.Series(found)
+        out = []
+        for i in range(0, len(texts), SLICE):
+            some = [t or "" for t in texts.slice(i, SLICE).to_pylist()]
+            found = [[*own, *(also or ())] for own, also in zip(occurring(some, names, made[0]), more.slice(i, SLICE).to_pylist(), strict=True)]
+            out.append(pa.array([first_spellings(own) for own in found] if first_only else found, pa.list_(pa.string())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
     return find
 
@@ -260,7 +264,11 @@ def listed_and(c: Column, terms: list[str], more: Column) -> Column:
     return _finder(names, True)(c, more)
 
 
-@F.pandas_udf(StringType())
-def mask_mentions(texts: pd.Series, mentions: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def mask_mentions(texts: pa.Array, mentions: pa.Array) -> pa.Array:
     """Mentions, longest first, replaced by ``MASK`` as whole words in any case."""
-    return pd.Series(masked([t if isinstance(t, str) else None for t in texts], [None if m is None else [x for x in m if x] for m in mentions]), dtype="object")
+    out = []
+    for i in range(0, len(texts), SLICE):
+        found = [None if m is None else [x for x in m if x] for m in mentions.slice(i, SLICE).to_pylist()]
+        out.append(pa.array(masked(texts.slice(i, SLICE).to_pylist(), found), pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())

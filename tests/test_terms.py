@@ -77,3 +77,21 @@ def test_ten_thousand_terms_do_not_grow_the_plan(spark):
     got = rows.select("text", terms.listed_mentions(F.col("text"), many).alias("m"))
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 2_000
     assert all(r["m"] == [w for w in re.findall(r"w\d+\b", r["text"].lower()) if f"{w}x" not in w] for r in got.collect())
+
+
+def test_batches_are_python_objects_in_slices(monkeypatch):
+    """A batch of any number of rows is never turned into Python objects as a whole."""
+    import pyarrow as pa
+
+    from factloom.functions import text
+
+    most = []
+    monkeypatch.setattr(terms, "masked", lambda texts, found, f=terms.masked: most.append(len(texts)) or f(texts, found))
+    monkeypatch.setattr(terms, "occurring", lambda texts, *more, f=terms.occurring: most.append(len(texts)) or f(texts, *more))
+    texts = pa.array([*["Ana viu", None, "", "sem ana"] * 300])
+    lists = pa.array([*[["ana"], ["x"], None, []] * 300], pa.list_(pa.string()))
+    assert terms.mask_mentions.func(texts, lists).to_pylist() == ["[ENT] viu", None, "", "sem ana"] * 300
+    assert terms._finder(["ana"], True).func(texts, lists).to_pylist() == [["ana"], ["x"], [], ["ana"]] * 300
+    assert max(most) <= text.SLICE < len(texts)
+    got = text._embedder(4).func(texts).to_pylist()
+    assert len(got) == 1200 and got[1] == got[2] == [0.0] * 4 and abs(sum(x * x for x in got[0]) - 1) < 1e-9

@@ -235,6 +235,15 @@ def first_spellings(found: list[str]) -> list[str]:
     return list(own.values())
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def spelled_once(mentions: pa.Array) -> pa.Array:
+    """The first spelling of each mention, in one pass over a list; null for null."""
+    out = []
+    for i in range(0, len(mentions), SLICE):
+        out.append(pa.array([None if m is None else first_spellings(m) for m in mentions.slice(i, SLICE).to_pylist()], pa.list_(pa.string())))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+
 def _finder(names: list[str], first_only: bool):
     made: list[Terms] = []  # one table a worker
 

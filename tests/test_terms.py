@@ -95,3 +95,11 @@ def test_batches_are_python_objects_in_slices(monkeypatch):
     assert max(most) <= text.SLICE < len(texts)
     got = text._embedder(4).func(texts).to_pylist()
     assert len(got) == 1200 and got[1] == got[2] == [0.0] * 4 and abs(sum(x * x for x in got[0]) - 1) < 1e-9
+
+
+def test_first_spellings_of_many_names(spark):
+    """Names are found once a text, not once for each name."""
+    rows = spark.createDataFrame([(1, "Ana viu. Bia e ANA. Ana, Bia"), (2, None), (3, "sem")], "id int, text string")
+    got = rows.withColumn("m", training.protected_mentions(F.col("text")))
+    assert {r["id"]: r["m"] for r in got.select("id", "m").collect()} == {1: ["Ana", "Bia"], 2: None, 3: []}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1

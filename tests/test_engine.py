@@ -1,6 +1,7 @@
 """Rules of the text veracity engine: golden values, quirks, properties."""
 
 import json
+import re
 from pathlib import Path
 
 import numpy as np
@@ -225,6 +226,24 @@ def test_analysis(spark):
     assert said[1]["historico"]["consistencia"] == 100.0 and said[2] == {"error": "texto vazio"}
 
 
+def test_analysis_shuffles_no_texts(spark):
+    """Where only numbers are read, the texts of documents and pages stay where they are, however large the tables."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, " "), (3, "b d")], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "t", "u", "a b"), (9, "t", "u", "b")], "doc_id long, title string, url string, text string")
+    index = docs.filter("doc_id = 1").select(F.col("doc_id").alias("id"), text.hashed_embedding(F.col("text")).alias("embedding"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = whole.analyze(docs, index, ([0.0] * 64, 0.0), pages=pages, p=whole.Parameters(k=1, use_wiki=True), lists=False).select("doc_id", "faiss", "wiki", "final", "status")
+        said = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+        got = {r["doc_id"]: r for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"\(\d+\) Exchange\n.*", said)
+    assert dealt and not [x for x in dealt if re.search(r"\b(text|chunk)#", x)]
+    assert got[1]["faiss"] == pytest.approx(100.0) and got[1]["wiki"] == pytest.approx(100 * (2 / 3) ** 0.5) and got[3]["wiki"] == 0.0 and got[2]["status"] == 400
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_twin(spark, name):
     duckdb = pytest.importorskip("duckdb")

@@ -36,6 +36,7 @@ from factloom.llm import _io, _order
 from factloom.llm._text import _BASE, _INV, _STEP, _powers, as_strings, chunks, gram_hashes, mix64, span_hashes, word_bounds
 
 GRAM = 8
+SCAN_BYTES = 1 << 19  # of texts whose words are hashed at once
 SHARD_PIECES = 256
 SHARD_WORDS = 1 << 17
 _WORDS = "anchor long, piece long, times long, words binary"
@@ -158,7 +159,7 @@ def pieces_of(words: np.ndarray, rows: np.ndarray, window: int, gram: int = GRAM
 
 def _scan(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, word hashes and the rows' word offsets of each chunk."""
-    for i, _, data, off in chunks(column):
+    for i, _, data, off in chunks(column, SCAN_BYTES):
         starts, ends, rows = word_bounds(data, off)
         yield i, span_hashes(data, starts, ends, False), rows
 
@@ -206,6 +207,21 @@ def _passed(rows: DataFrame, keys: DataFrame | _io.IdFilter, column: str, other:
     return rows.withColumn("_h", F.xxhash64(column)).mapInArrow(pick, rows.schema)
 
 
+def _read_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Pieces with their words of texts (at, text, spots): as many at once as a chunk of texts has, since they are longer than the texts."""
+    for b in batches:
+        spots = b.column(2)
+        for i, words, rows in _scan(as_strings(b.column(1))):
+            cols: list[list] = [[] for _ in range(4)]
+            for r in range(len(rows) - 1):
+                own = words[rows[r] : rows[r + 1]]
+                for s in spots[i + r].as_py():
+                    values = (s["anchor"], s["piece"], s["times"], own[s["first"] : s["first"] + s["windows"] + window - 1].tobytes())
+                    for c, v in zip(cols, values, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=["anchor", "piece", "times", "words"])
+
+
 def _with_words(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """anchor, piece, times and the word hashes of each distinct piece, read from one document that has it.
 
@@ -214,20 +230,7 @@ def _with_words(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     texts = _passed(docs.select(*_ROW, "text"), chosen, "h")
     spots = chosen.groupBy(*_ROW).agg(F.collect_list(F.struct("anchor", "piece", "times", "first", "windows")).alias("spots"))
 
-    def read(batches):
-        for b in batches:
-            spots = b.column(2)
-            cols: list[list] = [[] for _ in range(4)]
-            for i, words, rows in _scan(as_strings(b.column(1))):
-                for r in range(len(rows) - 1):
-                    own = words[rows[r] : rows[r + 1]]
-                    for s in spots[i + r].as_py():
-                        values = (s["anchor"], s["piece"], s["times"], own[s["first"] : s["first"] + s["windows"] + window - 1].tobytes())
-                        for c, v in zip(cols, values, strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=["anchor", "piece", "times", "words"])
-
-    return texts.join(spots, _ROW).select("at", "text", "spots").mapInArrow(read, _WORDS)
+    return texts.join(spots, _ROW).select("at", "text", "spots").mapInArrow(lambda batches: _read_words(batches, window), _WORDS)
 
 
 def _judged(reference: DataFrame, window: int, shard_pieces: int, gram: int) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,3 +400,14 @@ def test_repeated_passages_of_repeated_identifiers(spark):
         want.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
     assert substring_dedup.drop_repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_pieces_are_read_by_chunks_of_text():
+    """A batch of long texts gives its pieces in parts, each of about a chunk of texts."""
+    one = "palavra " * 300_000
+    spots = [[{"anchor": k, "piece": i, "times": 1, "first": 1000 * i, "windows": 66} for i in range(200)] for k in range(3)]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("times", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([one] * 3), pa.array(spots, kind)], names=["at", "text", "spots"])
+    got = list(substring_dedup._read_words(iter([batch]), 35))
+    assert [b.num_rows for b in got] == [200] * 3
+    assert [(r["anchor"], r["piece"], len(r["words"])) for b in got for r in b.to_pylist()] == [(k, i, 8 * 100) for k in range(3) for i in range(200)]

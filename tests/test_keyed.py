@@ -1,6 +1,9 @@
 """Classifiers learned from streams in the state store, against plain steps."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from factloom.functions import text
@@ -68,3 +71,33 @@ def test_models_start_from_saved_versions(spark):
 
 def test_no_models_yet(spark):
     assert keyed.models(spark, new_path(spark, "none")).count() == 0
+
+
+class State:
+    """A value state that has nothing yet."""
+
+    def exists(self):
+        return False
+
+    def update(self, value):
+        self.value = value
+
+
+def test_rows_of_a_micro_batch_are_not_held():
+    """Many rows of one model in one micro-batch, in any order: the same steps, with few of them in memory."""
+    rng = np.random.default_rng(1)
+    n, dim = 40_000, 64
+    seq, y = rng.permutation(n) // 3, rng.random(n) < 0.5  # places repeat: the first to come is the first
+    row = lambda i: np.random.default_rng(i).random((1000, dim))
+    parts = (pd.DataFrame({"seq": seq[i : i + 1000], "features": list(row(i)), "label": np.where(y[i : i + 1000], "true", "fake")}) for i in range(0, n, 1000))
+    tool = keyed.Learner(dim)
+    tool.state = State()
+    tracemalloc.start()
+    (got,) = tool.handleInputRows(("a",), parts, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.argsort(seq, kind="stable")
+    w, b, t = online.sgd(np.zeros(dim), 0.0, 1, np.concatenate([row(i) for i in range(0, n, 1000)])[order], y[order])
+    assert tool.state.value == (w.tolist(), b, t, n) and got["learned"][0] == n
+    assert peak < 0.6 * n * dim * 8
+    assert not list(tool.handleInputRows(("a",), iter([]), None))

@@ -96,7 +96,7 @@ PROVIDERS = list(connectors.REQUESTS)
 
 def stored_answers(spark, sf_dir):
     """Claims, and the stored answers (provider, q, status, body) to what is asked for them."""
-    claims = evidence.claim_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    claims = evidence.claim_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
     pages = stored(numbered(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id"), "numbered-pages")
     m = pages.count()
     asked = connectors.request_rows(claims, PROVIDERS).select("provider", "q").distinct()

@@ -224,7 +224,7 @@ def metadata_records(spark, sf_dir):
     for label in ("fake", "true"):
         corpus.write_texts(rows.filter(F.col("label") == label).select("name", F.col("body").alias("value")), f"{root}/{label}")
         got = corpus.metadata_checks(corpus.read_metadata(spark, f"{root}/{label}"))
-        parts.append(got.select(F.lit(label).alias("label"), F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "error", "consistent", "n_tokens"))
+        parts.append(got.select(F.lit(label).alias("label"), F.regexp_extract("path", corpus.NAME, 1).alias("name"), "error", "consistent", "n_tokens"))
     texts = rows.select("label", "name", "chars")
     return parts[0].unionByName(parts[1]).join(texts, ["label", "name"]).withColumn("chars", F.col("chars").cast("long"))
 

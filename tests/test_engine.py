@@ -286,3 +286,12 @@ def test_files_are_listed_without_their_folders(spark, tmp_path):
     got = corpus.read_texts(spark, f"file://{tmp_path}/fake", "fake").collect()
     assert sorted(r["text"] for r in got) == ["", "", "x", "y", "z"]
     assert corpus.read_metadata(spark, f"file://{tmp_path}/fake").count() == 4
+
+
+def test_stripping_looks_at_the_ends_only(spark):
+    """All white space is taken off, as the pattern has it, without a search through the text; sentences of a claim are found once."""
+    odd = [chr(i) for i in (*range(1, 0x180), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    rows = spark.createDataFrame([(f"{c}a {c} b{c} ",) for c in odd] + [(None,), (" ",)], "t string")
+    assert rows.filter(~text.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).isEmpty()
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan(text.stripped(F.col("t"))) and plan(text.claims(F.col("t"))).count("split(") == 1
